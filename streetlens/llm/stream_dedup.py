@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialize, scratch, slim
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lives in RocksDB; commits upload their changes only, and many small stores do not reserve disk ahead.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Digests hit again are sent to every executor up to this number (48 bytes each); above it they are joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
 
@@ -49,13 +54,14 @@ def dedup_state(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     source, table, checkpoint = (scratch(spark, f"dedup-{x}") for x in ("source", "state", "checkpoint"))
     rows.write.parquet(source)
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, STATE_STORE)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         track(spark.readStream.schema(rows.schema).parquet(source), table, checkpoint)
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     schema = "digest binary, keep struct<doc_id:bigint,row:bigint>, group_size bigint, locator struct<row:bigint,size:bigint>"
     changed = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(table) if _exists(spark, table) else spark.createDataFrame([], schema)
     # a digest that several batches changed has a row from each; the last one has seen most

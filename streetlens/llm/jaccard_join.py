@@ -6,24 +6,28 @@ connected component. Nothing is sampled, capped or approximated in the result.
 
 How it is spread over a cluster:
 
-1. one pass over the texts gives each set's size, digest and *prefix*: its
-   ``n - ceil(t n) + 1`` rarest shingles. Two sets that link share a prefix
-   shingle. "Rarest" is judged by a bounded table of frequent shingles counted
-   on a sample; any common order is correct, a good one is merely cheaper.
-2. equal sets collapse to one node. The nodes' prefix postings are sorted by
-   shingle; within each inverted list, nodes whose sizes and positions allow
-   the threshold are joined by a spanning forest (never all pairs).
-3. the components of that graph are the search blocks. A block above
+1. One pass over the texts gives each set's size, digest and *signatures*. Two
+   sets that link differ in at most D shingles, so when the hash space is cut
+   into K = D + T + E segments, at least T segments agree that are not empty.
+   A signature is the hash of all shingles in a segment; unrelated sets that
+   share a passage or a phrase hardly ever agree on one. K depends on a size
+   class; a set signs for its own class and the next larger one.
+2. Equal sets collapse to one node. Signatures are sorted, only those with two
+   nodes or more stay, and a node stays only if T of its signatures do (T
+   occurrences). Within each inverted list, nodes whose sizes allow the
+   threshold are joined by a spanning forest, never by all pairs.
+3. The components of that graph are the search blocks. A block above
    ``block_shingles`` is cut into chunks and every pair of chunks becomes a
    task, so no task ever holds more than a bounded number of shingles.
-4. in each block the T-occurrence search runs on full sets: the short inverted
+4. In each block the T-occurrence search runs on full sets: the short inverted
    lists of a query are heap-merged with skips, the long ones binary-probed,
    and sets that reach the required overlap are united.
-5. components of those links are joined back to the rows.
+5. Components of those links are joined back to the rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -36,14 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slim, tune
 from .components import components
-from .shingles import WordHashes, shingle_sets
-
-#: Shingles whose sample frequency orders prefixes, at most; 8 bytes each are sent to every worker.
-FREQUENT = 1 << 19
-#: One row in so many is sampled for that table.
-SAMPLE = 16
-#: Inverted lists of prefixes up to this length get size and position tests for all their members; longer ones are chained by size alone.
-TESTED = 2000
+from .shingles import MIX, WordHashes, finalize, shingle_sets
+
+#: Digests whose signatures a worker remembers to have given already.
+REMEMBER = 500_000
 #: How DivideSkip weighs a binary probe against a heap step when it sets long lists aside.
 PROBE_COST = 0.02
 
@@ -169,50 +169,89 @@ def merge_skip(lists: list[list[int]], wanted: int) -> Iterator[tuple[int, int]]
                 heapq.heappush(heap, (values[at], k, at))
 
 
-def list_forest(n: np.ndarray, pos: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges (i, j) that join the members of one inverted list, sorted by size, which size and position let link."""
-    total = len(n)
-    if total > TESTED:
-        ok = np.flatnonzero(100 * n[:-1] >= percent * n[1:])
-        return list(zip(ok.tolist(), (ok + 1).tolist(), strict=True))
-    labels, edges = np.arange(total), []
-    left = n - pos
-    for i in range(total - 1):
-        end = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
-        if end <= i + 1:
-            continue
-        # the first common shingle of two sets bounds their overlap by what follows it in either
-        ok = np.minimum(left[i], left[i + 1 : end]) * (100 + percent) >= percent * (n[i] + n[i + 1 : end])
-        ok &= labels[i + 1 : end] != labels[i]
-        for j in (np.flatnonzero(ok) + i + 1).tolist():
-            if labels[j] != labels[i]:
-                edges.append((i, j))
-                labels[labels == labels[j]] = labels[i]
-    return edges
-
-
-def _describe(k: int, percent: int, frequent: np.ndarray, counts: np.ndarray):
+class Segments:
+    """Size classes and their numbers of segments for one threshold."""
+
+    def __init__(self, percent: int):
+        self.percent, self.bounds, self.known = percent, [1], {}
+
+    def class_of(self, n: int) -> int:
+        while self.bounds[-1] <= n:
+            b = self.bounds[-1]
+            self.bounds.append(max(b + 1, 100 * b // self.percent + 1))
+        return bisect_left(self.bounds, n + 1) - 1
+
+    def scheme(self, c: int) -> tuple[int, int, int]:
+        """(K, T, E) of class ``c``: K segments; sets that link agree on T or more that are not empty, if one of them has at most E empty ones.
+
+        (0, 0, 0) where no two different sets of the class can link.
+        """
+        if c not in self.known:
+            self.class_of(self.bounds[-1])
+            while len(self.bounds) < c + 2:
+                self.class_of(self.bounds[-1])
+            largest, least = self.bounds[c + 1] - 1, self.bounds[max(0, c - 1)]
+            differ = (100 - self.percent) * 2 * largest // (100 + self.percent)
+            wanted = 2 + differ // 12
+            empty = 2
+            for _ in range(20):
+                k = differ + wanted + empty
+                empty = int(1.4 * k * np.exp(-least / k)) + 2
+            self.known[c] = (differ + wanted + empty, wanted, empty) if differ else (0, 0, 0)
+        return self.known[c]
+
+    def sign(self, s: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The signatures (int64) of a sorted set, and T by the parity of the class.
+
+        The lowest bit of a signature is the parity of the class it is for.
+        A set with more empty segments than E signs these as well: only two
+        such sets can agree on empty ones alone.
+        """
+        own, out, need = self.class_of(len(s)), [], [0, 0]
+        u = np.sort(s.view(np.uint64))
+        for c in (own, own + 1):
+            k, wanted, empty = self.scheme(c)
+            need[c % 2] = wanted
+            if not k or self.percent * self.bounds[c] > 100 * len(s):
+                continue
+            segment = (u >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
+            first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+            with np.errstate(over="ignore"):
+                mixed = np.add.reduceat(finalize(u), first)
+                if k - len(first) > empty:
+                    vacant = np.setdiff1d(np.arange(k, dtype=np.uint64), segment[first])
+                    need[c % 2] = 1
+                    out.append(finalize(finalize(vacant + np.uint64(c) * MIX) ^ np.uint64(0xE)) & np.uint64(0xFFFFFFFFFFFFFFFE) | np.uint64(c % 2))
+                mixed = finalize(mixed ^ finalize(segment[first] + np.uint64(c) * MIX))
+            out.append(mixed & np.uint64(0xFFFFFFFFFFFFFFFE) | np.uint64(c % 2))
+        return (np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)), need
+
+
+def _describe(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, row = WordHashes(), TaskContext.get().partitionId() << 40
+        hashes, row, segments, given = WordHashes(), TaskContext.get().partitionId() << 40, Segments(percent), set()
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, signs, needs = [], [], [], []
             for s in shingle_sets(texts, k, hashes):
-                n = len(s)
-                keys.append(_digest(s))
-                sizes.append(n)
-                keep = n - ceil_div(percent * n, 100) + 1 if n else 0
-                if len(frequent) and n:
-                    at = np.searchsorted(frequent, s)
-                    at[at == len(frequent)] = 0
-                    seen = np.where(frequent[at] == s, counts[at], 0)
-                    s = s[np.argsort(seen, kind="stable")]
-                prefixes.append(s[:keep])
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+                key = _digest(s)
+                keys.append(key)
+                sizes.append(len(s))
+                if key in given or not len(s):  # equal sets sign once a task
+                    sign, need = np.zeros(0, np.int64), [0, 0]
+                else:
+                    sign, need = segments.sign(s)
+                    if len(given) >= REMEMBER:
+                        given.clear()
+                    given.add(key)
+                signs.append(sign)
+                needs.append(need)
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in signs])]).astype(np.int32)
+            flat = np.concatenate(signs) if signs else np.zeros(0, np.int64)
+            need = np.array(needs, np.int32).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.arange(row, row + len(texts))), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "row", "key", "n", "prefix"],
+                [batch.column("doc_id"), pa.array(np.arange(row, row + len(texts))), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(need[:, 0]), pa.array(need[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["doc_id", "row", "key", "n", "need0", "need1", "signs"],
             )
             row += len(texts)
 
@@ -220,62 +259,49 @@ def _describe(k: int, percent: int, frequent: np.ndarray, counts: np.ndarray):
 
 
 def _digest(s: np.ndarray) -> bytes:
-    import hashlib
-
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _sampled(k: int):
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            sets = shingle_sets(texts, k, hashes)
-            values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], names=["shingle", "c"])
-
-    return run
-
-
-def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found twice or more in one row of ``SAMPLE``, the ``FREQUENT`` most frequent: a hint for the order of prefixes."""
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_sampled(k), "shingle long, c long")
-    top = rows.groupBy("shingle").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "shingle").limit(FREQUENT).toArrow()
-    shingles, counts = top.column("shingle").to_numpy(), top.column("c").to_numpy()
-    by = np.argsort(shingles)
-    return shingles[by].astype(np.int64), counts[by].astype(np.int64)
-
-
-def _forests(percent: int):
-    """From postings sorted by shingle, size and node: the edges of each list's forest, each once per batch."""
+def _runs(columns: tuple[str, ...], emit):
+    """Give ``emit`` whole runs of equal first columns from sorted batches, many runs at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * len(columns)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shingle", "node", "n", "pos")]
-            cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on in the next batch
+            cols = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, columns, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on in the next batch
             rest = [c[cut:] for c in cols]
             yield from emit([c[:cut] for c in cols])
         yield from emit(rest)
 
+    return run
+
+
+def _shared(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of runs with two rows or more."""
+    sign, row = cols
+    if len(sign):
+        same = sign[1:] == sign[:-1]
+        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(sign[keep]), pa.array(row[keep])], names=["sign", "row"])
+
+
+def _forests(percent: int):
+    """From (sign, n, node) sorted: the edges of each list's forest, each once per batch."""
+
     def emit(cols):
-        shingle, node, n, pos = cols
-        if not len(shingle):
+        sign, n, node = cols
+        if len(sign) < 2:
             return
-        starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        ends = np.append(starts[1:], len(shingle))
-        more = ends - starts > 1
-        edges = set()
-        for a, b in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
-            edges.update((int(node[a + i]), int(node[a + j])) for i, j in list_forest(n[a:b], pos[a:b], percent))
-        if edges:
-            a, b = zip(*edges, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        ok = (sign[1:] == sign[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        edges = np.unique(np.stack([node[:-1][ok], node[1:][ok]], 1), axis=0)
+        if len(edges):
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
 
-    return run
+    return _runs(("sign", "n", "node"), emit)
 
 
 def _full_sets(k: int):
@@ -342,18 +368,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     tune(spark)
     base = slim(docs, id_col, text_col)
-    frequent, counts = frequent_shingles(base, k)
-    rows = materialize(base.mapInArrow(_describe(k, percent, frequent, counts), "doc_id long, row long, key binary, n int, prefix array<long>"), "jaccard-rows")
-    nodes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "jaccard-nodes")
-    postings = (
-        rows.select("row", "n", "prefix", "doc_id")
-        .join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-        .select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "shingle"))
-        .repartition(F.col("shingle"))
-        .sortWithinPartitions("shingle", "n", "node")
-    )
-    edges = postings.mapInArrow(_forests(percent), "a long, b long")
-    blocks = materialize(components(edges, "jaccard-blocks"), "jaccard-blocks")
+    rows = materialize(base.mapInArrow(_describe(k, percent), "doc_id long, row long, key binary, n int, need0 int, need1 int, signs array<long>"), "jaccard-rows")
+    of_key = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.max("need0").alias("need0"), F.max("need1").alias("need1"))
+    nodes = materialize(of_key, "jaccard-nodes")
+    blocks = components(_candidates(rows, nodes, percent), "jaccard-blocks")
+    blocks = materialize(blocks, "jaccard-blocks")
     links = _block_links(base, rows, nodes, blocks, k, percent, block_shingles)
     found = components(links, "jaccard-links")
     named = nodes.join(found, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
@@ -362,6 +381,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     return rows.select("doc_id", "key", "n").join(of_key, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _candidates(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose components hold every link between nodes."""
+    postings = rows.select("row", F.explode("signs").alias("sign")).repartition(F.col("sign")).sortWithinPartitions("sign")
+    shared = postings.select("sign", "row").mapInArrow(_runs(("sign", "row"), _shared), "sign long, row long")
+    names = rows.where("size(signs) > 0").select("row", "key").join(nodes, "key").select("row", "node", "n", "need0", "need1")
+    lists = materialize(shared.join(names, "row").select("sign", "node", "n", F.when(F.expr("sign & 1") == 1, F.col("need1")).otherwise(F.col("need0")).alias("need")).distinct(), "jaccard-lists")
+    # T occurrences: signatures that another node has too, counted for each class the node signed for
+    other = lists.groupBy("sign").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sign")
+    lists = lists.join(other, "sign").withColumn("side", F.expr("sign & 1"))
+    able = lists.groupBy("node", "side").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("node", "side")
+    lists = lists.join(able, ["node", "side"], "left_semi")
+    return lists.select("sign", "n", "node").repartition(F.col("sign")).sortWithinPartitions("sign", "n", "node").mapInArrow(_forests(percent), "a long, b long")
+
+
 def _block_links(base: DataFrame, rows: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
     inside = nodes.join(blocks.select("node", F.col("root").alias("block")), "node")
     weight = inside.groupBy("block").agg(F.ceil(F.sum("n") * 2 / F.lit(block_shingles)).cast("int").alias("chunks"))

@@ -1,12 +1,15 @@
 """BPE encoding and decoding through a distinct-word table.
 
-1. Texts are split into words in one distributed pass; a chunk of neighbouring
-   documents gives each of its words once.
-2. The distinct words of all chunks are encoded once each: the word table.
-3. The table is joined to the chunks' words, and each chunk meets its documents
-   again in one task of bounded size, where ids are put back by position. The
-   documents travel compressed; their words' occurrences never do.
-4. Decoding joins ids to pieces by the id-to-piece table of the vocabulary.
+1. A sample finds the most frequent words; a table of at most ``COMMON_WORDS``
+   of them, each encoded once, is sent to every worker.
+2. Texts are split into words in one distributed pass; a chunk of neighbouring
+   documents gives each of its other words once.
+3. These are sorted by word; every distinct word is encoded once, as its run of
+   rows passes by, and each chunk that has it gets its ids.
+4. Each chunk meets its documents again in one task of bounded size, where ids
+   are put back by position. The documents travel compressed; the occurrences
+   of words never do.
+5. Decoding joins ids to pieces by the id-to-piece table of the vocabulary.
 
 A text with characters for which the split is not known to be exact is one
 word as a whole, so every text is encoded as the library encodes it.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slim, tune
+from .common import slim, tune
 from .tokens import BYTE_SPLIT, byte_alphabet, encoder
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK = 8 << 20
+CHUNK = 24 << 20
+#: Words of the common table, at most, and their greatest length; one row in so many is sampled for it.
+COMMON_WORDS, COMMON_LENGTH, SAMPLE = 150_000, 24, 24
 SPLIT = re.compile(BYTE_SPLIT)
 
 
@@ -41,14 +47,14 @@ def split_words(text: str, enc) -> list[str]:
     return SPLIT.findall(text) if not enc.words and enc.is_common(text) else [text]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[tuple[int, list, list]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
     """(chunk, ids, texts) of a partition; chunks are numbered by partition and position."""
     number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
     for batch in batches:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids.append(doc)
             texts.append(text)
-            held += 4 * len(text) if wide else len(text)
+            held += len(text)
             if held >= CHUNK:
                 yield number, ids, texts
                 number, ids, texts, held = number + 1, [], [], 0
@@ -56,27 +62,27 @@ def _chunks(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[tuple[int
         yield number, ids, texts
 
 
-def _words(path: str):
+def _counted(path: str):
     def run(batches):
         enc = encoder(path)
-        for chunk, _, texts in _chunks(batches, False):
-            words = sorted({w for t in texts for w in split_words(t, enc)})
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "word"])
+        for batch in batches:
+            counts = Counter(w for t in batch.column("text").to_pylist() for w in split_words(t, enc))
+            found = [(w, n) for w, n in counts.items() if len(w) <= COMMON_LENGTH]
+            words, n = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
     return run
 
 
-def _blobs(batches):
-    pack = zstandard.ZstdCompressor(level=3)
-    for chunk, ids, texts in _chunks(batches, False):
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pack.compress(pickle.dumps((ids, texts), 5))], pa.binary())], names=["chunk", "blob"])
+def common_words(docs: DataFrame, path: str) -> dict[str, bytes]:
+    """The most frequent words of a sample of rows with their ids, as the bytes of little-endian uint32."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_counted(path), "word string, n long")
+    top = sample.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word")
+    table = top.mapInArrow(_encode_each(path), "word string, ids binary").toArrow()
+    return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True))
 
 
-def _encode(path: str):
-    """ids of each word, as the bytes of little-endian uint32."""
-
+def _encode_each(path: str):
     def run(batches):
         enc = encoder(path)
         for batch in batches:
@@ -86,6 +92,47 @@ def _encode(path: str):
     return run
 
 
+def _words(path: str, common):
+    """Each chunk's words that the common table lacks, once."""
+
+    def run(batches):
+        enc = encoder(path)
+        for chunk, _, texts in _chunks(batches):
+            words: set[str] = set()
+            for t in texts:
+                words.update(split_words(t, enc))
+            rest = list(words.difference(common.value))
+            for i in range(0, len(rest), 20_000):
+                part = rest[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "word"])
+
+    return run
+
+
+def _encode_runs(path: str):
+    """From rows (chunk, word) sorted by word: (chunk, word, ids), each distinct word encoded once."""
+
+    def run(batches):
+        enc, last, last_ids = encoder(path), None, b""
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            new = list(dict.fromkeys(w for w in words if w != last))
+            known = dict(zip(new, (a.astype("<u4").tobytes() for a in enc.encode(new)), strict=True))
+            if last is not None:
+                known[last] = last_ids
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("word"), pa.array([known[w] for w in words], pa.binary())], names=["chunk", "word", "ids"])
+            if words:
+                last, last_ids = words[-1], known[words[-1]]
+
+    return run
+
+
+def _blobs(batches):
+    pack = zstandard.ZstdCompressor(level=4)
+    for chunk, ids, texts in _chunks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pack.compress(pickle.dumps((ids, texts), 5))], pa.binary())], names=["chunk", "blob"])
+
+
 def pieces(path: str) -> dict[int, bytes]:
     """The bytes that each id of a byte-level vocabulary decodes to; special tokens stand for their own text."""
     enc = encoder(path)
@@ -93,20 +140,13 @@ def pieces(path: str) -> dict[int, bytes]:
     return {i: token.encode() if token in enc.special else bytes(to_byte[c] for c in token) for token, i in enc.library.get_vocab(with_added_tokens=True).items()}
 
 
-def word_table(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """(chunk, word) of a slim table and the distinct words' (word, ids)."""
-    used = materialize(docs.mapInArrow(_words(path), "chunk long, word string"), "bpe-words")
-    table = materialize(used.select("word").distinct().mapInArrow(_encode(path), "word string, ids binary"), "bpe-table")
-    return used, table
-
-
-def _restore(path: str, digest: bool):
+def _restore(path: str, digest: bool, common):
     """A chunk's documents and word ids brought together: one row a document."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         enc = encoder(path)
         piece = _pieces(path)
-        table = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
+        table = common.value | dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
         text_of: dict[str, tuple[int, str, bytes]] = {}
         docs, rows = [], []
         for blob in left.column("blob").to_pylist():
@@ -146,12 +186,14 @@ def _pieces(path: str) -> dict[int, bytes]:
 
 
 def _meet(docs: DataFrame, path: str, id_col: str, text_col: str, digest: bool, schema: str) -> DataFrame:
-    tune(docs.sparkSession)
+    spark = docs.sparkSession
+    tune(spark)
     base = slim(docs, id_col, text_col)
-    used, table = word_table(base, path)
-    known = used.join(table, "word")
+    common = spark.sparkContext.broadcast(common_words(base, path))
+    words = base.mapInArrow(_words(path, common), "chunk long, word string").repartition(F.col("word")).sortWithinPartitions("word")
+    known = words.mapInArrow(_encode_runs(path), "chunk long, word string, ids binary")
     blobs = base.mapInArrow(_blobs, "chunk long, blob binary")
-    return blobs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_restore(path, digest), schema)
+    return blobs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_restore(path, digest, common), schema)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,59 +20,56 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import materialize, slim, tune
 from .shingles import MIX, WordHashes, finalize
 
-#: A sentence ends after . ! ? before white space, or at a line end.
-BREAK = re.compile(r"(?<=[.!?…])[ \t\r\f\v]+|[ \t\r\f\v]*\n\s*")
-WORD = re.compile(r"[^ \t-\r]+")
+WORD = re.compile(rb"[^ \t-\r]+")
 #: Sentences of more words are cut where a word's hash says so, alike wherever the passage is found.
 LONG, CUT = 8, 4
 
 
-def sentence_bounds(text: str, hashes: WordHashes) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
-    """(start, end) of each sentence in ``text`` with the hashes of its words, A-Z lower-cased.
+def sentences(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the word after each sentence, hash of each sentence) of a text, A-Z lower-cased.
 
-    Sentences cover all words; the white space between them belongs to none.
+    A sentence ends with a word that ends in . ! or ?, or at a line end; one of
+    more than ``LONG`` words is cut after words whose hash says so.
     """
-    bounds, words = [], []
-    at = 0
-    for m in [*BREAK.finditer(text), None]:
-        end = m.start() if m else len(text)
-        found = list(WORD.finditer(text, at, end))
-        at = m.end() if m else end
-        if not found:
-            continue
-        h = np.fromiter((hashes[w.group().encode("utf-8", "surrogatepass").lower()] for w in found), np.uint64, len(found))
-        cuts = [0, len(found)]
-        if len(found) > LONG:
-            cuts = [0, *(c for c in (np.flatnonzero(h[:-1] % np.uint64(CUT) == 0) + 1).tolist() if c > 1), len(found)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            bounds.append((found[a].start(), found[b - 1].end()))
-            words.append(h[a:b])
-    return bounds, words
+    words: list[bytes] = []
+    ends = []
+    for line in raw.lower().split(b"\n"):
+        words += line.split()
+        ends.append(len(words))
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+    last = np.frombuffer(b"".join([w[-1:] for w in words]), np.uint8)
+    stop = (last == 46) | (last == 33) | (last == 63)
+    stop[np.array([e for e in ends if e]) - 1] = True
+    stop[-1] = True
+    after = np.flatnonzero(stop) + 1
+    sizes = np.diff(after, prepend=0)
+    place = np.arange(n) - np.repeat(after - sizes, sizes)
+    after = np.flatnonzero(stop | ((h % np.uint64(CUT) == 0) & (place > 0) & (np.repeat(sizes, sizes) > LONG))) + 1
+    sizes = np.diff(after, prepend=0)
+    begin = after - sizes
+    place = (np.arange(n) - np.repeat(begin, sizes)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = np.add.reduceat(finalize(h ^ finalize(place + np.uint64(1))), begin)
+    return after, mixed
 
 
-def span_hashes(words: list[np.ndarray], span: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+def span_hashes(after: np.ndarray, mixed: np.ndarray, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first sentence, hash) of each run of ``span`` sentences with ``least_words`` words or more."""
-    n = len(words)
-    if n < span:
+    m = len(after) - span + 1
+    if m < 1:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    single = np.zeros(n, np.uint64)
-    sizes = np.array([len(w) for w in words])
-    for i, w in enumerate(words):
-        value = len(w)
-        for x in w.tolist():
-            value = ((value ^ x) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-            value ^= value >> 29
-        single[i] = value
-    m = n - span + 1
-    mixed, total = np.full(m, span, np.uint64), np.zeros(m, np.int64)
+    total = after[span - 1 :] - np.concatenate([[0], after])[:m]
+    out = np.full(m, span, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(span):
-            mixed = (mixed ^ single[i : i + m]) * MIX
-            mixed ^= mixed >> np.uint64(29)
-            total += sizes[i : i + m]
-        mixed = finalize(mixed)
+            out = (out ^ mixed[i : i + m]) * MIX
+            out ^= out >> np.uint64(29)
+        out = finalize(out)
     ok = np.flatnonzero(total >= least_words)
-    return ok.astype(np.int32), mixed[ok].view(np.int64)
+    return ok.astype(np.int32), out[ok].view(np.int64)
 
 
 def remove_sentences(text: str, firsts: list[int], span: int, hashes: WordHashes) -> tuple[str, int]:
@@ -81,20 +78,25 @@ def remove_sentences(text: str, firsts: list[int], span: int, hashes: WordHashes
     White space between two neighbours that stay is kept; where sentences
     went, one line break (if there was any) or one space is left.
     """
-    bounds, words = sentence_bounds(text, hashes)
-    gone = {i for f in firsts for i in range(f, min(f + span, len(bounds)))}
+    raw = text.encode("utf-8", "surrogatepass")
+    after = sentences(raw, hashes)[0].tolist()
+    gone = {i for f in firsts for i in range(f, min(f + span, len(after)))}
     if not gone:
         return text, 0
-    parts, before = [], None
-    for i, (a, b) in enumerate(bounds):
+    spots = [m.span() for m in WORD.finditer(raw)]
+    parts, before, went = [], None, 0
+    for i, end in enumerate(after):
+        begin = after[i - 1] if i else 0
         if i in gone:
+            went += end - begin
             continue
+        a, b = spots[begin][0], spots[end - 1][1]
         if before is not None:
-            gap = text[bounds[before][1] : a]
-            parts.append(gap if before == i - 1 else "\n" if "\n" in gap else " ")
-        parts.append(text[a:b])
-        before = i
-    return "".join(parts), sum(len(words[i]) for i in gone)
+            gap = raw[before[1] : a]
+            parts.append(gap if before[0] == i - 1 else b"\n" if b"\n" in gap else b" ")
+        parts.append(raw[a:b])
+        before = i, b
+    return b"".join(parts).decode("utf-8", "surrogatepass"), went
 
 
 def _spans(span: int, least_words: int):
@@ -103,7 +105,7 @@ def _spans(span: int, least_words: int):
         for batch in batches:
             ids, at, values = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                a, h = span_hashes(sentence_bounds(text, hashes)[1], span, least_words)
+                a, h = span_hashes(*sentences(text.encode("utf-8", "surrogatepass"), hashes), span, least_words)
                 ids.append(np.full(len(a), i))
                 at.append(a)
                 values.append(h)
@@ -131,7 +133,7 @@ def repeated_spans(docs: DataFrame, span: int = 4, least_words: int = 12, id_col
     spans = base.mapInArrow(_spans(span, least_words), "doc_id long, text_key long, at int, h long")
     # one row a hash and map task reaches the shuffle, however often a span repeats
     place = F.struct("doc_id", "text_key", "at")
-    first = spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    first = spans.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "first")
     first = materialize(first, "span-first")
     found = spans.join(first, "h").where(~F.struct("doc_id", "text_key", "at").eqNullSafe(F.col("first")))
     return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("at")).alias("at"))

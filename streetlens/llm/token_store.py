@@ -40,14 +40,16 @@ PAIRS, LEAST = 8192, 16
 BUCKETS = 1 << 18
 
 
-def repair(ids: np.ndarray, last: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left, right): ``ids`` with frequent pairs replaced; rule i makes ``first_free + i``.
+def repair(ids: np.ndarray, last: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, left, right, lengths): ``ids`` with frequent pairs replaced; rule i makes
+    ``first_free + i``, which expands to ``lengths[i]`` ids.
 
     ``last`` marks ids that end a document. Each round takes the most frequent
     pairs together; of overlapping occurrences every other one is replaced.
     """
     seq, last = ids.astype(np.int64), last.copy()
     lefts, rights, free = [], [], first_free
+    lengths = np.ones(first_free, np.int64)
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
@@ -79,9 +81,10 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int) -> tuple[np.ndarr
         seq, last = seq[stay], last[stay]
         lefts.append(pairs >> 32)
         rights.append(pairs & 0xFFFFFFFF)
+        lengths = np.concatenate([lengths, lengths[lefts[-1]] + lengths[rights[-1]]])
         free += len(pairs)
     none = [np.zeros(0, np.int64)]
-    return seq, np.concatenate(lefts or none), np.concatenate(rights or none)
+    return seq, np.concatenate(lefts or none), np.concatenate(rights or none), lengths[first_free:]
 
 
 def expansions(left: np.ndarray, right: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +103,7 @@ def write_block(doc_ids: list, arrays: list[np.ndarray], vocabulary: int) -> byt
     flat = np.concatenate(arrays)
     last = np.zeros(len(flat), bool)
     last[np.cumsum(tokens) - 1] = True
-    symbols, left, right = repair(flat, last, vocabulary)
-    lengths, _ = expansions(left, right, vocabulary)
+    symbols, left, right, lengths = repair(flat, last, vocabulary)
     size = np.ones(len(symbols), np.int64)
     rule = symbols >= vocabulary
     size[rule] = lengths[symbols[rule] - vocabulary]

@@ -23,6 +23,8 @@ from .shingles import MIX, WordHashes, finalize
 WORD = re.compile(rb"[^ \t-\r]+")
 #: Sentences of more words are cut where a word's hash says so, alike wherever the passage is found.
 LONG, CUT = 8, 4
+#: Words of such a part, at least: a run of several parts then always has enough words to count.
+PART = 3
 
 
 def sentences(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +49,12 @@ def sentences(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     after = np.flatnonzero(stop) + 1
     sizes = np.diff(after, prepend=0)
     place = np.arange(n) - np.repeat(after - sizes, sizes)
-    after = np.flatnonzero(stop | ((h % np.uint64(CUT) == 0) & (place > 0) & (np.repeat(sizes, sizes) > LONG))) + 1
+    length = np.repeat(sizes, sizes)
+    cut = (h % np.uint64(CUT) == 0) & (length > LONG) & (place + 1 >= PART) & (length - place - 1 >= PART)
+    kept = cut.copy()
+    for i in range(1, PART):  # of cuts that would leave too short a part the first stays
+        kept[i:] &= ~cut[:-i]
+    after = np.flatnonzero(stop | kept) + 1
     sizes = np.diff(after, prepend=0)
     begin = after - sizes
     place = (np.arange(n) - np.repeat(begin, sizes)).astype(np.uint64)

@@ -112,6 +112,23 @@ EXPOSED = """(SELECT clip_id, track, island, count(*) AS run FROM (SELECT clip_i
            FROM (SELECT DISTINCT clip_id, track, frame FROM objects WHERE NOT protected {and_})) GROUP BY ALL)"""
 
 ORACLE = {
+    "cvat_expand": sql(f"""
+        SELECT clip_id, track, frame + k AS frame, readable, {BOX} FROM (
+          SELECT clip_id, track, frame, k, readable, {", ".join(f"CASE WHEN k > 0 AND nout IS NOT NULL AND NOT nout THEN {c} + (n{c} - {c}) * (k / CAST(nf - frame AS DOUBLE)) ELSE {c} END AS {c}" for c in ("x1", "y1", "x2", "y2"))}
+          FROM (SELECT *, unnest(range(0, least(coalesce(nf, 720), 720) - frame)) AS k FROM (
+            SELECT clip_id, track_id AS track, frame, seq % 4 = 0 AS outside, seq % 2 = 0 AS readable, x1, y1, x2, y2, lead(frame) OVER w AS nf, lead(seq % 4 = 0) OVER w AS nout, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1, lead(x2) OVER w AS nx2, lead(y2) OVER w AS ny2
+            FROM (FROM det WHERE track_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY clip_id, track_id, frame ORDER BY seq DESC) = 1) WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY frame))
+          WHERE NOT outside))"""),
+    "keep_regions": sql("""
+        SELECT p.clip_id, p.chain_id, CAST(segment AS INT) AS segment, frame, score FROM plan p
+        JOIN (SELECT clip_id, chain_id, max(score) AS score FROM parts WHERE part_score >= 0.15 AND clip_id % 3 <> 0 GROUP BY ALL) s ON p.clip_id = s.clip_id AND p.chain_id = s.chain_id WHERE score < 0.5"""),
+    "orphan_antijoin": sql("SELECT DISTINCT clip_id FROM det ANTI JOIN sign_tracks USING (clip_id)"),
+    "sweep_grid": "SELECT margin, padding, conf_blur FROM (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) a(margin), (VALUES (0.0::DOUBLE), (12.0::DOUBLE)) b(padding), (VALUES (0.15::DOUBLE), (0.3::DOUBLE)) c(conf_blur)",
+    "model_select": "SELECT p_brand AS family, coalesce(max_by(p_partkey, p_size::BIGINT * 1000000000 + p_partkey) FILTER (p_size <= 20), min_by(p_partkey, p_size::BIGINT * 1000000000 + p_partkey)) AS name FROM part GROUP BY p_brand",
+    "speed_median": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median_value, count(*) AS n FROM events GROUP BY event_type",
+    "seam_split": sql("SELECT seq, CAST(0 AS BIGINT) AS part, x1 AS part_left, least(x2, 1900) AS part_right FROM det UNION ALL SELECT seq, 1, 0, least(x2 - 1900, x1) FROM det WHERE x2 > 1900"),
+    "ndjson_roundtrip": sql("SELECT clip_id, frame, seq, cls, score, track_id, x1, y1, x2, y2 FROM det"),
+    "ndjson_check": sql("SELECT DISTINCT clip_id, CAST(NULL AS VARCHAR) AS problem FROM det"),
     "detection_counts": sql("SELECT cls, count(*) AS detections, count(*) FILTER (track_id IS NULL) AS orphans FROM det GROUP BY cls"),
     "fragments": sql("SELECT clip_id, coalesce(track_id, grp || ':~' || CAST(seq AS VARCHAR)) AS fragment, min(grp) AS grp, min(frame) AS start, max(frame) AS \"end\", count(*) AS n, max(score) AS best_score FROM det GROUP BY 1, 2"),
     "majority_class": sql("SELECT clip_id, chain_id, cls FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, chain_id ORDER BY n DESC, first) AS r FROM (SELECT clip_id, chain_id, cls, count(*) AS n, min(frame * 100000000 + seq) AS first FROM signs GROUP BY ALL)) WHERE r = 1"),

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.box import SIDES, Box, size_bucket
+from ..operators import catalog as C
 from ..operators import detections as D
+from ..operators import keyframes as K
 from ..operators import jobs as J
 from ..operators import link as L
 from ..operators import metrics as M
 from ..operators import plan as P
 from ..operators import signs as S
 from ..options import Options
+from ..sources import logs
 
 OPTIONS = Options()
 FRAMES = 720
@@ -95,7 +98,31 @@ def _by_day(spark, sf_dir):
     return detections(spark, sf_dir).withColumn("frame", F.floor(F.col("frame") / 24))
 
 
+def _keys(spark, sf_dir):
+    base = detections(spark, sf_dir).where("track_id is not null")
+    return base.select("clip_id", F.col("track_id").alias("track"), "frame", "seq", (F.col("seq") % 4 == 0).alias("outside"), (F.col("seq") % 2 == 0).alias("readable"), *SIDES)
+
+
+def _scores(spark, sf_dir):
+    return P.split_jumps(chained(spark, sf_dir), OPTIONS).where(F.col("part_score") >= OPTIONS.conf_blur).where("clip_id % 3 <> 0").groupBy("clip_id", "chain_id").agg(F.max("score").alias("score"))
+
+
+def _log(spark, sf_dir):
+    return logs.parse(logs.to_lines(detections(spark, sf_dir), FRAMES, OPTIONS.fps))
+
+
 QUERIES = {
+    "cvat_expand": lambda s, d: _rounded(K.expand(_keys(s, d), FRAMES), "clip_id", "track", "frame", "readable"),
+    "keyframe_thin": lambda s, d: K.thin(chained(s, d), 20, 48),
+    "keep_regions": lambda s, d: C.kept_regions(plan(s, d), _scores(s, d), 0.5).select(*KEY, "score"),
+    "overlay_match": lambda s, d: C.overlay(plan(s, d), detections(s, d)),
+    "orphan_antijoin": lambda s, d: detections(s, d).select("clip_id").distinct().join(_best(s, d), "clip_id", "left_anti"),
+    "sweep_grid": lambda s, d: C.sweep(s, {"margin": [0.0, 0.1, 0.2], "padding": [0.0, 12.0], "conf_blur": [0.15, 0.3]}),
+    "model_select": lambda s, d: C.select_models(s.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("name"), F.col("p_size").alias("min_memory")), 20),
+    "speed_median": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median_value"), F.count(F.lit(1)).alias("n")),
+    "seam_split": lambda s, d: C.seam_parts(detections(s, d), 1900.0).select("seq", F.col("part").cast("long").alias("part"), F.col("left").alias("part_left"), F.col("right").alias("part_right")),
+    "ndjson_roundtrip": lambda s, d: logs.detections(_log(s, d)),
+    "ndjson_check": lambda s, d: logs.check(_log(s, d)),
     "dedup_merge": lambda s, d: L.merge_duplicates(_by_day(s, d), OPTIONS),
     "link_chains": lambda s, d: linked(s, d).select("clip_id", "seq", "frame", "chain_id"),
     "linked_blur_plan": lambda s, d: _rounded(P.blur_plan(linked(s, d), OPTIONS, FRAMES), *KEY, "kind", "cls", "source"),

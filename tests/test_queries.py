@@ -21,7 +21,7 @@ def test_query(spark, name):
         assert found.columns
         return
     con = duckdb.connect()
-    for table in ("events", "orders"):
+    for table in ("events", "orders", "part"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = con.sql(ORACLE[name])
     columns = sorted(want.columns)

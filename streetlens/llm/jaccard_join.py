@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slim, tune
+from .common import discard, materialize, slim, tune
 from .components import components
 from .shingles import MIX, WordHashes, finalize, shingle_sets
 
@@ -368,10 +368,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     tune(spark)
     base = slim(docs, id_col, text_col)
-    rows = materialize(base.mapInArrow(_describe(k, percent), "doc_id long, row long, key binary, n int, need0 int, need1 int, signs array<long>"), "jaccard-rows")
+    signed = materialize(base.mapInArrow(_describe(k, percent), "doc_id long, row long, key binary, n int, need0 int, need1 int, signs array<long>"), "jaccard-signed")
+    rows = materialize(signed.select("doc_id", "row", "key", "n", "need0", "need1", (F.size("signs") > 0).alias("signs")), "jaccard-rows")
     of_key = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.max("need0").alias("need0"), F.max("need1").alias("need1"))
     nodes = materialize(of_key, "jaccard-nodes")
-    blocks = components(_candidates(rows, nodes, percent), "jaccard-blocks")
+    blocks = components(_candidates(signed, rows, nodes, percent), "jaccard-blocks")
     blocks = materialize(blocks, "jaccard-blocks")
     links = _block_links(base, rows, nodes, blocks, k, percent, block_shingles)
     found = components(links, "jaccard-links")
@@ -381,12 +382,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     return rows.select("doc_id", "key", "n").join(of_key, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _candidates(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose components hold every link between nodes."""
-    postings = rows.select("row", F.explode("signs").alias("sign")).repartition(F.col("sign")).sortWithinPartitions("sign")
+def _candidates(signed: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose components hold every link between nodes. The table of signatures is deleted once it is used."""
+    postings = signed.select("row", F.explode("signs").alias("sign")).repartition(F.col("sign")).sortWithinPartitions("sign")
     shared = postings.select("sign", "row").mapInArrow(_runs(("sign", "row"), _shared), "sign long, row long")
-    names = rows.where("size(signs) > 0").select("row", "key").join(nodes, "key").select("row", "node", "n", "need0", "need1")
+    names = rows.where("signs").select("row", "key").join(nodes, "key").select("row", "node", "n", "need0", "need1")
     lists = materialize(shared.join(names, "row").select("sign", "node", "n", F.when(F.expr("sign & 1") == 1, F.col("need1")).otherwise(F.col("need0")).alias("need")).distinct(), "jaccard-lists")
+    discard(signed)
     # T occurrences: signatures that another node has too, counted for each class the node signed for
     other = lists.groupBy("sign").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sign")
     lists = lists.join(other, "sign").withColumn("side", F.expr("sign & 1"))

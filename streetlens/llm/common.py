@@ -15,8 +15,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get, in rows and in bytes.
 
-    Documents can be very long, so a batch is also bounded in bytes.
+    Documents can be very long, so a batch is also bounded in bytes. Shuffle
+    files go when the query that wrote them ends, not when the driver happens
+    to collect its garbage: every later step reads written tables.
     """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

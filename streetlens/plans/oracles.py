@@ -176,7 +176,7 @@ ORACLE = {
         SELECT clip_id, chain_id, seq, CAST(sum(step) OVER (PARTITION BY clip_id, chain_id ORDER BY frame, seq) AS BIGINT) AS turns
         FROM (SELECT *, coalesce(round_even((lag((x1 + x2) / 2) OVER (PARTITION BY clip_id, chain_id ORDER BY frame, seq) - (x1 + x2) / 2) / 1900, 0), 0) AS step FROM chained)"""),
     "size_bucket": sql("SELECT cls, CASE WHEN y2 - y1 < 16 THEN '<16px' WHEN y2 - y1 < 32 THEN '16-32px' WHEN y2 - y1 < 96 THEN '32-96px' ELSE '>96px' END AS size, count(*) AS n FROM det GROUP BY ALL"),
-    "seam_copies": sql("SELECT seq, k AS turn, x1 + k * 1900::DOUBLE AS x1, x2 + k * 1900::DOUBLE AS x2 FROM det, (VALUES (-1), (0), (1)) t(k) WHERE clip_id % 2 = 0"),
+    "seam_copies": sql("SELECT seq, k AS turn, x1 + k * 1900::DOUBLE AS x1, x2 + k * 1900::DOUBLE AS x2 FROM det, (VALUES (-1), (0), (1)) t(k)"),
     "fragmentation": sql("SELECT grp, count(*) AS detections, round(count(track_id) / count(*), 6) AS tracked_share, count(DISTINCT track_id || '@' || CAST(clip_id AS VARCHAR)) AS tracks FROM det GROUP BY grp"),
     "job_claim": sql("SELECT id, created_at FROM jobs WHERE status = 'queued' ORDER BY created_at, id LIMIT 1"),
     "job_counts": sql("SELECT s AS status, count(id) AS n FROM (VALUES ('queued'), ('running'), ('succeeded'), ('failed'), ('cancelled'), ('expired')) t(s) LEFT JOIN jobs ON status = s GROUP BY s"),

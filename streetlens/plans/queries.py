@@ -151,7 +151,7 @@ QUERIES = {
     "gps_asof": lambda s, d: S.position_at(annotations(s, d).select("clip_id", "chain_id", "time"), gps(s, d)).select("clip_id", "chain_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")),
     "unwrap_track": lambda s, d: D.unwrap(chained(s, d), 1900.0).select("clip_id", "chain_id", "seq", "turns"),
     "size_bucket": lambda s, d: detections(s, d).groupBy("cls", size_bucket(Box.of().height).alias("size")).agg(F.count(F.lit(1)).alias("n")),
-    "seam_copies": lambda s, d: detections(s, d).where("clip_id % 2 = 0").select("seq", "x1", "x2", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("turn")).select("seq", "turn", (F.col("x1") + F.col("turn") * 1900.0).alias("x1"), (F.col("x2") + F.col("turn") * 1900.0).alias("x2")),
+    "seam_copies": lambda s, d: detections(s, d).select("seq", "x1", "x2", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("turn")).select("seq", "turn", (F.col("x1") + F.col("turn") * 1900.0).alias("x1"), (F.col("x2") + F.col("turn") * 1900.0).alias("x2")),
     "fragmentation": lambda s, d: detections(s, d).groupBy("grp").agg(F.count(F.lit(1)).alias("detections"), F.round(F.count("track_id") / F.count(F.lit(1)), 6).alias("tracked_share"), F.count_distinct(F.concat("track_id", F.lit("@"), F.col("clip_id").cast("string"))).alias("tracks")),
     "job_claim": lambda s, d: J.claim(jobs(s, d)).select("id", "created_at"),
     "job_counts": lambda s, d: J.counts(jobs(s, d)),

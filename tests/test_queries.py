@@ -3,8 +3,7 @@
 import duckdb
 import pytest
 
-from streetlens.plans.oracles import ORACLE
-from streetlens.plans.queries import QUERIES
+from streetlens.plans.registry import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 

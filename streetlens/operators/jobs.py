@@ -107,3 +107,22 @@ def markdown(table: DataFrame, columns: list[str], order: str) -> DataFrame:
     head = "| " + " | ".join(columns) + " |\n|" + "-|" * len(columns)
     rows = table.select(F.struct(F.col(order).alias("o"), row.alias("r")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("x"))
     return rows.select(F.concat_ws("\n", F.array(F.lit(head)), F.transform("x", lambda x: x["r"])).alias("text"))
+
+
+def status_json(jobs: DataFrame) -> DataFrame:
+    """(id, body): the public state of each job (id, status, phase, percent, frames_done, frames_total, eta_s, the four times, error_code, error_message, debug) as JSON, nulls written."""
+    base = F.concat(F.lit("/jobs/"), F.col("id").cast("string"))
+    times = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX").alias(c) for c in ("created_at", "started_at", "finished_at", "expires_at")]
+    error = F.when(F.col("error_code").isNotNull(), F.struct(F.col("error_code").alias("code"), F.col("error_message").alias("message")))
+    places = F.map_concat(
+        F.create_map(F.lit("self"), base, F.lit("video"), F.concat(base, F.lit("/video")), F.lit("metadata"), F.concat(base, F.lit("/metadata"))),
+        F.when(F.col("debug"), F.create_map(F.lit("debug"), F.concat(base, F.lit("/debug")))).otherwise(F.create_map().cast("map<string,string>")),
+    )
+    progress = F.struct("percent", "frames_done", "frames_total").alias("progress")
+    body = F.struct(F.col("id").cast("string").alias("job_id"), "status", "phase", progress, "eta_s", *times, error.alias("error"), places.alias("links"))
+    return jobs.select("id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
+
+
+def total_times(timings: DataFrame) -> DataFrame:
+    """(key, seconds) summed over runs (clip_id, timings map<string,double>)."""
+    return timings.select(F.explode("timings").alias("key", "s")).groupBy("key").agg(F.sum("s").alias("seconds"))

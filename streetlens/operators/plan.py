@@ -120,3 +120,10 @@ def plan_stats(chained: DataFrame, plan: DataFrame, o: Options) -> DataFrame:
     boxes = plan.groupBy("clip_id", F.concat(F.lit("boxes_"), "source").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     frames = plan.groupBy("clip_id").agg(F.count_distinct("frame").alias("n")).select("clip_id", F.lit("frames_with_blur").alias("key"), "n")
     return long.unionByName(boxes).unionByName(frames)
+
+
+def plan_summary(plan: DataFrame) -> DataFrame:
+    """Per clip the shapes of each source, frames with any, and chains per blurred class, in one aggregate."""
+    sources = [F.count_if(F.col("source") == s).alias(s) for s in ("detected", "interpolated", "padded", "orphan")]
+    chains = [F.count_distinct(F.when(F.col("cls") == c, F.col("chain_id"))).alias(f"{c}_chains") for c in ("face", "plate")]
+    return plan.groupBy("clip_id").agg(*sources, F.count_distinct("frame").alias("frames_with_blur"), *chains)

@@ -23,7 +23,7 @@ def display_shapes(tracks: DataFrame, o: Options) -> DataFrame:
     """Annotations: the best box clipped to the frame and rounded half-even, at least one pixel wide and high."""
     box = Box.of("best.").clip(o.width, o.height)
     x1, y1 = F.rint(box.x1).cast("long"), F.rint(box.y1).cast("long")
-    return tracks.select("clip_id", "chain_id", F.col("best.frame").alias("frame"), x1.alias("x1"), y1.alias("y1"), F.greatest(F.rint(box.x2).cast("long"), x1 + 1).alias("x2"), F.greatest(F.rint(box.y2).cast("long"), y1 + 1).alias("y2"), (F.col("best.frame") / F.lit(o.fps)).alias("time"))
+    return tracks.select("clip_id", "chain_id", "first_frame", F.col("best.frame").alias("frame"), x1.alias("x1"), y1.alias("y1"), F.greatest(F.rint(box.x2).cast("long"), x1 + 1).alias("x2"), F.greatest(F.rint(box.y2).cast("long"), y1 + 1).alias("y2"), (F.col("best.frame") / F.lit(o.fps)).alias("time"))
 
 
 def best_frames(annotations: DataFrame) -> DataFrame:
@@ -53,3 +53,16 @@ def position_at(times: DataFrame, samples: DataFrame, slack: float = 1.0) -> Dat
         return F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), inside).when(F.col("_a").isNotNull(), after).otherwise(before)
 
     return near.select(*cols, at("lat").alias("lat"), at("lon").alias("lon"))
+
+
+def metadata(annotations: DataFrame, videos: DataFrame) -> DataFrame:
+    """(clip_id, body): what is published of each clip (clip_id, width, height, duration_s, frame_count, projection) as JSON, fields without value left out.
+
+    Annotations come in order of (first_frame, chain_id), their position where ``lat`` and ``lon`` are known.
+    """
+    position = F.when(F.col("lat").isNotNull(), F.struct(F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon")))
+    item = F.struct(F.array("x1", "y1", "x2", "y2").alias("shape"), F.struct(F.col("chain_id").alias("track"), F.col("frame").alias("best_frame"), F.round("time", 3).alias("best_timestamp")).alias("video"), position.alias("position"))
+    listed = annotations.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("first_frame", "chain_id", item.alias("a")))).alias("a"))
+    facts = F.struct("width", "height", F.round("duration_s", 3).alias("duration_s"), "frame_count", "projection").alias("video")
+    found = F.coalesce(F.transform("a", lambda x: x["a"]), F.array())
+    return videos.join(listed, "clip_id", "left").select("clip_id", F.to_json(F.struct(facts, found.alias("annotations"))).alias("body"))

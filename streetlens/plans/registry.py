@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracles, queries, service
+from . import oracles, outputs, queries, service
 
-QUERIES = queries.QUERIES | service.QUERIES
-ORACLE = oracles.ORACLE | service.oracles(oracles.sql)
+QUERIES = queries.QUERIES | service.QUERIES | outputs.QUERIES
+ORACLE = oracles.ORACLE | service.oracles(oracles.sql) | outputs.oracles(oracles.sql)

@@ -52,5 +52,5 @@ def detections(parsed: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the log files below ``path``: the file names the clip, the line's place in it ``at``."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("clip_id"), F.split("value", "\n").alias("lines"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("clip_id"), F.split("value", "\n").alias("lines"))
     return raw.select("clip_id", F.posexplode("lines").alias("at", "line"))

@@ -86,17 +86,17 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     # the top 15 bits of the hash are the cell
     rows = materialize(rows.withColumn("cell", F.shiftrightunsigned("h", 64 - (CELLS.bit_length() - 1)).cast("int")), "shard-rows")
     totals = rows.groupBy("cell").agg(F.sum("size").alias("load"))
-    loads = totals.toArrow()
-    total = sum(loads.column("load").to_pylist())
+    loads = [(r["cell"], r["load"]) for r in totals.collect()]
+    total = sum(n for _, n in loads)
     bound = max(1, int(HEAVY * total / shards))
-    heavy = {c: int(-(-n // bound)) for c, n in zip(loads.column("cell").to_pylist(), loads.column("load").to_pylist(), strict=True) if n > bound}
-    light = [(c, 0, n) for c, n in zip(loads.column("cell").to_pylist(), loads.column("load").to_pylist(), strict=True) if c not in heavy]
+    heavy = {c: int(-(-n // bound)) for c, n in loads if n > bound}
+    light = [(c, 0, n) for c, n in loads if c not in heavy]
     if heavy:
         # every heavy cell has more than a fixed share of all bytes, so their number is bounded by the shards
         parts = spark.createDataFrame(sorted(heavy.items()), "cell int, parts int")
         rows = rows.join(F.broadcast(parts), "cell", "left").withColumn("part", F.coalesce(F.pmod("salt", "parts"), F.lit(0)).cast("int"))
-        counted = rows.where("parts is not null").groupBy("cell", "part").agg(F.sum("size").alias("load")).toArrow()
-        light += list(zip(*(counted.column(x).to_pylist() for x in ("cell", "part", "load")), strict=True))
+        counted = rows.where("parts is not null").groupBy("cell", "part").agg(F.sum("size").alias("load"))
+        light += [(r["cell"], r["part"], r["load"]) for r in counted.collect()]
     else:
         rows = rows.withColumn("part", F.lit(0))
     placed = spark.createDataFrame(assign(light, shards), "cell int, part int, shard int")

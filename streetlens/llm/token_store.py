@@ -40,6 +40,28 @@ PAIRS, LEAST = 8192, 16
 BUCKETS = 1 << 18
 
 
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.int64(-7046029254386353131)) >> np.int64(64 - 18)) & np.int64(BUCKETS - 1)
+
+
+def _places(pairs: np.ndarray, keys: np.ndarray, bucket: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where, what): the positions of ``maybe`` whose key is one of the sorted ``pairs``, and which one.
+
+    A bucket with one pair is a table look-up; the few with several are searched.
+    """
+    own = _bucket(pairs)
+    slot = np.full(BUCKETS, -1, np.int32)
+    slot[own] = np.arange(len(pairs))
+    shared = np.bincount(own, minlength=BUCKETS) > 1
+    maybe = maybe[slot[bucket[maybe]] >= 0]
+    found = keys[maybe]
+    at = slot[bucket[maybe]].astype(np.int64)
+    again = np.flatnonzero(shared[bucket[maybe]])
+    at[again] = np.minimum(np.searchsorted(pairs, found[again]), len(pairs) - 1)
+    hit = pairs[at] == found
+    return maybe[hit], at[hit]
+
+
 def repair(ids: np.ndarray, last: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left, right, lengths): ``ids`` with frequent pairs replaced; rule i makes
     ``first_free + i``, which expands to ``lengths[i]`` ids.
@@ -54,7 +76,7 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int) -> tuple[np.ndarr
         if len(seq) < 2:
             break
         keys = seq[:-1] << 32 | seq[1:]
-        bucket = ((keys * np.int64(-7046029254386353131)) >> np.int64(64 - 18)) & np.int64(BUCKETS - 1)
+        bucket = _bucket(keys)
         bucket[last[:-1]] = 0
         counts = np.bincount(bucket, minlength=BUCKETS)
         counts[0] = 0
@@ -65,10 +87,7 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int) -> tuple[np.ndarr
         pairs = np.sort(pairs[top[n[top] >= LEAST]])
         if not len(pairs):
             break
-        at = np.searchsorted(pairs, keys[maybe])
-        at[at == len(pairs)] = 0
-        hit = pairs[at] == keys[maybe]
-        where, what = maybe[hit], at[hit]
+        where, what = _places(pairs, keys, bucket, maybe)
         # runs of overlapping occurrences: keep every other one
         run = np.cumsum(np.concatenate([[True], np.diff(where) > 1])) - 1
         start = np.flatnonzero(np.concatenate([[True], np.diff(where) > 1]))

@@ -109,7 +109,8 @@ def test_crops_and_turns():
 @pytest.mark.parametrize("dtype", [np.uint8, np.uint16])
 def test_only_the_shape_changes_and_texture_goes(method, kind, dtype):
     rng = np.random.default_rng(0)
-    plane = (rng.integers(0, 2, (90, 120)) * 200).astype(dtype)
+    bright = np.iinfo(dtype).max // 255 * 200  # the noise is a share of what the type holds
+    plane = (rng.integers(0, 2, (90, 120)) * bright).astype(dtype)
     shape = (40.3, 30.2, 80.0, 62.5)
     out = P.blur_plane(plane, [(kind, shape), (kind, (500.0, 500.0, 520.0, 520.0))], method, 6, 128, rng)
     region = P.shape_region(kind, shape, 120, 90)
@@ -157,3 +158,24 @@ def test_over_blur(spark):
     plan = spark.createDataFrame([(1, 0, "rect", 0.0, 0.0, 959.0, 1079.0), (1, 9, "rect", 0.0, 0.0, 959.0, 1079.0)], "clip_id long, frame long, kind string, x1 double, y1 double, x2 double, y2 double")
     truth = spark.createDataFrame([], "clip_id long, frame long, x1 double, y1 double, x2 double, y2 double")
     assert {r["clip_id"]: round(r["over_blur"], 2) for r in P.over_blur(truth, plan, clips).collect()} == {1: 0.13, 2: 0.0}
+
+
+def test_flow_carries_tracks_over_long_ways(spark):
+    # the camera turns: boxes move 90 pixels a frame, far beyond the gate, and one frame lacks its box
+    rows = [(1, "face", f, 10 * f + i, 100.0 + 90 * f + 400 * i, 100.0, 120.0 + 90 * f + 400 * i, 120.0) for f in range(6) for i in range(2) if (f, i) != (3, 0)]
+    found = spark.createDataFrame(rows, BOX)
+    grid = [(float(x), float(y)) for x in range(0, 1000, 10) for y in range(60, 160, 10)]
+    flow = spark.createDataFrame([(1, f, [(x, y, 90.0, 0.0) for x, y in grid]) for f in range(1, 6)], "clip_id long, frame long, flow array<struct<x:double,y:double,dx:double,dy:double>>")
+    o = TrackOptions(max_missed=3, large_gate=0.5)
+    with_flow = {r["seq"]: r["track_id"] for r in assign_tracks(found, o, 1.0, flow).collect()}
+    assert {with_flow[10 * f + 1] for f in range(6)} == {"face:2"} and {with_flow[10 * f] for f in (0, 1, 2, 4, 5)} == {"face:1"}
+    assert len({r["track_id"] for r in assign_tracks(found, o).collect()}) > 2
+
+
+def test_motion_goes_on_where_points_are_few():
+    tracker = GroupTracker(TrackOptions(gate=0.1, gate_cap=1.0, large_gate=0.1))
+    assert tracker.frame(0, [box(100.0)]) == [1]
+    near = np.array([(105.0, 105.0, 50.0, 0.0), (115.0, 105.0, 50.0, 0.0), (115.0, 115.0, 51.0, 0.0), (900.0, 900.0, -5.0, 0.0)])
+    assert tracker.frame(1, [box(150.0)], near) == [1]
+    assert tracker.frame(2, [], near[3:]) == []  # no point is near: the motion stays
+    assert tracker.frame(4, [box(300.0)], np.zeros((0, 4))) == [1]

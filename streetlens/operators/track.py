@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .link import fold_groups
 
 BoxTuple = tuple[float, float, float, float]
+FLOW = "array<struct<x:double,y:double,dx:double,dy:double>>"
 #: Cost of a pair that must not match; far above the sum of allowed ones.
 FORBIDDEN = 1e6
 
@@ -30,6 +31,8 @@ class TrackOptions:
     large_gate: float = 0.5
     min_size: float = 4.0
     area_ratio: float = 4.0
+    context: float = 1.0
+    flow_points: int = 3
     wrap_width: float | None = None
 
 
@@ -73,12 +76,19 @@ class GroupTracker:
         self.o = o
         self.state = state or {"frame": None, "made": 0, "tracks": []}
 
-    def frame(self, number: int, boxes: list[BoxTuple]) -> list[int]:
-        """The track numbers of the boxes of a frame; frames between this and the last one had none."""
+    def frame(self, number: int, boxes: list[BoxTuple], flow: np.ndarray | None = None) -> list[int]:
+        """The track numbers of the boxes of a frame; frames between this and the last one had none.
+
+        ``flow`` has a row (x, y, dx, dy) for each image point followed from the
+        frame before. A track moves by the median of the points around it, and
+        by its last motion where they are too few.
+        """
         o, state = self.o, self.state
         gap = number - state["frame"] if state["frame"] is not None else 1
         tracks = [{**t, "missed": t["missed"] + gap - 1} for t in state["tracks"]]
         tracks = [t for t in tracks if t["missed"] <= o.max_missed]
+        for t in tracks:
+            self._move(t, gap, flow)
         out, matched = [0] * len(boxes), set()
         if tracks and boxes:
             cost = np.array([[self._cost(t, b) for b in boxes] for t in tracks])
@@ -93,11 +103,27 @@ class GroupTracker:
             if j not in matched:
                 state["made"] += 1
                 out[j] = state["made"]
-                tracks.append({"id": out[j], "box": list(box), "missed": 0})
+                tracks.append({"id": out[j], "box": list(box), "missed": 0, "motion": [0.0, 0.0]})
         state["tracks"] = [t for t in tracks if t["missed"] <= o.max_missed]
         state["frame"] = number
         return out
 
+    def _move(self, track: dict, frames: int, flow: np.ndarray | None) -> None:
+        """Shift a track's box over ``frames`` frames, the last of which ``flow`` is for."""
+        o = self.o
+        shift = [m * (frames - 1) for m in track["motion"]] * 2
+        box = [v + m for v, m in zip(track["box"], shift, strict=True)]
+        if flow is not None and len(flow):
+            cx, cy = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+            dx = flow[:, 0] - cx
+            if o.wrap_width:
+                dx = (dx + o.wrap_width / 2) % o.wrap_width - o.wrap_width / 2
+            reach = [max(box[k + 2] - box[k], o.min_size) * (0.5 + o.context) for k in (0, 1)]
+            near = (np.abs(dx) <= reach[0]) & (np.abs(flow[:, 1] - cy) <= reach[1])
+            if near.sum() >= o.flow_points:
+                track["motion"] = np.median(flow[near, 2:], axis=0).tolist()
+        track["box"] = [v + m for v, m in zip(box, track["motion"] * 2, strict=True)]
+
     def _cost(self, track: dict, box: BoxTuple) -> float:
         """Distance of the centres in box sizes; forbidden beyond the gate or where the areas are too different."""
         o, there = self.o, track["box"]
@@ -112,30 +138,43 @@ class GroupTracker:
 
 
 def track_rows(tracker: GroupTracker, rows: list[dict], scale: float) -> list[dict]:
-    """Rows of one group in (frame, seq) order with their track ``number``."""
+    """Rows of one group in (frame, seq) order with their track ``number``; a row without ``seq`` holds the ``flow`` of its frame."""
     out, i = [], 0
     while i < len(rows):
         j = i
         while j < len(rows) and rows[j]["frame"] == rows[i]["frame"]:
             j += 1
-        frame, i = rows[i:j], j
-        numbers = tracker.frame(frame[0]["frame"], [tuple(r[c] * scale for c in ("x1", "y1", "x2", "y2")) for r in frame])
+        number, frame, flow = rows[i]["frame"], [r for r in rows[i:j] if r["seq"] is not None], None
+        for r in rows[i:j]:
+            if r["seq"] is None:
+                flow = np.array([(p["x"], p["y"], p["dx"], p["dy"]) for p in r["flow"] or []], float).reshape(-1, 4)
+        i = j
+        numbers = tracker.frame(number, [tuple(r[c] * scale for c in ("x1", "y1", "x2", "y2")) for r in frame], flow)
         out += [{**r, "number": n} for r, n in zip(frame, numbers, strict=True)]
     return out
 
 
-def assign_tracks(detections: DataFrame, o: TrackOptions, scale: float = 1.0) -> DataFrame:
+def assign_tracks(detections: DataFrame, o: TrackOptions, scale: float = 1.0, flow: DataFrame | None = None) -> DataFrame:
     """(clip_id, grp, frame, seq, track_id) of detections; boxes are compared at ``scale``.
 
+    ``flow`` (clip_id, frame, flow), if given, has one row a frame with the image
+    points followed from the frame before, those that came back to where they
+    began, at tracking scale; without it tracks stay where they were.
+
     Tracks die after ``max_missed`` frames without a box, so a longer gap of the
     group begins an epoch: epochs are folded apart, in parallel, and their
     numbers go on from one to the next.
     """
-    w = Window.partitionBy("clip_id", "grp").orderBy("frame")
-    frames = detections.select("clip_id", "grp", "frame").distinct()
-    new = F.when(F.col("frame") - F.lag("frame").over(w) <= o.max_missed + 1, 0).otherwise(1)
-    epochs = frames.withColumn("_new", new).withColumn("epoch", F.sum("_new").over(w)).drop("_new")
-    ready = detections.select("clip_id", "grp", "frame", "seq", "x1", "y1", "x2", "y2").join(epochs, ["clip_id", "grp", "frame"])
+    ready = detections.select("clip_id", "grp", "frame", "seq", "x1", "y1", "x2", "y2", F.lit(None).cast(FLOW).alias("flow"))
+    if flow is not None:
+        groups = detections.select("clip_id", "grp").distinct()
+        ready = ready.unionByName(groups.join(flow.select("clip_id", F.col("frame").cast("long").alias("frame"), F.col("flow").cast(FLOW).alias("flow")), "clip_id"), allowMissingColumns=True)
+    w = Window.partitionBy("clip_id", "grp").orderBy("frame", "seq")
+    seen = F.when(F.col("seq").isNotNull(), F.col("frame"))
+    last = F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(seen.isNotNull() & (last.isNull() | (seen - last > o.max_missed + 1)), 1).otherwise(0)
+    # the flow of the frame that begins an epoch sorts before its boxes, into the epoch before, where no track is alive
+    ready = ready.withColumn("_new", new).withColumn("epoch", F.sum("_new").over(w)).drop("_new")
 
     def fold(rows: list[dict]) -> list[dict]:
         return track_rows(GroupTracker(o), rows, scale)

@@ -42,6 +42,33 @@ def test_only_missing_allowed_metadata_is_carried(spark):
     assert {r["kind"] for r in boxes.missing_metadata(rows(source), rows(target)).collect()} == {"FIRM", "\xa9xyz"}
 
 
+def film(media, matrix=boxes.IDENTITY, inner=b"", beside=b"", meta=None, version=0):
+    head = bytes([version]) + bytes(boxes.MATRIX_AT[version] - 1) + matrix + bytes(8)
+    table = mp4(b"stsd", bytes(8) + mp4(b"avc1", bytes(78) + inner))
+    trak = mp4(b"trak", mp4(b"tkhd", head) + mp4(b"mdia", mp4(b"minf", mp4(b"stbl", table))) + beside)
+    return mp4(b"ftyp", b"isom") + mp4(b"mdat", media) + mp4(b"moov", trak + (b"" if meta is None else mp4(b"udta", meta)))
+
+
+def test_metadata_is_carried_from_file_to_file(spark):
+    turned = struct.pack(">9i", 0, 0x10000, 0, -0x10000, 0, 0, 0, 0, 0x40000000)
+    uuid = mp4(b"uuid", boxes.SPHERICAL_UUID + b"<xml/>")
+    source = film(b"source", turned, mp4(b"sv3d", b"abc"), uuid, mp4(b"FIRM", b"1") + mp4(b"thmb", b"picture") + mp4(b"LENS", b"2"), version=1)
+    plain = film(b"rendered")
+    content, carried = boxes.transplant(source, plain)
+    assert carried == ["uuid", "sv3d", "matrix", "FIRM", "LENS"]
+    assert content == film(b"rendered", turned, mp4(b"sv3d", b"abc"), uuid, mp4(b"FIRM", b"1") + mp4(b"LENS", b"2"))
+    assert boxes.transplant(source, content)[0] == content  # once more changes nothing
+    assert boxes.transplant(plain, plain) == (plain, [])
+    own = film(b"x", meta=mp4(b"LENS", b"own"))
+    assert boxes.transplant(source, own)[1] == ["uuid", "sv3d", "matrix", "FIRM"]
+    with pytest.raises(ValueError, match="not the last"):
+        boxes.transplant(source, plain + mp4(b"free"))
+    with pytest.raises(ValueError, match="0 moov"):
+        boxes.transplant(mp4(b"ftyp"), plain)
+    pairs = spark.createDataFrame([("a", bytearray(source), bytearray(plain)), ("b", bytearray(plain), bytearray(plain))], "path string, source binary, target binary")
+    assert {(r["path"], bytes(r["content"]), len(r["carried"])) for r in boxes.carry_metadata(pairs).collect()} == {("a", content, 5), ("b", plain, 0)}
+
+
 XML = """<?xml version="1.0"?><annotations><version>1.1</version>
 <track id="0" label="face"><box frame="0" outside="0" xtl="1" ytl="2" xbr="11" ybr="12"><attribute name="readable">True</attribute></box>
 <box frame="4" outside="1" xtl="5" ytl="2" xbr="15" ybr="12"><attribute name="readable">false</attribute></box></track>

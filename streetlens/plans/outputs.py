@@ -73,7 +73,7 @@ def tags(s, d) -> DataFrame:
 
 def marks(s, d) -> DataFrame:
     found = X.overlay_marks(Q.plan(s, d), Q.detections(s, d), 0.5, 1920.0)
-    return found.groupBy("clip_id", "mark", "dashed", F.array_join(F.col("colour").cast("array<string>"), ",").alias("colour")).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labels"), F.round(F.avg("x1"), 3).alias("mean_x1"))
+    return found.groupBy("clip_id", "mark", "dashed", F.array_join(F.col("colour").cast("array<string>"), ",").alias("colour")).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labels"), F.sum(F.rint((F.col("x1") + 1e-6) * 1000).cast("long")).alias("sum_x1"))
 
 
 def timings(s, d) -> DataFrame:
@@ -145,7 +145,7 @@ def oracles(sql) -> dict[str, str]:
             FROM (SELECT clip_id, frame, string_agg(place, ',' ORDER BY place) AS places, string_agg(concat_ws(',', x1, y1, x2, y2), ',' ORDER BY place) AS shapes
                   FROM (SELECT n.*, row_number() OVER (PARTITION BY n.clip_id ORDER BY first_frame, n.chain_id) - 1 AS place FROM notes n JOIN sign_tracks t ON n.clip_id = t.clip_id AND n.chain_id = t.chain_id) GROUP BY ALL)"""),
         "overlay_marks": sql("""
-            SELECT clip_id, mark, dashed, colour, count(*) AS n, count(label) AS labels, round(avg(x1), 3) AS mean_x1 FROM (
+            SELECT clip_id, mark, dashed, colour, count(*) AS n, count(label) AS labels, CAST(sum(CAST(round_even((x1 + 1e-6::DOUBLE) * 1000, 0) AS BIGINT)) AS BIGINT) AS sum_x1 FROM (
               SELECT clip_id, kind AS mark, source IN ('interpolated', 'padded') AS dashed, CASE cls WHEN 'face' THEN '255,0,255' ELSE '0,215,255' END AS colour, CASE WHEN source IN ('detected', 'orphan') AND k = 0 THEN cls END AS label, (x1 + k * 1920::DOUBLE) * 0.5::DOUBLE AS x1
               FROM plan, (VALUES (-1), (0), (1)) t(k)
               UNION ALL SELECT clip_id, 'rect', false, CASE cls WHEN 'sign' THEN '255,128,0' ELSE '255,255,0' END, cls, x1 * 0.5::DOUBLE FROM det WHERE grp = 'signage') GROUP BY ALL"""),

@@ -1,8 +1,16 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of ``span`` consecutive sentences is hashed, the hashes are joined
-globally, and the sentences covered by any span that is not the first of its
-hash are removed.
+From every sentence on, and up to every sentence, the run of ``span`` consecutive
+sentences, or of as many more as it takes to reach ``least_words`` words, is
+hashed; the hashes are joined globally, and the sentences covered by any span
+that is not the first of its hash are removed.
+
+Sentences are cut into parts of at most ``WINDOW`` words, at places that the
+words around them decide. Less than ``WINDOW`` words from an end of a common
+passage those may differ, elsewhere the parts are the same wherever the passage
+lies in a line. So any ``3 * WINDOW - 2 + max(span * WINDOW, least_words - 1 + WINDOW)``
+common words hold a whole span; less than ``2 * WINDOW`` words may stay at an
+end that is not a sentence's. Lines that are broken elsewhere are other sentences.
 """
 
 from __future__ import annotations
@@ -21,17 +29,17 @@ from .common import materialize, slim, tune
 from .shingles import MIX, WordHashes, finalize
 
 WORD = re.compile(rb"[^ \t-\r]+")
-#: Sentences of more words are cut where a word's hash says so, alike wherever the passage is found.
-LONG, CUT = 8, 4
-#: Words of such a part, at least: a run of several parts then always has enough words to count.
-PART = 3
+#: Of so many words in a row within a sentence the one with the least hash, of equal ones the last, ends a part.
+WINDOW = 5
+_POWERS = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 def sentences(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """(index of the word after each sentence, hash of each sentence) of a text, A-Z lower-cased.
 
-    A sentence ends with a word that ends in . ! or ?, or at a line end; one of
-    more than ``LONG`` words is cut after words whose hash says so.
+    A sentence ends with a word that ends in . ! or ?, or at a line end. It is
+    cut after the word with the least hash of every ``WINDOW`` words in a row,
+    so no part has more words than that; parts count as sentences.
     """
     words: list[bytes] = []
     ends = []
@@ -46,16 +54,13 @@ def sentences(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     stop = (last == 46) | (last == 33) | (last == 63)
     stop[np.array([e for e in ends if e]) - 1] = True
     stop[-1] = True
+    if n >= WINDOW:
+        number = np.cumsum(stop) - stop
+        runs = np.ndarray((n - WINDOW + 1, WINDOW), h.dtype, h, h.itemsize * (WINDOW - 1), (h.itemsize, -h.itemsize))  # each backwards
+        least = np.arange(WINDOW - 1, n) - runs.argmin(axis=1)
+        stop[least[number[: n - WINDOW + 1] == number[WINDOW - 1 :]]] = True
     after = np.flatnonzero(stop) + 1
     sizes = np.diff(after, prepend=0)
-    place = np.arange(n) - np.repeat(after - sizes, sizes)
-    length = np.repeat(sizes, sizes)
-    cut = (h % np.uint64(CUT) == 0) & (length > LONG) & (place + 1 >= PART) & (length - place - 1 >= PART)
-    kept = cut.copy()
-    for i in range(1, PART):  # of cuts that would leave too short a part the first stays
-        kept[i:] &= ~cut[:-i]
-    after = np.flatnonzero(stop | kept) + 1
-    sizes = np.diff(after, prepend=0)
     begin = after - sizes
     place = (np.arange(n) - np.repeat(begin, sizes)).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -63,31 +68,44 @@ def sentences(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return after, mixed
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse modulo 2 ** 64."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        _POWERS = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, b, np.uint64)])) for b in (int(MIX), pow(int(MIX), -1, 1 << 64)))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def span_hashes(after: np.ndarray, mixed: np.ndarray, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first sentence, hash) of each run of ``span`` sentences with ``least_words`` words or more."""
+    """(place, hash) of the shortest runs from and up to each sentence that have ``span`` sentences and ``least_words`` words or more.
+
+    A place is the index of the first sentence times 2 ** 32, plus the number of sentences beyond ``span``; they ascend.
+    """
     m = len(after) - span + 1
     if m < 1:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    total = after[span - 1 :] - np.concatenate([[0], after])[:m]
-    out = np.full(m, span, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.concatenate([[0], after[:-1]])
+    more = np.maximum(np.searchsorted(after, start[:m] + least_words) - np.arange(span - 1, len(after)), 0)
+    first = np.minimum(np.searchsorted(start, after[span - 1 :] - least_words, "right") - 1, np.arange(m))
+    start, end = np.flatnonzero(np.arange(m) + more < m), np.flatnonzero(first >= 0)
+    at = np.unique(np.concatenate([start << 32 | more[start], first[end] << 32 | (end - first[end])]))
+    begin, size = at >> 32, (at & 0xFFFFFFFF) + span
+    up, down = _powers(len(mixed))
     with np.errstate(over="ignore"):
-        for i in range(span):
-            out = (out ^ mixed[i : i + m]) * MIX
-            out ^= out >> np.uint64(29)
-        out = finalize(out)
-    ok = np.flatnonzero(total >= least_words)
-    return ok.astype(np.int32), out[ok].view(np.int64)
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up)])
+        out = finalize((before[begin + size] - before[begin]) * down[begin] ^ finalize(size.astype(np.uint64)))
+    return at, out.view(np.int64)
 
 
 def remove_sentences(text: str, firsts: list[int], span: int, hashes: WordHashes) -> tuple[str, int]:
-    """``text`` without the sentences of the runs that begin at ``firsts``, and how many words went.
+    """``text`` without the sentences of the runs at the places ``firsts``, and how many words went.
 
     White space between two neighbours that stay is kept; where sentences
     went, one line break (if there was any) or one space is left.
     """
     raw = text.encode("utf-8", "surrogatepass")
     after = sentences(raw, hashes)[0].tolist()
-    gone = {i for f in firsts for i in range(f, min(f + span, len(after)))}
+    gone = {i for f in firsts for i in range(f >> 32, (f >> 32) + span + (f & 0xFFFFFFFF))}
     if not gone:
         return text, 0
     spots = [m.span() for m in WORD.finditer(raw)]
@@ -120,7 +138,7 @@ def _spans(span: int, least_words: int):
                 continue
             take = pa.array(np.concatenate(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(values).astype(np.int64))],
+                [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(np.concatenate(at)), pa.array(np.concatenate(values))],
                 names=["doc_id", "text_key", "at", "h"],
             )
 
@@ -128,7 +146,7 @@ def _spans(span: int, least_words: int):
 
 
 def repeated_spans(docs: DataFrame, span: int = 4, least_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, at array<int>): the runs of sentences of each text that are not the first of their kind.
+    """(doc_id, text_key, at array<long>): the places of the runs of sentences of each text that are not the first of their kind.
 
     First is the span with the smallest (doc_id, text_key, position); a null id
     comes before all others. ``text_key`` is a hash of the text, so that rows
@@ -137,7 +155,7 @@ def repeated_spans(docs: DataFrame, span: int = 4, least_words: int = 12, id_col
     spark = docs.sparkSession
     tune(spark)
     base = slim(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    spans = base.mapInArrow(_spans(span, least_words), "doc_id long, text_key long, at int, h long")
+    spans = base.mapInArrow(_spans(span, least_words), "doc_id long, text_key long, at long, h long")
     # one row a hash and map task reaches the shuffle, however often a span repeats
     place = F.struct("doc_id", "text_key", "at")
     first = spans.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "first")

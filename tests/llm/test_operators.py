@@ -323,6 +323,38 @@ def test_span_dedup_removes_a_planted_passage(spark):
     assert passage in found[3].text and found[7].removed_words == 72 and all(found[i].removed_words == 0 for i in range(10) if i != 7)
 
 
+def places_and_hashes(words, hashes):
+    after, mixed = span_dedup.sentences(" ".join(words).encode(), hashes)
+    at, values = span_dedup.span_hashes(after, mixed, 4, 12)
+    return dict(zip(values.tolist(), at.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("kind", ["no stops", "stops", "short sentences", "few words", "one word"])
+def test_any_fifty_common_words_hold_a_span(kind):
+    rng, hashes = random.Random(5), WordHashes()
+    end = {"stops": lambda i: "." * (rng.random() < 0.1), "short sentences": lambda i: "." * (i % 2)}.get(kind, lambda i: "")
+    words = [f"u{i}" for i in range({"few words": 3, "one word": 1}.get(kind, 3000))]
+    some = lambda n: [rng.choice(words) + end(i) for i in range(n)]
+    for _ in range(1500):
+        passage = some(50)
+        a, b = (places_and_hashes(["x", *some(rng.randint(0, 12)), *passage, *some(rng.randint(0, 12)), "y"], hashes) for _ in range(2))
+        assert set(a) & set(b)
+    for _ in range(300):  # no part is longer than the window
+        after = span_dedup.sentences(" ".join(some(200)).encode(), hashes)[0]
+        assert np.diff(after, prepend=0).max() <= span_dedup.WINDOW
+
+
+def test_span_dedup_finds_a_passage_without_stops_in_the_middle_of_lines(spark):
+    rng = random.Random(6)
+    words = [f"t{i}" for i in range(4000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [some(51) for _ in range(400)]
+    docs = [(1000 * k + i, f"{some(rng.randint(5, 20))} {p} {some(rng.randint(5, 20))}") for k in range(2) for i, p in enumerate(passages)]
+    found = {r.doc_id: r for r in span_dedup.cut_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, p in enumerate(passages):
+        assert found[i].removed_words == 0 and 51 - 4 * span_dedup.WINDOW < found[1000 + i].removed_words <= 51, p
+
+
 def test_span_dedup_empty(empty):
     assert span_dedup.cut_repeated(empty).collect() == []
 

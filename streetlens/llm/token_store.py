@@ -33,11 +33,11 @@ from .tokens import encoder
 MAGIC, VERSION = b"SLRP", 1
 #: Ids of a block; a longer document is a block of its own.
 BLOCK = 1 << 20
-#: Rounds of replacement; a nonterminal expands to at most 2 ** ROUNDS ids.
-ROUNDS = 3
 #: Pairs replaced in a round, and how often a pair must occur to be worth a rule.
 PAIRS, LEAST = 8192, 16
 BUCKETS = 1 << 18
+#: Symbols of a block, at most: the format has 24 bits for one.
+SYMBOLS = 1 << 24
 
 
 def _bucket(keys: np.ndarray) -> np.ndarray:
@@ -68,18 +68,17 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int) -> tuple[np.ndarr
 
     ``last`` marks ids that end a document. Each round takes the most frequent
     pairs together; of overlapping occurrences every other one is replaced.
+    Rounds go on until no pair occurs ``LEAST`` times.
     """
     seq, last = ids.astype(np.int64), last.copy()
     lefts, rights, free = [], [], first_free
     lengths = np.ones(first_free, np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1 and free + PAIRS <= SYMBOLS:
         keys = seq[:-1] << 32 | seq[1:]
         bucket = _bucket(keys)
-        bucket[last[:-1]] = 0
-        counts = np.bincount(bucket, minlength=BUCKETS)
-        counts[0] = 0
+        bucket[last[:-1]] = BUCKETS
+        counts = np.bincount(bucket, minlength=BUCKETS + 1)
+        counts[BUCKETS] = 0
         able = counts >= LEAST
         maybe = np.flatnonzero(able[bucket])
         pairs, n = np.unique(keys[maybe], return_counts=True)

@@ -230,6 +230,17 @@ def test_token_blocks():
     assert all(block.token(i, len(a) // 2) == a[len(a) // 2] for i, a in enumerate(arrays))
 
 
+def test_token_blocks_replace_pairs_until_none_is_frequent():
+    copy = np.random.default_rng(3).integers(0, 5000, 600).astype(np.uint32)
+    block = token_store.Block(token_store.write_block(list(range(300)), [copy] * 300, 5000))
+    assert len(block.symbols) == 300 and block.lengths.max() == 600
+    assert all(np.array_equal(block.document(i), copy) for i in (0, 299))
+    zero = int(np.flatnonzero(token_store._bucket(np.arange(1 << 20)) == 0)[1])  # the pair (0, zero) is in bucket 0
+    pair = np.array([0, zero], np.uint32)
+    block = token_store.Block(token_store.write_block(list(range(50)), [pair] * 50, 1 << 20))
+    assert len(block.symbols) == 50 and np.array_equal(block.document(49), pair)
+
+
 def test_token_store_empty(empty):
     assert token_store.store_and_read(empty, vocabulary_path("byte_bpe_50k.json"), 2).collect() == []
 

@@ -6,10 +6,11 @@
    documents gives each of its other words once.
 3. These are sorted by word; every distinct word is encoded once, as its run of
    rows passes by, and each chunk that has it gets its ids.
-4. Each chunk meets its documents again in one task of bounded size, where ids
-   are put back by position. The documents travel compressed; the occurrences
-   of words never do.
-5. Decoding joins ids to pieces by the id-to-piece table of the vocabulary.
+4. Each chunk meets its documents again in one task of bounded size, where they
+   are split again and each word's ids are looked up. The documents travel
+   compressed; the occurrences of words never do.
+5. Decoding looks ids up in the id-to-piece table of the vocabulary, which has a
+   fixed size and which each worker holds; ``decode_by_join`` does it by a join.
 
 A text with characters for which the split is not known to be exact is one
 word as a whole, so every text is encoded as the library encodes it.

@@ -27,11 +27,13 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (local
-    runs and tests) is a folder of this machine used.
+    It is read from ``spark.checkpoint.dir``; only where that is unset and all
+    runs on one machine (local runs and tests) is a folder of it used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="streetlens-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(lambda: __import__("shutil").rmtree(base[7:], ignore_errors=True))
@@ -55,13 +57,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def driver_table(spark: SparkSession, rows: list[tuple], schema: str, name: str) -> DataFrame:
+    """A table of plain numbers that the driver knows, written to the shared folder and read by Spark's own reader: no Python worker is on its way."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, name)}/part.csv")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    for i in range(0, len(rows), 50_000):
+        out.write("".join(",".join(map(str, r)) + "\n" for r in rows[i : i + 50_000]).encode())
+    out.close()
+    return spark.read.schema(schema).csv(path.toString())
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` wrote and nobody reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard_path(df.sparkSession, parent)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared folder that nobody reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer where ``df`` has columns of these names (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lower_ascii(col: Column) -> Column:

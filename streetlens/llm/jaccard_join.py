@@ -16,13 +16,20 @@ How it is spread over a cluster:
    nodes or more stay, and a node stays only if T of its signatures do (T
    occurrences). Within each inverted list, nodes whose sizes allow the
    threshold are joined by a spanning forest, never by all pairs.
-3. The components of that graph are the search blocks. A block above
-   ``block_shingles`` is cut into chunks and every pair of chunks becomes a
-   task, so no task ever holds more than a bounded number of shingles.
-4. In each block the T-occurrence search runs on full sets: the short inverted
-   lists of a query are heap-merged with skips, the long ones binary-probed,
-   and sets that reach the required overlap are united.
-5. Components of those links are joined back to the rows.
+3. The components of that graph are the search blocks. Within one the
+   T-occurrence search runs on full sets: the short inverted lists of a query
+   are heap-merged with skips, the long ones binary-probed, and sets that reach
+   the required overlap are united.
+4. A block above a bound of sets or shingles is cut into chunks that are
+   searched apart; then some members of each component found so are searched
+   together. What is still apart is searched exhaustively: the sets outside the
+   block's largest component are dealt to the chunks of those inside, and to
+   one another. A group of near copies thus costs its size, not its square, and
+   no task ever holds more than the bound.
+5. Components of the links are joined back to the rows.
+
+Sets hold 64-bit hashes of shingles: "equal" and "overlap" are meant up to
+collisions of these, whose chance for a pair of sets is about 2 ** -50.
 """
 
 from __future__ import annotations
@@ -38,14 +45,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slim, tune
+from .common import discard, free_names, materialize, slim, tune
 from .components import components
-from .shingles import MIX, WordHashes, finalize, shingle_sets
+from .shingles import shingle_sets
+from .words import MIX, blocks as text_blocks, finalize
 
 #: Digests whose signatures a worker remembers to have given already.
 REMEMBER = 500_000
 #: How DivideSkip weighs a binary probe against a heap step when it sets long lists aside.
 PROBE_COST = 0.02
+#: Sets and shingles of a chunk, at most (a larger set is a chunk of its own); members of a component that stand for it.
+CHUNK_SETS, CHUNK_SHINGLES, DELEGATES = 1000, 1_000_000, 8
 
 
 def ceil_div(a: int, b: int) -> int:
@@ -57,14 +67,16 @@ def required_overlap(n: int, m: int, percent: int) -> int:
     return ceil_div(percent * (n + m), 100 + percent)
 
 
-def search_block(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def search_block(nodes: np.ndarray, sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(node, root) for every node that some link unites with a smaller root.
 
-    ``nodes`` are distinct ids, ``sets`` their sorted shingles. Queries run in
-    ascending order of size against the sets before them.
+    ``nodes`` are distinct ids, ``sets`` their sorted shingles; sets with the
+    same value of ``known`` are united from the start. Queries run in ascending
+    order of size against the sets before them.
     """
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), nodes[i]))
     nodes, sets = nodes[order], [sets[i] for i in order]
+    known = np.arange(len(sets)) if known is None else np.unique(known[order], return_inverse=True)[1]
     total = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     start = np.concatenate([[0], np.cumsum(sizes)])
@@ -77,9 +89,11 @@ def search_block(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
     first = np.concatenate([[0], np.cumsum(count)])[rank]
-    label = list(range(total))
-    members: dict[int, list[int]] = {i: [i] for i in range(total)}
-    labels = np.arange(total)
+    label = known.tolist()
+    members: dict[int, list[int]] = {}
+    for i, a in enumerate(label):
+        members.setdefault(a, []).append(i)
+    labels = known.copy()
 
     def unite(x: int, y: int) -> None:
         a, b = label[x], label[y]
@@ -95,7 +109,7 @@ def search_block(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
         n = int(sizes[x])
         least = ceil_div(percent * n, 100)
         low = int(np.searchsorted(sizes[:x], least))
-        if low >= x:
+        if not (labels[low:x] != label[x]).any():
             continue
         own = slice(start[x], start[x + 1])
         begin, end, ranks = first[own], place[own], rank[own]
@@ -109,8 +123,10 @@ def search_block(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
         begin, end, ranks = begin[by_length], end[by_length], ranks[by_length]
         # the set before it that shares its rarest shingles links most often: then one component less is searched
         y = int(flat[end[0] - 1])
-        if y >= low and _hits(probe, ranks, y, total) >= required_overlap(n, int(sizes[y]), percent):
+        if y >= low and label[y] != label[x] and _hits(probe, ranks, y, total) >= required_overlap(n, int(sizes[y]), percent):
             unite(x, y)
+            if not (labels[low:x] != label[x]).any():
+                continue
         longest = int(end[-1] - begin[-1])
         aside = min(need - 1, int(need / (PROBE_COST * np.log2(longest + 1) + 1)))
         short, wanted = lists - aside, need - aside
@@ -229,31 +245,30 @@ class Segments:
 
 def _describe(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, row, segments, given = WordHashes(), TaskContext.get().partitionId() << 40, Segments(percent), set()
+        row, segments, given = TaskContext.get().partitionId() << 40, Segments(percent), set()
         for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            keys, sizes, signs, needs = [], [], [], []
-            for s in shingle_sets(texts, k, hashes):
-                key = _digest(s)
-                keys.append(key)
-                sizes.append(len(s))
-                if key in given or not len(s):  # equal sets sign once a task
-                    sign, need = np.zeros(0, np.int64), [0, 0]
-                else:
-                    sign, need = segments.sign(s)
-                    if len(given) >= REMEMBER:
-                        given.clear()
-                    given.add(key)
-                signs.append(sign)
-                needs.append(need)
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in signs])]).astype(np.int32)
-            flat = np.concatenate(signs) if signs else np.zeros(0, np.int64)
-            need = np.array(needs, np.int32).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.arange(row, row + len(texts))), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(need[:, 0]), pa.array(need[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "row", "key", "n", "need0", "need1", "signs"],
-            )
-            row += len(texts)
+            for i, j, words in text_blocks(batch.column("text")):
+                keys, sizes, signs, needs = [], [], [], []
+                for s in shingle_sets(words, k):
+                    key = _digest(s)
+                    keys.append(key)
+                    sizes.append(len(s))
+                    if key in given or not len(s):  # equal sets sign once a task
+                        sign, need = np.zeros(0, np.int64), [0, 0]
+                    else:
+                        sign, need = segments.sign(s)
+                        if len(given) >= REMEMBER:
+                            given.clear()
+                        given.add(key)
+                    signs.append(sign)
+                    needs.append(need)
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in signs])]).astype(np.int32)
+                flat = np.concatenate(signs) if signs else np.zeros(0, np.int64)
+                need = np.array(needs, np.int32).reshape(-1, 2)
+                columns = [batch.column(c).slice(i, j - i) for c in ("doc_id", "text_key")]
+                numbers = [pa.array(np.arange(row, row + j - i)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(need[:, 0]), pa.array(need[:, 1])]
+                yield pa.RecordBatch.from_arrays([*columns, *numbers, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "text_key", "row", "key", "n", "need0", "need1", "signs"])
+                row += j - i
 
     return run
 
@@ -262,98 +277,103 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _runs(columns: tuple[str, ...], emit):
-    """Give ``emit`` whole runs of equal first columns from sorted batches, many runs at a time."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (sign, row) sorted by sign: the rows whose sign another row has too. Only the last row is held between batches."""
+    sign, row, matched = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in batches:
+        if batch.num_rows:
+            sign, row = (np.concatenate([held, batch.column(c).to_numpy()]) for held, c in ((sign, "sign"), (row, "row")))
+            same = np.concatenate([[matched], sign[1:] == sign[:-1]])  # as the row before; for the held row that is known
+            keep = same[:-1] | same[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(sign[:-1][keep]), pa.array(row[:-1][keep])], names=["sign", "row"])
+            sign, row, matched = sign[-1:], row[-1:], bool(same[-1])
+    if matched:
+        yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(row)], names=["sign", "row"])
+
+
+def _forests(percent: int):
+    """From (sign, n, node) sorted: the edges of each list's forest, each once per batch. Only the last row is held between batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * len(columns)
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, columns, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on in the next batch
-            rest = [c[cut:] for c in cols]
-            yield from emit([c[:cut] for c in cols])
-        yield from emit(rest)
+            sign, n, node = (np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, ("sign", "n", "node"), strict=True))
+            held = [sign[-1:], n[-1:], node[-1:]]
+            ok = (sign[1:] == sign[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            edges = np.unique(np.stack([node[:-1][ok], node[1:][ok]], 1), axis=0)
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
 
     return run
 
 
-def _shared(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows of runs with two rows or more."""
-    sign, row = cols
-    if len(sign):
-        same = sign[1:] == sign[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sign[keep]), pa.array(row[keep])], names=["sign", "row"])
-
-
-def _forests(percent: int):
-    """From (sign, n, node) sorted: the edges of each list's forest, each once per batch."""
-
-    def emit(cols):
-        sign, n, node = cols
-        if len(sign) < 2:
-            return
-        ok = (sign[1:] == sign[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        edges = np.unique(np.stack([node[:-1][ok], node[1:][ok]], 1), axis=0)
-        if len(edges):
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
-
-    return _runs(("sign", "n", "node"), emit)
-
-
 def _full_sets(k: int):
-    """Rows whose set is the node's: (block, i, j, node, shingles)."""
+    """Rows whose set is the node's: (block, chunk, chunks, node, n, shingles), each node once a task."""
 
     def run(batches):
-        hashes = WordHashes()
+        given: set[int] = set()
         for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            sets = shingle_sets(texts, k, hashes)
-            keep = np.array([_digest(s) == key for s, key in zip(sets, batch.column("key").to_pylist(), strict=True)], bool)
-            at = np.flatnonzero(keep)
-            lists = [sets[i] for i in at]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in lists])]).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            columns = [batch.column(c).take(pa.array(at)) for c in ("block", "chunk", "chunks", "node")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["block", "chunk", "chunks", "node", "shingles"])
+            keys, nodes = batch.column("key").to_pylist(), batch.column("node").to_pylist()
+            for i, j, words in text_blocks(batch.column("text")):
+                at, lists = [], []
+                for r, s in zip(range(i, j), shingle_sets(words, k), strict=True):
+                    if nodes[r] not in given and _digest(s) == keys[r]:
+                        given.add(nodes[r])
+                        at.append(r)
+                        lists.append(s)
+                if len(given) >= REMEMBER:
+                    given.clear()
+                sizes = np.array([len(s) for s in lists], np.int32)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+                columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("block", "chunk", "chunks", "node")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["block", "chunk", "chunks", "node", "n", "shingles"])
 
     return run
 
 
 def _search(percent: int):
-    """From sets sorted by task (block, i, j): the links found, as (node, root)."""
+    """From sets sorted by task (block, i, j): the links found, as (a, b); sets with the same ``label`` count as united."""
 
-    def flush(nodes, sets):
+    def flush(nodes, sets, labels):
         at = sorted({node: i for i, node in enumerate(nodes)}.values())
-        found = search_block(np.array([nodes[i] for i in at], np.int64), [sets[i] for i in at], percent)
+        if len({labels[i] for i in at}) < 2:
+            return
+        found = search_block(np.array([nodes[i] for i in at], np.int64), [sets[i] for i in at], percent, np.array([labels[i] for i in at], np.int64))
         if found:
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches):
-        task, nodes, sets = None, [], []
+        task, nodes, sets, labels = None, [], [], []
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j")), strict=True))
-            ids = batch.column("node").to_pylist()
+            ids, marks = batch.column("node").to_pylist(), batch.column("label").to_pylist()
             lists = batch.column("shingles")
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for r, key in enumerate(keys):
                 if key != task:
                     if len(nodes) > 1:
-                        yield from flush(nodes, sets)
-                    task, nodes, sets = key, [], []
+                        yield from flush(nodes, sets, labels)
+                    task, nodes, sets, labels = key, [], [], []
                 nodes.append(ids[r])
+                labels.append(marks[r])
                 sets.append(flat[offsets[r] : offsets[r + 1]].copy())
         if len(nodes) > 1:
-            yield from flush(nodes, sets)
+            yield from flush(nodes, sets, labels)
 
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 4_000_000) -> DataFrame:
+def _searched(tasks: DataFrame, percent: int, name: str) -> DataFrame:
+    """The links (a, b) of a table (block, i, j, node, label, shingles) of tasks."""
+    arranged = tasks.select("block", "i", "j", "node", "label", "shingles").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
+    return materialize(arranged.mapInArrow(_search(percent), "a long, b long"), name)
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles long, component_id long) for each row of ``docs``.
 
     * Words are runs outside ``\\x20`` and ``\\x09-\\x0D``, A-Z lower-cased; a text with
@@ -363,29 +383,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
       the least doc_id reachable by links, the row's own included.
     * Repeated rows, equal texts and equal sets are one component. An empty
       table gives an empty result. Other columns of ``docs`` are ignored.
-    * Rows with a null doc_id count in links but never name a component.
+    * Rows with a null doc_id count in links but never name a component; ids may
+      repeat, on equal or different texts.
+    * ``chunk_sets`` and ``chunk_shingles`` bound a search task, not the result.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    base = slim(docs, id_col, text_col)
-    signed = materialize(base.mapInArrow(_describe(k, percent), "doc_id long, row long, key binary, n int, need0 int, need1 int, signs array<long>"), "jaccard-signed")
-    rows = materialize(signed.select("doc_id", "row", "key", "n", "need0", "need1", (F.size("signs") > 0).alias("signs")), "jaccard-rows")
+    return _classes(docs, k, percent, id_col, text_col, chunk_sets, chunk_shingles).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """(doc_id, text_key, n, component_id) for each row."""
+    tune(docs.sparkSession)
+    base = slim(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    signed = materialize(base.mapInArrow(_describe(k, percent), "doc_id long, text_key long, row long, key binary, n int, need0 int, need1 int, signs array<long>"), "jaccard-signed")
+    rows = materialize(signed.select("doc_id", "text_key", "row", "key", "n", "need0", "need1", (F.size("signs") > 0).alias("signs")), "jaccard-rows")
     of_key = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.max("need0").alias("need0"), F.max("need1").alias("need1"))
     nodes = materialize(of_key, "jaccard-nodes")
     blocks = components(_candidates(signed, rows, nodes, percent), "jaccard-blocks")
     blocks = materialize(blocks, "jaccard-blocks")
-    links = _block_links(base, rows, nodes, blocks, k, percent, block_shingles)
+    links = _block_links(base, rows, nodes, blocks, k, percent, chunk_sets, chunk_shingles)
     found = components(links, "jaccard-links")
     named = nodes.join(found, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_key = named.join(lowest, "root").select("key", "component_id")
-    return rows.select("doc_id", "key", "n").join(of_key, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "text_key", "key", "n").join(of_key, "key", "left").select("doc_id", "text_key", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _candidates(signed: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every link between nodes. The table of signatures is deleted once it is used."""
     postings = signed.select("row", F.explode("signs").alias("sign")).repartition(F.col("sign")).sortWithinPartitions("sign")
-    shared = postings.select("sign", "row").mapInArrow(_runs(("sign", "row"), _shared), "sign long, row long")
+    shared = postings.select("sign", "row").mapInArrow(_shared, "sign long, row long")
     names = rows.where("signs").select("row", "key").join(nodes, "key").select("row", "node", "n", "need0", "need1")
     lists = materialize(shared.join(names, "row").select("sign", "node", "n", F.when(F.expr("sign & 1") == 1, F.col("need1")).otherwise(F.col("need0")).alias("need")).distinct(), "jaccard-lists")
     discard(signed)
@@ -397,25 +423,79 @@ def _candidates(signed: DataFrame, rows: DataFrame, nodes: DataFrame, percent: i
     return lists.select("sign", "n", "node").repartition(F.col("sign")).sortWithinPartitions("sign", "n", "node").mapInArrow(_forests(percent), "a long, b long")
 
 
-def _block_links(base: DataFrame, rows: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
+def _block_links(base: DataFrame, rows: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int, chunk_sets: int, chunk_shingles: int) -> DataFrame:
+    """Links (a, b) whose components are those of all links."""
     inside = nodes.join(blocks.select("node", F.col("root").alias("block")), "node")
-    weight = inside.groupBy("block").agg(F.ceil(F.sum("n") * 2 / F.lit(block_shingles)).cast("int").alias("chunks"))
-    # a block above the bound is cut in chunks of half of it; chunks = 1 holds blocks that fit
-    weight = weight.select("block", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")).alias("chunks"))
-    where = rows.select(F.col("row").alias("node"), "doc_id")
-    members = inside.join(weight, "block").join(where, "node").select("doc_id", "key", "node", "block", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    texts = base.join(members, base["doc_id"].eqNullSafe(members["doc_id"])).select("text", "key", "block", "chunk", "chunks", "node")
-    sets = texts.mapInArrow(_full_sets(k), "block long, chunk int, chunks int, node long, shingles array<long>")
-    tasks = sets.select("block", "node", "shingles", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    tasks = tasks.select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "shingles")
-    return tasks.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node").mapInArrow(_search(percent), "a long, b long")
+    weight = inside.groupBy("block").agg(_chunks(F.count(F.lit(1)), F.sum("n"), chunk_sets, chunk_shingles).alias("chunks"))
+    # a node is found again by its id and its text: ids may be null or repeat
+    where = rows.select(F.col("row").alias("node"), "doc_id", "text_key")
+    members = inside.join(weight, "block").join(where, "node").select("doc_id", "text_key", "key", "node", "block", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    match = base["doc_id"].eqNullSafe(members["doc_id"]) & (base["text_key"] == members["text_key"])
+    texts = base.join(members, match).select("text", "key", "block", "chunk", "chunks", "node")
+    sets = materialize(texts.mapInArrow(_full_sets(k), "block long, chunk int, chunks int, node long, n int, shingles array<long>"), "jaccard-sets")
+    none = F.lit(0)
+    links = _searched(sets.select("block", F.col("chunk").alias("i"), none.alias("j"), "node", F.col("node").alias("label"), "shingles"), percent, "jaccard-near")
+    large = sets.where("chunks > 1")
+    if large.limit(1).count():
+        more = _between_chunks(large, links, percent, chunk_sets, chunk_shingles)
+        links = links.unionByName(more)
+    else:
+        discard(sets)
+    return links
+
+
+def _chunks(count, shingles, chunk_sets: int, chunk_shingles: int):
+    """Into how many chunks so many sets with so many shingles go."""
+    return F.greatest(F.lit(1), F.ceil(count / F.lit(chunk_sets)), F.ceil(shingles / F.lit(chunk_shingles))).cast("int")
+
+
+def _between_chunks(large: DataFrame, links: DataFrame, percent: int, chunk_sets: int, chunk_shingles: int) -> DataFrame:
+    """Links between the chunks of blocks that have several, given those within chunks."""
+    dealt = F.pmod(F.xxhash64("node", F.lit("dealt")), F.col("parts")).cast("int")
+    none = F.lit(0)
+    plain = large.select("block", "node", "n")
+
+    def labelled(found: DataFrame) -> DataFrame:
+        roots = components(found, "jaccard-labels")
+        return materialize(plain.dropDuplicates(["node"]).join(roots, "node", "left").select("block", "node", "n", F.coalesce("root", "node").alias("label")), "jaccard-labels")
+
+    # a few members of each component, searched together
+    first = labelled(links)
+    some = first.groupBy("block", "label", F.pmod(F.xxhash64("node"), F.lit(DELEGATES)).alias("d")).agg(F.min(F.struct("node", "n")).alias("m")).select("block", "label", "m.*")
+    parts = some.groupBy("block").agg(_chunks(F.count(F.lit(1)), F.sum("n"), chunk_sets, chunk_shingles).alias("parts"))
+    tasks = some.join(parts, "block").select("node", "label", dealt.alias("i"), none.alias("j")).join(large.select("block", "node", "shingles"), "node")
+    second = _searched(tasks, percent, "jaccard-delegates")
+    # what is still apart: the sets outside a block's largest component against those inside, and among themselves
+    now = labelled(links.unionByName(second))
+    sizes = now.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    most = sizes.groupBy("block").agg(F.max(F.struct("s", "c", "label")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("m.c < c")
+    half_sets, half_shingles = max(1, chunk_sets // 2), max(1, chunk_shingles // 2)
+    most = most.select(
+        "block", F.col("m.label").alias("largest"), _chunks(F.col("m.c"), F.col("m.s"), half_sets, half_shingles).alias("inner"), _chunks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s"), half_sets, half_shingles).alias("outer")
+    )
+    apart = now.join(most, "block").withColumn("in", F.col("label") == F.col("largest"))
+    apart = apart.withColumn("parts", F.when(F.col("in"), F.col("inner")).otherwise(F.col("outer"))).withColumn("at", dealt)
+    every_outer, every_inner = F.sequence(none, F.col("outer") - 1), F.sequence(none, F.col("inner") - 1)
+    # tasks (i, j): chunk i of the inside (0 and up) with group j of the outside, or groups -1 - i and j of the outside
+    inner = F.transform(every_outer, lambda j: F.struct(F.col("at").alias("i"), j.alias("j")))
+    outer = F.concat(
+        F.transform(every_inner, lambda i: F.struct(i.alias("i"), F.col("at").alias("j"))),
+        F.transform(every_outer, lambda j: F.struct((-1 - F.least(j, F.col("at"))).alias("i"), F.greatest(j, F.col("at")).alias("j"))),
+    )
+    tasks = apart.select("node", "label", F.explode(F.when(F.col("in"), inner).otherwise(outer)).alias("t")).select("node", "label", "t.i", "t.j")
+    third = _searched(tasks.join(large.select("block", "node", "shingles"), "node"), percent, "jaccard-apart")
+    return second.unionByName(third)
 
 
 def nearest_kept(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names their component: one document of each group stays, with all its columns.
 
-    Rows with a null id stay; repeated rows with the id that names a group stay alike.
+    Rows with a null id stay, and rows without words (a null or empty text) do;
+    rows with the id that names a group stay where their text is in it, repeated
+    ones alike. An empty table gives an empty result; other columns may have any
+    names.
     """
-    found = jaccard_components(docs, k, percent, id_col, text_col)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone_id, gone_key, key = free_names(docs, "gone_id", "gone_key", "text_key")
+    gone = _classes(docs, k, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    return marked.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti").drop(key)

@@ -1,58 +1,37 @@
-"""Hashed word shingles of many texts at once, with numpy.
-
-Words are maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``, which is
-what ``bytes.split()`` yields. Every word gets a 64-bit hash, a shingle mixes
-the hashes of its words.
-"""
+"""Hashed word shingles of many texts at once, with numpy: a shingle mixes the hashes of its words."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
-
-MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose hash a worker remembers before it starts afresh.
-REMEMBER = 400_000
-
-
-class WordHashes(dict):
-    """word -> 64-bit hash, computed on first use."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+from .words import MIX, Words, finalize
 
 
-def finalize(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit values."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+def _mixed(h: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of all runs of ``size`` words."""
+    m = max(0, len(h) - size + 1)
+    mixed = np.full(m, np.uint64(size), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            mixed = (mixed ^ h[i : i + m]) * MIX
+            mixed ^= mixed >> np.uint64(29)
+        return finalize(mixed)
 
 
-def shingle_sets(texts: list[bytes], k: int, hashes: WordHashes) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes (int64) of each text, A-Z lower-cased.
+def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes (int64) of each text.
 
     A text with fewer than ``k`` words, but with one at least, has its whole
     word sequence as the only shingle; a text without words has none.
     """
+    every = _mixed(words.hashes, k).view(np.int64)
     out = []
-    for text in texts:
-        words = text.lower().split()
-        n = len(words)
-        if not n:
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        if b - a >= k:
+            s = np.sort(every[a : b - k + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        elif b > a:
+            out.append(_mixed(words.hashes[a:b], b - a).view(np.int64))
+        else:
             out.append(np.zeros(0, np.int64))
-            continue
-        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-        size = min(k, n)
-        m = n - size + 1
-        mixed = np.full(m, np.uint64(size), np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(size):
-                mixed = (mixed ^ h[i : i + m]) * MIX
-                mixed ^= mixed >> np.uint64(29)
-            mixed = finalize(mixed)
-        out.append(np.unique(mixed.view(np.int64)))
     return out

@@ -3,7 +3,8 @@
 From every sentence on, and up to every sentence, the run of ``span`` consecutive
 sentences, or of as many more as it takes to reach ``least_words`` words, is
 hashed; the hashes are joined globally, and the sentences covered by any span
-that is not the first of its hash are removed.
+that is not the first of its hash are removed. Many texts are hashed at once
+with numpy; a run's hash comes from running sums over the sentences' hashes.
 
 Sentences are cut into parts of at most ``WINDOW`` words, at places that the
 words around them decide. Less than ``WINDOW`` words from an end of a common
@@ -15,45 +16,46 @@ end that is not a sentence's. Lines that are broken elsewhere are other sentence
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import materialize, slim, tune
-from .shingles import MIX, WordHashes, finalize
+from .common import discard, free_names, materialize, slim, tune
+from .words import MIX, Powers, Words, blocks, finalize, words_of_texts
 
-WORD = re.compile(rb"[^ \t-\r]+")
 #: Of so many words in a row within a sentence the one with the least hash, of equal ones the last, ends a part.
 WINDOW = 5
-_POWERS = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+_POWERS = Powers(int(MIX))
+_LENGTH = 0xFFFFFFFF
 
 
-def sentences(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the word after each sentence, hash of each sentence) of a text, A-Z lower-cased.
+class Sentences(NamedTuple):
+    """Of each sentence the index of the word after it and its hash; of each text its first sentence (and their number)."""
+
+    after: np.ndarray
+    mixed: np.ndarray
+    first: np.ndarray
+
+
+def sentences(words: Words) -> Sentences:
+    """The sentences of texts.
 
     A sentence ends with a word that ends in . ! or ?, or at a line end. It is
     cut after the word with the least hash of every ``WINDOW`` words in a row,
     so no part has more words than that; parts count as sentences.
     """
-    words: list[bytes] = []
-    ends = []
-    for line in raw.lower().split(b"\n"):
-        words += line.split()
-        ends.append(len(words))
-    n = len(words)
+    h, n = words.hashes, len(words.hashes)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    last = np.frombuffer(b"".join([w[-1:] for w in words]), np.uint8)
+        return Sentences(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(words.first), np.int64))
+    last = words.raw[words.end - 1]
     stop = (last == 46) | (last == 33) | (last == 63)
-    stop[np.array([e for e in ends if e]) - 1] = True
-    stop[-1] = True
+    ahead = np.concatenate([np.searchsorted(words.begin, np.flatnonzero(words.raw == 10)), words.first[1:]])
+    stop[ahead[ahead > 0] - 1] = True
     if n >= WINDOW:
         number = np.cumsum(stop) - stop
         runs = np.ndarray((n - WINDOW + 1, WINDOW), h.dtype, h, h.itemsize * (WINDOW - 1), (h.itemsize, -h.itemsize))  # each backwards
@@ -65,82 +67,77 @@ def sentences(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     place = (np.arange(n) - np.repeat(begin, sizes)).astype(np.uint64)
     with np.errstate(over="ignore"):
         mixed = np.add.reduceat(finalize(h ^ finalize(place + np.uint64(1))), begin)
-    return after, mixed
-
+    return Sentences(after, mixed, np.searchsorted(after, words.first, "right"))
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of an odd number and of its inverse modulo 2 ** 64."""
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        _POWERS = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, b, np.uint64)])) for b in (int(MIX), pow(int(MIX), -1, 1 << 64)))
-    return _POWERS[0][:n], _POWERS[1][:n]
 
+def span_hashes(s: Sentences, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the shortest runs from and up to each sentence that have ``span`` sentences and ``least_words`` words or more.
 
-def span_hashes(after: np.ndarray, mixed: np.ndarray, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the shortest runs from and up to each sentence that have ``span`` sentences and ``least_words`` words or more.
-
-    A place is the index of the first sentence times 2 ** 32, plus the number of sentences beyond ``span``; they ascend.
+    A place is the index of the first sentence in its text times 2 ** 32, plus
+    the number of sentences beyond ``span``.
     """
-    m = len(after) - span + 1
-    if m < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.concatenate([[0], after[:-1]])
-    more = np.maximum(np.searchsorted(after, start[:m] + least_words) - np.arange(span - 1, len(after)), 0)
-    first = np.minimum(np.searchsorted(start, after[span - 1 :] - least_words, "right") - 1, np.arange(m))
-    start, end = np.flatnonzero(np.arange(m) + more < m), np.flatnonzero(first >= 0)
-    at = np.unique(np.concatenate([start << 32 | more[start], first[end] << 32 | (end - first[end])]))
-    begin, size = at >> 32, (at & 0xFFFFFFFF) + span
-    up, down = _powers(len(mixed))
+    m = len(s.after)
+    index, text = np.arange(m), np.repeat(np.arange(len(s.first) - 1), np.diff(s.first))
+    low, high = s.first[text], s.first[text + 1]
+    start = s.after - np.diff(s.after, prepend=0)
+    to = np.maximum(index + span, np.searchsorted(s.after, start + least_words) + 1)  # the sentence after the run from each
+    fro = np.minimum(index - span + 1, np.searchsorted(start, s.after - least_words, "right") - 1)  # the first of the run up to each
+    forward = np.flatnonzero(to <= high)
+    backward = np.flatnonzero(fro >= low)
+    backward = backward[to[fro[backward]] != backward + 1]  # those that are not such runs from their first sentence anyway
+    begin, end = np.concatenate([forward, fro[backward]]), np.concatenate([to[forward], backward + 1])
+    up, down = _POWERS.first(m + 1)
     with np.errstate(over="ignore"):
-        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up)])
-        out = finalize((before[begin + size] - before[begin]) * down[begin] ^ finalize(size.astype(np.uint64)))
-    return at, out.view(np.int64)
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s.mixed * up[:m])])
+        out = finalize((before[end] - before[begin]) * down[begin] ^ finalize((end - begin).astype(np.uint64)))
+    return text[begin], (begin - low[begin]) << 32 | (end - begin - span), out.view(np.int64)
 
 
-def remove_sentences(text: str, firsts: list[int], span: int, hashes: WordHashes) -> tuple[str, int]:
-    """``text`` without the sentences of the runs at the places ``firsts``, and how many words went.
+def remove_sentences(texts: list[str], places: list[list[int]], span: int) -> tuple[list[str], list[int]]:
+    """``texts`` without the sentences of the runs at their ``places``, and how many words went from each.
 
     White space between two neighbours that stay is kept; where sentences
-    went, one line break (if there was any) or one space is left.
+    went, one line break (if there was any) or one space is left, and none
+    at the ends of the text. A text without places stays as it is.
     """
-    raw = text.encode("utf-8", "surrogatepass")
-    after = sentences(raw, hashes)[0].tolist()
-    gone = {i for f in firsts for i in range(f >> 32, (f >> 32) + span + (f & 0xFFFFFFFF))}
-    if not gone:
-        return text, 0
-    spots = [m.span() for m in WORD.finditer(raw)]
-    parts, before, went = [], None, 0
-    for i, end in enumerate(after):
-        begin = after[i - 1] if i else 0
-        if i in gone:
-            went += end - begin
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    words = words_of_texts(raws)
+    s = sentences(words)
+    out, went = [], []
+    for k, at in enumerate(places):
+        if not at:
+            out.append(texts[k])
+            went.append(0)
             continue
-        a, b = spots[begin][0], spots[end - 1][1]
-        if before is not None:
-            gap = raw[before[1] : a]
-            parts.append(gap if before[0] == i - 1 else b"\n" if b"\n" in gap else b" ")
-        parts.append(raw[a:b])
-        before = i, b
-    return b"".join(parts).decode("utf-8", "surrogatepass"), went
+        low, high = int(s.first[k]), int(s.first[k + 1])
+        edges = np.zeros(high - low + 1, np.int64)
+        place = np.array(at, np.int64)
+        np.add.at(edges, place >> 32, 1)
+        np.add.at(edges, (place >> 32) + span + (place & _LENGTH), -1)
+        gone = np.cumsum(edges[:-1]) > 0
+        after = s.after[low:high]
+        sizes = np.diff(after, prepend=int(words.first[k]))
+        went.append(int(sizes[gone].sum()))
+        turns = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]))).reshape(-1, 2)  # runs of sentences that stay
+        parts, before = [], None
+        for i, j in turns.tolist():
+            a, b = int(words.begin[after[i] - sizes[i]]), int(words.end[after[j - 1] - 1])
+            if before is not None:
+                parts.append(b"\n" if (words.raw[before:a] == 10).any() else b" ")
+            parts.append(words.raw[a:b].tobytes())
+            before = b
+        out.append(b"".join(parts).decode("utf-8", "surrogatepass"))
+    return out, went
 
 
 def _spans(span: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            ids, at, values = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                a, h = span_hashes(*sentences(text.encode("utf-8", "surrogatepass"), hashes), span, least_words)
-                ids.append(np.full(len(a), i))
-                at.append(a)
-                values.append(h)
-            if not ids:
-                continue
-            take = pa.array(np.concatenate(ids))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(np.concatenate(at)), pa.array(np.concatenate(values))],
-                names=["doc_id", "text_key", "at", "h"],
-            )
+            for i, j, words in blocks(batch.column("text")):
+                text, at, values = span_hashes(sentences(words), span, least_words)
+                take = pa.array(text)
+                columns = [batch.column(c).slice(i, j - i).take(take) for c in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(at), pa.array(values)], names=["doc_id", "text_key", "at", "h"])
 
     return run
 
@@ -150,7 +147,8 @@ def repeated_spans(docs: DataFrame, span: int = 4, least_words: int = 12, id_col
 
     First is the span with the smallest (doc_id, text_key, position); a null id
     comes before all others. ``text_key`` is a hash of the text, so that rows
-    with the same id but different texts are told apart.
+    with the same id but different texts are told apart. A null text is empty;
+    texts without words have no spans; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -161,21 +159,29 @@ def repeated_spans(docs: DataFrame, span: int = 4, least_words: int = 12, id_col
     first = spans.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "first")
     first = materialize(first, "span-first")
     found = spans.join(first, "h").where(~F.struct("doc_id", "text_key", "at").eqNullSafe(F.col("first")))
-    return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    found = materialize(found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("at")).alias("at")), "span-repeats")
+    discard(first)
+    return found
 
 
-def _cut(span: int):
+def _cut(span: int, text: str, at: str, words: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            texts, words = [], []
-            for text, at in zip(batch.column("_span_text").to_pylist(), batch.column("_span_at").to_pylist(), strict=True):
-                new, n = remove_sentences(text, at, span, hashes) if at else (text, 0)
-                texts.append(new)
-                words.append(n)
+            texts, went = batch.column(text).to_pylist(), [0] * batch.num_rows
+            places = batch.column(at).to_pylist()
+            hit, held = [], 0
+            for i, p in enumerate([*places, None]):
+                if hit and (held >= 1 << 22 or i == len(places)):
+                    new, counts = remove_sentences([texts[k] for k in hit], [places[k] for k in hit], span)
+                    for k, t, n in zip(hit, new, counts, strict=True):
+                        texts[k], went[k] = t, n
+                    hit, held = [], 0
+                if p:
+                    hit.append(i)
+                    held += len(texts[i])
             names = batch.schema.names
-            keep = [i for i, c in enumerate(names) if c not in ("_span_text", "_span_at")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string()), pa.array(words, pa.int64())], names=[*(names[i] for i in keep), "_span_text", "_span_words"])
+            keep = [i for i, c in enumerate(names) if c not in (text, at)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string()), pa.array(went, pa.int64())], names=[*(names[i] for i in keep), text, words])
 
     return run
 
@@ -186,17 +192,16 @@ def cut_repeated(docs: DataFrame, span: int = 4, least_words: int = 12, id_col:
     Every row stays, at worst with an empty text; a row without repeats, a
     null text among them, keeps its text untouched. Repeated rows with the same
     id and text are one document and lose the same spans. An empty table gives
-    an empty result. Other columns stay as they are.
+    an empty result. Other columns stay as they are, whatever their names.
     """
-    spark = docs.sparkSession
-    found = materialize(repeated_spans(docs, span, least_words, id_col, text_col), "span-repeats").select(F.col("doc_id").alias("_span_id"), F.col("text_key").alias("_span_key"), F.col("at").alias("_span_at"))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    marked = docs.withColumn("_row_key", F.xxhash64(text))
-    joined = marked.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_span_id")) & (F.col("_row_key") == F.col("_span_key")), "left").drop("_span_id", "_span_key", "_row_key")
-    tune(spark)
+    tune(docs.sparkSession)
+    own_id, own_key, places, text, words, key = free_names(docs, "span_id", "span_key", "span_at", "span_text", "span_words", "row_key")
+    found = repeated_spans(docs, span, least_words, id_col, text_col).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("at").alias(places))
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    joined = marked.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)), "left")
     plain = [c for c in docs.columns if c not in (text_col, "removed_words")]
-    ready = joined.select(*(f"`{c}`" for c in plain), F.col(f"`{text_col}`").cast("string").alias("_span_text"), "_span_at")
+    ready = joined.select(*(f"`{c}`" for c in plain), F.col(f"`{text_col}`").cast("string").alias(text), places)
     kept = [f for f in ready.schema.fields if f.name in plain]
-    schema = StructType([*kept, StructField("_span_text", StringType()), StructField("_span_words", LongType())])
-    done = ready.mapInArrow(_cut(span), schema)
-    return done.select(*(F.col("_span_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "removed_words"), F.col("_span_words").alias("removed_words"))
+    schema = StructType([*kept, StructField(text, StringType()), StructField(words, LongType())])
+    done = ready.mapInArrow(_cut(span, text, places, words), schema)
+    return done.select(*(F.col(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "removed_words"), F.col(words).alias("removed_words"))

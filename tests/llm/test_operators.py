@@ -12,11 +12,12 @@ import pytest
 from streetlens.llm import bpe_table, jaccard_join, packing, quality_classifier, quality_rules, queries, sharding, span_dedup, stream_dedup, token_store, url_filter
 from streetlens.llm.components import components
 from streetlens.llm.docstats import Doc
-from streetlens.llm.shingles import WordHashes, shingle_sets
+from streetlens.llm.words import LONG, blocks, word_hash, words_of_texts
 from streetlens.llm.tokens import Encoder, vocabulary_path
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, row string, key string, sign string, digest string, part string, node string, h string, at string, n string"
+LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 TEXT = "The quick brown fox jumps over it. Then the dog sleeps near a river. Nobody saw that coming at all. We went home late. "
 
 
@@ -47,8 +48,14 @@ def same(found, want):
 # 10
 
 
+def shingles_of(text, k):
+    """The set itself: tuples of lower-cased words, no hashes."""
+    words = (text or "").translate(LOWER).encode().split()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}
+
+
 def brute_components(docs, k, percent):
-    sets = shingle_sets([(t or "").encode() for _, t, *_ in docs], k, WordHashes())
+    sets = [shingles_of(t, k) for _, t, *_ in docs]
     parent = list(range(len(docs)))
 
     def root(x):
@@ -58,7 +65,7 @@ def brute_components(docs, k, percent):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            both = len(np.intersect1d(a, sets[j]))
+            both = len(a & sets[j])
             if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     least = defaultdict(lambda: None)
@@ -85,7 +92,39 @@ def test_jaccard_in_chunks(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows, 2, 70)
     assert same(jaccard_join.jaccard_components(df, 2, 70).collect(), want)
-    assert same(jaccard_join.jaccard_components(df, 2, 70, block_shingles=60).collect(), want)
+    assert same(jaccard_join.jaccard_components(df, 2, 70, chunk_sets=5).collect(), want)
+    assert same(jaccard_join.jaccard_components(df, 2, 70, chunk_shingles=60).collect(), want)
+
+
+def test_jaccard_with_null_and_repeated_ids(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(120):
+        w = [f"w{rng.randrange(30)}" for _ in range(40)] if i % 4 == 0 else rows[-1][1].split()
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((None if i % 3 == 0 else i % 7, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert same(jaccard_join.jaccard_components(df, 2, 70, chunk_sets=7).collect(), brute_components(rows, 2, 70))
+
+
+def test_one_document_of_each_group_stays_where_ids_repeat(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (4, c), (None, c + " end"), (5, None), (6, ""), (2, b)]
+    names = ["gone_id", "Text_Key", "_gone", "key"]
+    df = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = jaccard_join.nearest_kept(df)
+    assert kept.columns == df.columns
+    assert same([(r.doc_id, r.text) for r in kept.collect()], [(1, a), (2, b), (2, b), (4, c), (None, c + " end"), (5, None), (6, "")])
+
+
+def test_words():
+    rng = random.Random(21)
+    texts = ["", " \n a", "abc DEF  ghi\n", "x" * 200 + " y " + "X" * 200, "é日本 z", "A" * LONG] + ["".join(rng.choice("abC\n\t.é ") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    import pyarrow as pa
+
+    found = [w for i, j, part in blocks(pa.array(["?", *texts]).slice(1)) for w in part.hashes.tolist()]
+    assert found == [word_hash(w) for t in texts for w in t.encode().split()]
+    assert word_hash(b"A" * 90) == word_hash(b"a" * 90) != word_hash(b"a" * 91) and word_hash("É".encode()) != word_hash("é".encode())
 
 
 def test_jaccard_empty(empty):
@@ -134,6 +173,15 @@ def test_exact_dedup(odd, weak):
     assert same([(r.doc_id,) for r in kept.collect()], [(k,) for k, _ in want.values()])
 
 
+def test_exact_dedup_in_many_micro_batches(odd, monkeypatch):
+    rows, df = odd
+    monkeypatch.setattr(stream_dedup, "BATCH_BYTES", "1")
+    want, lower = brute_dedup(rows)
+    found = stream_dedup.exact_dedup(df).collect()
+    assert same([(r.doc_id, r.keep_id, r.group_size) for r in found], [(d, *want[(t or "").translate(lower)]) for d, t, *_ in rows])
+    assert sum(r.kept for r in found) == len(want)
+
+
 def test_exact_dedup_empty(empty):
     assert stream_dedup.exact_dedup(empty).collect() == [] and stream_dedup.keep_one(empty).collect() == []
 
@@ -186,13 +234,50 @@ def test_sharding(odd, spark):
 
 
 def test_shards_are_near_equal_with_a_hot_text(spark):
-    docs = [(i, "hot text " * 20 if i % 3 == 0 else f"text {i} " * (5 + i % 40)) for i in range(6000)]
+    docs = [(i if i % 5 else None, "hot text " * 20 if i % 3 == 0 else f"text {i // 2} " * (5 + i // 2 % 40)) for i in range(6000)]
     found = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect()
-    loads = Counter()
+    loads, homes = Counter(), defaultdict(set)
     for r in found:
         loads[r.shard] += r.size
+        homes[r.text_crc32].add(r.shard)
     mean = sum(loads.values()) / 8
     assert max(loads.values()) < 1.02 * mean and min(loads.values()) > 0.97 * mean
+    hot = zlib.crc32(("hot text " * 20).encode())
+    assert len(homes[hot]) > 1 and all(len(v) == 1 for k, v in homes.items() if k != hot)
+
+
+def test_shards_of_the_test_documents_keep_groups_together(spark):
+    found = queries.op3_sharding(spark, "/root/testdata/sf0.01").collect()
+    mean = sum(r.size for r in found) / 40
+    groups = defaultdict(list)
+    for r in found:
+        groups[r.text_crc32].append(r)
+    assert all(len({r.shard for r in g}) == 1 for g in groups.values() if sum(r.size for r in g) <= sharding.HOT * mean)
+
+
+def brute_place(units, shards, slack):
+    """The rule itself: heaviest first, clockwise from the unit's point to the first shard with room."""
+    nodes = sorted((int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=8).digest(), "big") >> 1, s) for s in range(shards) for v in range(sharding.VIRTUAL))
+    loads, out, total = [0] * shards, {}, sum(load for _, _, load in units)
+    for unit, point, load in sorted(units, key=lambda u: (-u[2], u[0])):
+        room = max(-(-total * (1000 + round(1000 * slack)) // (1000 * shards)), -(-sum(loads) // shards) + load)
+        turn = [s for p, s in nodes if p >= point] + [s for _, s in nodes]
+        out[unit] = next(s for s in turn if loads[s] + load <= room)
+        loads[out[unit]] += load
+    return out, loads
+
+
+def test_placing_is_bounded_and_moves_little():
+    rng = random.Random(9)
+    for shards, most in ((5, 100), (12, 5000), (3, 1)):
+        units = [(u, rng.getrandbits(63), rng.randint(1, most if u % 50 == 0 else 100)) for u in range(600)]
+        want, loads = brute_place(units, shards, sharding.SLACK)
+        assert dict(sharding.place(units, shards)) == want
+        assert max(loads) <= max(sum(loads) / shards * (1 + sharding.SLACK) + 1, sum(loads) / shards + max(u[2] for u in units) + 1)
+    units = [(u, rng.getrandbits(63), 100 + u % 7) for u in range(20_000)]
+    before, after = dict(sharding.place(units, 40)), dict(sharding.place(units, 41))
+    moved = sum(u[2] for u in units if before[u[0]] != after[u[0]]) / sum(u[2] for u in units)
+    assert moved < 0.08  # dealing by a hash of the unit would move 40 of 41
 
 
 def test_ring_is_stable():
@@ -303,15 +388,61 @@ def test_packing_empty(empty):
 # 8
 
 
+def brute_sentences(text):
+    """[(words)] of each sentence or part, by the definition: nothing of the operator's but the hash of a word."""
+    out = []
+    for line in (text or "").split("\n"):
+        sentence = []
+        words = line.encode().split()
+        for i, w in enumerate(words):
+            sentence.append(w)
+            if w[-1:] in (b".", b"!", b"?") or i == len(words) - 1:
+                h = [word_hash(x) for x in sentence]
+                ends = {max(range(j, j + span_dedup.WINDOW), key=lambda x: (-h[x], x)) for j in range(len(h) - span_dedup.WINDOW + 1)} | {len(h) - 1}
+                begin = 0
+                for e in sorted(ends):
+                    out.append([x.decode().translate(LOWER) for x in sentence[begin : e + 1]])
+                    begin = e + 1
+                sentence = []
+    return out
+
+
+def brute_runs(parts, span, least):
+    """Every (first, after last) run that is the shortest one from or up to a sentence with enough sentences and words."""
+    found = set()
+    for i in range(len(parts)):
+        for step in (1, -1):
+            run, words = [i], len(parts[i])
+            while (len(run) < span or words < least) and 0 <= run[-1] + step < len(parts):
+                run.append(run[-1] + step)
+                words += len(parts[run[-1]])
+            if len(run) >= span and words >= least:
+                found.add((min(run), max(run) + 1))
+    return found
+
+
 def brute_spans(rows, span, least):
-    hashes, seen, removed = WordHashes(), {}, defaultdict(set)
-    order = sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
-    for d, t in order:
-        after, mixed = span_dedup.sentences(t.encode(), hashes)
-        for a, h in zip(*(x.tolist() for x in span_dedup.span_hashes(after, mixed, span, least)), strict=True):
-            if seen.setdefault(h, (d, t, a)) != (d, t, a):
-                removed[d, t].add(a)
-    return {(d, t): span_dedup.remove_sentences(t, sorted(a), span, hashes) for (d, t), a in removed.items()}
+    """{(id, text): (words left, words removed)} for texts that lose some."""
+    every = {}
+    for d, t in {(r[0], r[1] or "") for r in rows}:
+        parts = brute_sentences(t)
+        for i, e in brute_runs(parts, span, least):
+            every.setdefault(tuple(map(tuple, parts[i:e])), []).append((d, t, i, e))
+    gone = defaultdict(set)
+    for found in every.values():
+        first = min(found, key=lambda f: (f[0] is not None, f[0] or 0, f[2]))
+        for d, t, i, e in found:
+            if (d, t, i, e) != first:
+                gone[d, t].update(range(i, e))
+    out = {}
+    for (d, t), cut in gone.items():
+        parts, words = brute_sentences(t), t.encode().split()
+        at, left = 0, []
+        for i, p in enumerate(parts):
+            left += words[at : at + len(p)] if i not in cut else []
+            at += len(p)
+        out[d, t] = [w.decode() for w in left], len(words) - len(left)
+    return out
 
 
 def test_span_dedup(odd):
@@ -320,8 +451,21 @@ def test_span_dedup(odd):
     assert gone
     found = span_dedup.cut_repeated(df, 2, 5)
     assert found.columns == [*df.columns, "removed_words"]
-    want = [(d, *(gone.get((d, t or "")) or (t, 0))) for d, t, *_ in rows]
-    assert same([(r.doc_id, r.text, r.removed_words) for r in found.collect()], want)
+    for r in found.collect():
+        left = gone.get((r.doc_id, r.text)) or next((g for (d, t), g in gone.items() if d == r.doc_id and g[0] == (r.text or "").split()), None)
+        assert r.removed_words == (left[1] if left else 0), r.doc_id
+    want = [(d, *gone[d, t or ""]) if (d, t or "") in gone else (d, [w.decode() for w in (t or "").encode().split()], 0) for d, t, *_ in rows]
+    assert same([(r.doc_id, [w.decode() for w in (r.text or "").encode().split()], r.removed_words) for r in found.collect()], want)
+    untouched = {(d, t) for d, t, *_ in rows if (d, t or "") not in gone}
+    assert untouched <= {(r.doc_id, r.text) for r in found.collect()}
+
+
+def test_span_dedup_leaves_white_space_between_what_stays(spark):
+    own = ["Alpha  beta gamma one.", "Zeta eta\ttheta two."]
+    passage = "One common passage here. It has several sentences now. They all come twice over. This is its end."
+    docs = [(1, passage), (2, f"{own[0]}\n\n {passage}\n{own[1]}"), (3, f"{own[0]} {passage} \t"), (4, passage)]
+    found = {r.doc_id: r.text for r in span_dedup.cut_repeated(spark.createDataFrame(docs, "doc_id long, text string"), 2, 8).collect()}
+    assert found[1] == passage and found[4] == "" and found[2].startswith(own[0] + "\n") and found[2].endswith(own[1])
 
 
 def test_span_dedup_removes_a_planted_passage(spark):
@@ -334,24 +478,23 @@ def test_span_dedup_removes_a_planted_passage(spark):
     assert passage in found[3].text and found[7].removed_words == 72 and all(found[i].removed_words == 0 for i in range(10) if i != 7)
 
 
-def places_and_hashes(words, hashes):
-    after, mixed = span_dedup.sentences(" ".join(words).encode(), hashes)
-    at, values = span_dedup.span_hashes(after, mixed, 4, 12)
+def places_and_hashes(words):
+    _, at, values = span_dedup.span_hashes(span_dedup.sentences(words_of_texts([" ".join(words).encode()])), 4, 12)
     return dict(zip(values.tolist(), at.tolist(), strict=True))
 
 
 @pytest.mark.parametrize("kind", ["no stops", "stops", "short sentences", "few words", "one word"])
 def test_any_fifty_common_words_hold_a_span(kind):
-    rng, hashes = random.Random(5), WordHashes()
+    rng = random.Random(5)
     end = {"stops": lambda i: "." * (rng.random() < 0.1), "short sentences": lambda i: "." * (i % 2)}.get(kind, lambda i: "")
     words = [f"u{i}" for i in range({"few words": 3, "one word": 1}.get(kind, 3000))]
     some = lambda n: [rng.choice(words) + end(i) for i in range(n)]
     for _ in range(1500):
         passage = some(50)
-        a, b = (places_and_hashes(["x", *some(rng.randint(0, 12)), *passage, *some(rng.randint(0, 12)), "y"], hashes) for _ in range(2))
+        a, b = (places_and_hashes(["x", *some(rng.randint(0, 12)), *passage, *some(rng.randint(0, 12)), "y"]) for _ in range(2))
         assert set(a) & set(b)
     for _ in range(300):  # no part is longer than the window
-        after = span_dedup.sentences(" ".join(some(200)).encode(), hashes)[0]
+        after = span_dedup.sentences(words_of_texts([" ".join(some(200)).encode()])).after
         assert np.diff(after, prepend=0).max() <= span_dedup.WINDOW
 
 

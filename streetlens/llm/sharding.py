@@ -1,16 +1,19 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-Equal texts share a point of the ring. The ring is cut into a fixed number of
-cells; a cell belongs to the next virtual node clockwise, and continues
-clockwise to the next shard with room when that one is full. Cells heavier
-than a fixed share of a shard (hot groups of equal texts) are divided by a hash
-of the document id, so no group is too large to be balanced. The capacity of a
-shard is the mean load plus ``SLACK``: sizes come out near equal by
-construction, while a cell moves no further than it must.
-
-Rows are handled by DataFrame operations only. The driver sees the loads of
-cells: at most ``CELLS`` of them, and as many parts of heavy cells as fit in
-the shards, however large the input is.
+Equal texts share a point of the ring. The ring is cut into cells, several
+hundred for each shard; a cell goes to the next virtual node clockwise, and on
+to the next shard with room when that one is full. Only a *hot* group of equal
+texts, one heavier than ``HOT`` of the mean shard, is divided: its rows are
+dealt to parts with points of their own.
+
+Units (cells and parts of hot groups) are placed heaviest first. A unit fits a
+shard if this then holds at most the greater of ``1 + SLACK`` times the mean
+load and of the mean of what is placed so far plus the unit. The least loaded
+shard always has that room, so every unit finds a place and the bound holds for
+all shards: they end near equal as soon as the last units are small.
+
+Rows are handled by DataFrame operations only. The driver sees one load for a
+cell and hot part; their number depends on the shards alone.
 """
 
 from __future__ import annotations
@@ -21,16 +24,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slim
+from .common import driver_table, materialize, slim
 
-#: Cells of the ring, virtual nodes of a shard, capacity above the mean.
-CELLS = 1 << 15
+#: Cells of the ring at least, and for each shard; virtual nodes of a shard; capacity above the mean.
+CELLS, CELLS_PER_SHARD = 1 << 15, 512
 VIRTUAL = 64
 SLACK = 0.001
-#: A cell above this share of a shard's capacity is divided, into parts of about this share.
-HEAVY = 0.004
-#: Buckets of a shard within which slots are counted.
-SLOT_BUCKETS = 64
+#: A group of equal texts above this share of the mean shard is divided, into parts of about ``PART`` of it.
+HOT, PART = 0.25, 1 / 64
+#: Rows of a shard within which slots are counted together, about, and how many such buckets a shard has at least.
+SLOT_ROWS, SLOT_BUCKETS = 1_000_000, 64
 
 
 def ring(shards: int, virtual: int = VIRTUAL) -> tuple[np.ndarray, np.ndarray]:
@@ -41,31 +44,33 @@ def ring(shards: int, virtual: int = VIRTUAL) -> tuple[np.ndarray, np.ndarray]:
     return points[order], owners[order]
 
 
-def assign(cells: list[tuple[int, int, int]], shards: int, cells_total: int = CELLS, slack: float = SLACK) -> list[tuple[int, int, int]]:
-    """(cell, part, shard) for (cell, part, load): bounded loads, heavy loads first, clockwise past full shards.
-
-    Should no shard have room, the least loaded one takes the cell.
-    """
+def place(units: list[tuple[int, int, int]], shards: int, slack: float = SLACK) -> list[tuple[int, int]]:
+    """(unit, shard) for (unit, point of the ring, load): heaviest first, clockwise past full shards."""
     points, owners = ring(shards)
-    total = sum(load for _, _, load in cells)
-    capacity = int(-(-total * (1 + slack) // shards))
-    clockwise: dict[int, np.ndarray] = {}
-    loads, out = np.zeros(shards, np.int64), []
-    for cell, part, load in sorted(cells, key=lambda c: (-c[2], c[0], c[1])):
-        # parts of a heavy cell begin at points of their own, else they would all push the same neighbours
-        point = (cell * ((1 << 63) // cells_total) + part * 0x61C8864680B583EB) & ((1 << 63) - 1)
-        at = int(np.searchsorted(points, point)) % len(points)
-        if at not in clockwise:
-            turned = np.roll(owners, -at)
-            clockwise[at] = turned[np.sort(np.unique(turned, return_index=True)[1])]
-        order = clockwise[at]
-        room = loads[order] + load <= capacity
-        shard = int(order[room.argmax()]) if room.any() else int(loads.argmin())
+    around = np.concatenate([owners, owners])
+    total = sum(load for _, _, load in units)
+    fair = -(-total * (1000 + round(1000 * slack)) // (1000 * shards))
+    loads, placed, out = np.zeros(shards, np.int64), 0, []
+    for unit, point, load in sorted(units, key=lambda u: (-u[2], u[0])):
+        room = max(fair, -(-placed // shards) + load) - load
+        at, step = int(np.searchsorted(points, point)) % len(points), 4
+        while True:  # ever longer stretches of virtual nodes
+            free = loads[around[at : at + step]] <= room
+            if free.any():
+                break
+            step *= 4
+        shard = int(around[at + int(free.argmax())])
         loads[shard] += load
-        out.append((cell, part, shard))
+        placed += load
+        out.append((unit, shard))
     return out
 
 
+def point_of(name: str) -> int:
+    """The point of the ring that a name stands for."""
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big") >> 1
+
+
 def row_size(text: Column) -> Column:
     """UTF-8 bytes of a text plus 16."""
     return (F.octet_length(text) + F.lit(16)).cast("long")
@@ -76,35 +81,37 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
 
     ``law`` is ``bytes``: the shards' sizes are near equal. ``slot`` counts a
     shard's rows from 0 without gaps. Equal texts share a shard unless their
-    group is heavier than ``HEAVY`` of one. A null text is empty; null and
-    repeated ids and repeated rows are rows like others; an empty table gives
-    an empty result; other columns are ignored.
+    group is heavier than ``HOT`` of the mean shard; only which rows of such a
+    group go where depends on the order of the input. A null text is empty;
+    null and repeated ids and repeated rows are rows like others; an empty
+    table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    bits = max(CELLS, CELLS_PER_SHARD * shards - 1).bit_length() - (0 if shards * CELLS_PER_SHARD > CELLS else 1)
     text = F.col("text")
-    rows = slim(docs, id_col, text_col).select("doc_id", row_size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.xxhash64("doc_id", text).alias("salt"))
-    # the top 15 bits of the hash are the cell
-    rows = materialize(rows.withColumn("cell", F.shiftrightunsigned("h", 64 - (CELLS.bit_length() - 1)).cast("int")), "shard-rows")
-    totals = rows.groupBy("cell").agg(F.sum("size").alias("load"))
-    loads = [(r["cell"], r["load"]) for r in totals.collect()]
-    total = sum(n for _, n in loads)
-    bound = max(1, int(HEAVY * total / shards))
-    heavy = {c: int(-(-n // bound)) for c, n in loads if n > bound}
-    light = [(c, 0, n) for c, n in loads if c not in heavy]
-    if heavy:
-        # every heavy cell has more than a fixed share of all bytes, so their number is bounded by the shards
-        parts = spark.createDataFrame(sorted(heavy.items()), "cell int, parts int")
-        rows = rows.join(F.broadcast(parts), "cell", "left").withColumn("part", F.coalesce(F.pmod("salt", "parts"), F.lit(0)).cast("int"))
-        counted = rows.where("parts is not null").groupBy("cell", "part").agg(F.sum("size").alias("load"))
-        light += [(r["cell"], r["part"], r["load"]) for r in counted.collect()]
-    else:
-        rows = rows.withColumn("part", F.lit(0))
-    placed = spark.createDataFrame(assign(light, shards), "cell int, part int, shard int")
-    at = rows.join(F.broadcast(placed), ["cell", "part"]).withColumn("bucket", F.pmod("salt", F.lit(SLOT_BUCKETS)).cast("int"))
+    rows = slim(docs, id_col, text_col).select("doc_id", row_size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    # the top bits of the hash are the cell; ``salt`` deals rows that are otherwise alike
+    rows = materialize(rows.withColumns({"cell": F.shiftrightunsigned("h", 64 - bits), "salt": F.xxhash64("doc_id", "row")}), "shard-rows")
+    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    group = ["h", "text_crc32"]
+    # at most shards / HOT groups are hot
+    hot = [(r["h"], r["text_crc32"], r["load"]) for r in rows.groupBy(*group).agg(F.sum("size").alias("load")).where(F.col("load") > HOT * total / shards).collect()]
+    parts, first = [], 1 << bits
+    for h, crc, load in sorted(hot):
+        n = int(-(-load // max(1.0, PART * total / shards)))
+        parts.append((h, crc, first, n))
+        first += n
+    unit = F.when(F.col("parts").isNull(), F.col("cell")).otherwise(F.col("first") + F.pmod("salt", "parts")).cast("long")
+    dealt = rows.join(F.broadcast(driver_table(spark, parts, "h long, text_crc32 long, first long, parts long", "shard-hot")), group, "left").withColumn("unit", unit)
+    loads = {r["unit"]: r["load"] for r in dealt.groupBy("unit").agg(F.sum("size").alias("load")).collect()}
+    points = {u: (u << (63 - bits)) for u in loads if u < 1 << bits} | {f + i: point_of(f"{h}/{crc}/{i}") for h, crc, f, n in parts for i in range(n)}
+    placed = driver_table(spark, place([(u, points[u], n) for u, n in loads.items()], shards), "unit long, shard int", "shard-units")
+    buckets = max(SLOT_BUCKETS, count // (shards * SLOT_ROWS))
+    at = dealt.join(F.broadcast(placed), "unit").withColumn("bucket", F.pmod("salt", F.lit(buckets)).cast("int"))
     # slots: rows before the bucket in its shard, then the rank within the bucket
     sizes = at.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("salt", "doc_id", "size"))
-    return at.withColumn("rank", rank).join(F.broadcast(before), ["shard", "bucket"]).select(
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("salt", "doc_id", "row"))
+    return at.withColumn("rank", rank).join(before, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

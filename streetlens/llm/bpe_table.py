@@ -5,15 +5,17 @@
 2. Texts are split into words in one distributed pass; a chunk of neighbouring
    documents gives each of its other words once.
 3. These are sorted by word; every distinct word is encoded once, as its run of
-   rows passes by, and each chunk that has it gets its ids.
-4. Each chunk meets its documents again in one task of bounded size, where they
-   are split again and each word's ids are looked up. The documents travel
+   rows passes by.
+4. Decoding is a join of the distinct words' ids, by position, with the
+   id-to-piece table of the vocabulary, which has a fixed size: no occurrence
+   of a word is ever decoded twice.
+5. Each chunk that has a word gets its ids and its decoded bytes, and meets its
+   documents again in one task of bounded size, where they are split again and
+   each word's ids and bytes are put at its positions. The documents travel
    compressed; the occurrences of words never do.
-5. Decoding looks ids up in the id-to-piece table of the vocabulary, which has a
-   fixed size and which each worker holds; ``decode_by_join`` does it by a join.
 
-A text with characters for which the split is not known to be exact is one
-word as a whole, so every text is encoded as the library encodes it.
+Texts of common characters are split by a pattern, others by the library's own
+pre-tokenizer; only a text that holds a special token is one word as a whole.
 """
 
 from __future__ import annotations
@@ -45,7 +47,12 @@ def split_words(text: str, enc) -> list[str]:
     """The words of a text: encoding them one by one gives the text's ids."""
     if not text:
         return []
-    return SPLIT.findall(text) if not enc.words and enc.is_common(text) else [text]
+    if enc.words or any(x in text for x in enc.special):
+        return [text]
+    if enc.is_common(text):
+        return SPLIT.findall(text)
+    words = [text[a:b] for _, (a, b) in enc.library.pre_tokenizer.pre_tokenize_str(text)]
+    return words if sum(map(len, words)) == len(text) else [text]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
@@ -75,22 +82,12 @@ def _counted(path: str):
     return run
 
 
-def common_words(docs: DataFrame, path: str) -> dict[str, bytes]:
-    """The most frequent words of a sample of rows with their ids, as the bytes of little-endian uint32."""
+def common_words(docs: DataFrame, path: str) -> dict[str, tuple[bytes, bytes]]:
+    """The most frequent words of a sample of rows, each with its ids (little-endian uint32) and the bytes they decode to."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_counted(path), "word string, n long")
-    top = sample.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word")
-    table = top.mapInArrow(_encode_each(path), "word string, ids binary").toArrow()
-    return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True))
-
-
-def _encode_each(path: str):
-    def run(batches):
-        enc = encoder(path)
-        for batch in batches:
-            ids = [a.astype("<u4").tobytes() for a in enc.encode(batch.column("word").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
-
-    return run
+    top = sample.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
+    table = _known(top.select(F.lit(-1).cast("long").alias("chunk"), "word").repartition("word").sortWithinPartitions("word"), path).toArrow()
+    return {w: (ids, w.encode() if raw is None else raw) for w, ids, raw in zip(*(table.column(c).to_pylist() for c in ("word", "ids", "raw")), strict=True)}
 
 
 def _words(path: str, common):
@@ -111,23 +108,77 @@ def _words(path: str, common):
 
 
 def _encode_runs(path: str):
-    """From rows (chunk, word) sorted by word: (chunk, word, ids), each distinct word encoded once."""
+    """From rows (chunk, word) sorted by word: (word, chunks, ids), each distinct word encoded once; a word of very many chunks has several rows."""
 
     def run(batches):
-        enc, last, last_ids = encoder(path), None, b""
+        enc, last, last_ids = encoder(path), None, None
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            new = list(dict.fromkeys(w for w in words if w != last))
-            known = dict(zip(new, (a.astype("<u4").tobytes() for a in enc.encode(new)), strict=True))
-            if last is not None:
-                known[last] = last_ids
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("word"), pa.array([known[w] for w in words], pa.binary())], names=["chunk", "word", "ids"])
-            if words:
-                last, last_ids = words[-1], known[words[-1]]
+            words, chunks = batch.column("word").to_pylist(), batch.column("chunk")
+            if not words:
+                continue
+            begin = [i for i, w in enumerate(words) if not i or w != words[i - 1]]
+            new = [words[i] for i in begin]
+            ids = enc.encode(new[1:] if new[0] == last else new)
+            ids = [last_ids, *ids] if new[0] == last else ids
+            last, last_ids = new[-1], ids[-1]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), pa.ListArray.from_arrays(pa.array([*begin, len(words)], pa.int32()), chunks), lists], names=["word", "chunks", "ids"])
 
     return run
 
 
+def _gather(batches):
+    """From rows (at, word, chunks, id, piece), each word's in a row by position: (chunk, word, ids, raw).
+
+    ``raw`` are the bytes that the ids decode to, null where these are the word's own.
+    """
+    held: list = []  # the word that the last batch ended in: word, chunks, ids, bytes
+    seen = -1
+
+    def give(rows):
+        columns = [(c, w, np.array(ids, "<u4").tobytes(), None if raw == w.encode() else raw) for w, chunks, ids, raw in rows for c in chunks]
+        columns = list(zip(*columns, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "word", "ids", "raw"])
+
+    for batch in batches:
+        at, ids = batch.column("at").to_numpy(), batch.column("id").to_pylist()
+        if not len(at):
+            continue
+        if (np.diff(at, prepend=seen) != 1)[at > 0].any():
+            raise RuntimeError("the pieces of a word are not in a row")
+        seen = int(at[-1])
+        piece = batch.column("piece")
+        offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(at) + 1].tolist()
+        data = piece.buffers()[2].to_pybytes() if offsets[-1] else b""
+        begin = np.flatnonzero(at == 0).tolist()
+        done = []
+        first = begin[0] if begin else len(at)
+        if held:
+            held[0][2].extend(ids[:first])
+            held[0][3] += data[offsets[0] : offsets[first]]
+        if begin:
+            words, chunks = (batch.column(c).take(pa.array(begin)).to_pylist() for c in ("word", "chunks"))
+            done = [*held, *([w, c, ids[i:j], data[offsets[i] : offsets[j]]] for w, c, i, j in zip(words, chunks, begin, [*begin[1:], len(at)], strict=True))]
+            held = [done.pop()]
+        yield give(done)
+    yield give(held)
+
+
+def _known(words: DataFrame, path: str) -> DataFrame:
+    """(chunk, word, ids, raw) for rows (chunk, word) that are sorted by word in their partitions.
+
+    The join keeps a partition's rows in their order, as the small side is
+    broadcast: nothing is shuffled to bring a word's pieces together again.
+    """
+    runs = words.mapInArrow(_encode_runs(path), "word string, chunks array<long>, ids array<int>")
+    each = runs.select("word", "chunks", F.posexplode("ids").alias("at", "id"))
+    first = F.col("at") == 0
+    each = each.select("at", "id", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("chunks")).alias("chunks"))
+    joined = each.join(F.broadcast(piece_table(words.sparkSession, path)), "id").select("at", "word", "chunks", "id", "piece")
+    return joined.mapInArrow(_gather, "chunk long, word string, ids binary, raw binary")
+
+
 def _blobs(batches):
     pack = zstandard.ZstdCompressor(level=4)
     for chunk, ids, texts in _chunks(batches):
@@ -141,13 +192,33 @@ def pieces(path: str) -> dict[int, bytes]:
     return {i: token.encode() if token in enc.special else bytes(to_byte[c] for c in token) for token, i in enc.library.get_vocab(with_added_tokens=True).items()}
 
 
+class Table(dict):
+    """word -> (ids, bytes): the chunk's own words, then the common ones.
+
+    Words are missing only where the input was dealt to chunks in another way
+    when it was read again (an input that Spark recomputes in another order);
+    these are encoded on the spot.
+    """
+
+    def __init__(self, common: dict, own: dict, path: str):
+        super().__init__(own)
+        self.common, self.path = common, path
+
+    def __missing__(self, word: str) -> tuple[bytes, bytes]:
+        hit = self.common.get(word)
+        if hit is None:
+            ids, piece = encoder(self.path).encode([word])[0], _pieces(self.path)
+            hit = self[word] = ids.astype("<u4").tobytes(), b"".join([piece[i] for i in ids.tolist()])
+        return hit
+
+
 def _restore(path: str, digest: bool, common):
     """A chunk's documents and word ids brought together: one row a document."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         enc = encoder(path)
-        piece = _pieces(path)
-        table = common.value | dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
+        own = zip(*(right.column(c).to_pylist() for c in ("word", "ids", "raw")), strict=True)
+        table = Table(common.value, {w: (ids, w.encode() if raw is None else raw) for w, ids, raw in own}, path)
         text_of: dict[str, tuple[int, str, bytes]] = {}
         docs, rows = [], []
         for blob in left.column("blob").to_pylist():
@@ -156,14 +227,14 @@ def _restore(path: str, digest: bool, common):
             for text in texts:
                 words = split_words(text, enc)
                 if not digest:
-                    rows.append(np.frombuffer(b"".join([table[w] for w in words]), "<u4").tolist())
+                    rows.append(np.frombuffer(b"".join([table[w][0] for w in words]), "<u4").tolist())
                     continue
                 found = []
                 for w in words:
                     hit = text_of.get(w)
                     if hit is None:
-                        values = np.frombuffer(table[w], "<u4").tolist()
-                        hit = text_of[w] = (len(values), ",".join(map(str, values)), b"".join([piece[v] for v in values]))
+                        values = np.frombuffer(table[w][0], "<u4").tolist()
+                        hit = text_of[w] = (len(values), ",".join(map(str, values)), table[w][1])
                     found.append(hit)
                 n = sum([f[0] for f in found])
                 listed = ",".join([f[1] for f in found])
@@ -192,7 +263,7 @@ def _meet(docs: DataFrame, path: str, id_col: str, text_col: str, digest: bool,
     base = slim(docs, id_col, text_col)
     common = spark.sparkContext.broadcast(common_words(base, path))
     words = base.mapInArrow(_words(path, common), "chunk long, word string").repartition(F.col("word")).sortWithinPartitions("word")
-    known = words.mapInArrow(_encode_runs(path), "chunk long, word string, ids binary")
+    known = _known(words, path)
     blobs = base.mapInArrow(_blobs, "chunk long, blob binary")
     return blobs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_restore(path, digest, common), schema)
 
@@ -234,11 +305,3 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def piece_table(spark, path: str) -> DataFrame:
     """(id int, piece binary) of the vocabulary: its size is fixed."""
     return spark.createDataFrame(sorted(pieces(path).items()), "id int, piece binary")
-
-
-def decode_by_join(encoded: DataFrame, path: str) -> DataFrame:
-    """``decode`` as a plain join of positions with the piece table, for ids that lie in a table anyway."""
-    spark = encoded.sparkSession
-    each = encoded.select("doc_id", F.posexplode("ids").alias("at", "id"))
-    joined = each.join(F.broadcast(piece_table(spark, path)), "id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
-    return joined.select("doc_id", F.decode(F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["piece"])), "UTF-8").alias("text"))

@@ -528,8 +528,26 @@ def test_bpe_table(odd, monkeypatch, spark):
     encoded = bpe_table.encode(df, path)
     decoded = bpe_table.decode(encoded, path).collect()
     assert same(decoded, [(d, t or "") for d, t, *_ in rows])
-    some = encoded.where("doc_id in (4, 9, 11)")
-    assert same(bpe_table.decode_by_join(some, path).collect(), [(d, t) for d, t, *_ in rows if d in (4, 9, 11)])
+
+
+def test_bpe_table_of_all_scripts(spark):
+    """Other scripts, emoji and marks are split into words, too, and missing words are encoded on the spot."""
+    path = vocabulary_path("byte_bpe_50k.json")
+    enc, rng = Encoder(path, fast=False), random.Random(12)
+    bits = ["привет мир", "日本語のテキスト", " 😀👍🏽", "naïve\u00a0café", "e\u0301 x", "ไทย", "عربي ١٢٣", "\n\n  ", "it's we’ll", "Łódź 12", "\u200b", "²½", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    for t in texts:
+        words = bpe_table.split_words(t, enc)
+        assert "".join(words) == t and (len(words) > 1 or "<|endoftext|>" in t or len(t) < 20)
+    want = []
+    for i, t in enumerate(texts):
+        ids = enc.library.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(enc.library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert same(bpe_table.round_trip_digests(df, path).collect(), want)
+    table = bpe_table.Table({}, {}, path)
+    for t in texts[:50]:
+        assert b"".join(table[w][1] for w in bpe_table.split_words(t, enc)).decode("utf-8", "replace") == t
 
 
 def test_bpe_table_empty(empty):

@@ -17,7 +17,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(r, ("host", "path", "verdict"), strict=True))) for r in URL_RULES))))
     found = url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
     return found.select("page_id", "host", "path", "rule", "verdict")
 

@@ -2,10 +2,12 @@
 
 Listed entries are canonical URL prefixes, a host and a path. A URL fits an
 entry when its host is the entry's or a subdomain of it and its path starts
-with the entry's. Every URL therefore asks for a few canonical keys, one per
-combination of host depth and path length that the list has at all. A blocked
-Bloom filter of the listed keys (256 bits a block, one probe of one block)
-passes possible hits; an exact join on the key removes false positives.
+with the entry's. A URL first asks for its host and the hosts above it: a
+blocked Bloom filter of the listed hosts passes possible ones, and an exact join
+gives the path lengths that are listed for each. For these it asks for canonical
+keys of host and path prefix: a blocked Bloom filter of the listed keys (256 bits
+a block, one probe of one block) passes possible hits, and an exact join on the
+key removes false positives. Nothing of the list but its size reaches the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ KEYS_PER_BLOCK = 16
 #: Bits that a key sets in its block.
 PROBES = 6
 #: Blocks (40 bytes each) and listed entries are sent to every executor up to these numbers; above, they are shuffled.
-BROADCAST_BLOCKS = 100_000
+BROADCAST_BLOCKS = 500_000
 BROADCAST_ENTRIES = 100_000
 
 
@@ -75,7 +77,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", id_
 
     ``listed`` has (host, path, verdict), all strings; hosts are lower-cased.
     The longest entry that fits wins, of equally long ones that with the longer
-    host, then the lesser verdict (``allow`` before ``block``). Where none fits,
+    host, then the lesser verdict (``allow`` before ``block``). A null path is
+    empty; entries without a host are left out. Where none fits,
     ``rule`` is null and the verdict ``default``. ``bloom_hit`` says whether the
     Bloom filter passed a key of the row.
 
@@ -86,29 +89,33 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", id_
     base = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"))
     urls = base.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     entries = listed.select(lower_ascii(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), F.col("verdict").alias("v")).where("h <> ''")
-    entries = entries.select(_key(F.col("h"), F.col("p")).alias("key"), _depth(F.col("h")).alias("depth"), F.length("p").alias("long"), F.length("h").alias("host_long"), "v")
-    entries = entries.groupBy("key", "depth", "long", "host_long").agg(F.min("v").alias("v"))
-    # the shapes of listed keys: host depth and path length, few whatever the list's size
-    shapes = [(r["depth"], r["long"]) for r in entries.select("depth", "long").distinct().collect()]
-    count = entries.count()
-    blocks = max(1, count // KEYS_PER_BLOCK)
-    if not shapes:
-        return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(False).alias("bloom_hit"))
+    entries = entries.groupBy("h", "p").agg(F.min("v").alias("v"))
+    hosts = entries.groupBy("h").agg(F.sort_array(F.collect_set(F.length("p"))).alias("lengths"))  # at most as many as the longest path has characters
+    entries = entries.select(_key(F.col("h"), F.col("p")).alias("key"), F.col("h").alias("entry_host"), "v")
+    count, depth = entries.count(), hosts.agg(F.max(_depth(F.col("h")))).first()[0] or 0
     # URLs are judged once each: equal ones are one row before anything is joined
     distinct = urls.where("host <> ''").select("host", "path").distinct()
-    asked = [
-        F.when((_depth(F.col("host")) >= d) & (F.length("path") >= n), F.struct(_key(F.substring_index("host", ".", -d), F.substring("path", 1, n)).alias("key"), F.lit(d).alias("depth"), F.lit(n).alias("long")))
-        for d, n in shapes
-    ]
-    keys = distinct.select("host", "path", F.explode(F.array_compact(F.array(*asked))).alias("k")).select("host", "path", "k.*")
-    filter_ = bloom_blocks(entries, blocks)
-    probed = keys.withColumns({f"m{i}": w for i, w in enumerate(_words(F.col("key")))}).withColumn("block", _block(F.col("key"), blocks))
-    passes = F.lit(True)
-    for i in range(4):
-        passes = passes & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
-    possible = probed.join(F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_, "block").where(passes).select("host", "path", "key", "depth", "long")
-    exact = possible.join(F.broadcast(entries) if count <= BROADCAST_ENTRIES else entries, ["key", "depth", "long"], "left")
-    rank = F.when(F.col("v").isNotNull(), F.struct(F.length("key").alias("a"), F.col("host_long").alias("b"), F.when(F.col("v") == "allow", 1).otherwise(0).alias("c"), F.col("key").alias("rule"), F.col("v").alias("verdict")))
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, depth)))), lambda d: F.array_join(F.slice(labels, -d, d), "."))
+    asked = distinct.select("host", "path", F.explode(F.array_distinct(above)).alias("h"))
+    asked = _possible(asked, "h", hosts.select(F.col("h").alias("key")), count)
+    asked = asked.join(F.broadcast(hosts) if count <= BROADCAST_ENTRIES else hosts, "h")
+    lengths = F.filter("lengths", lambda n: n <= F.length("path"))
+    keys = asked.select("host", "path", "h", F.explode(lengths).alias("long")).select("host", "path", F.col("h").alias("entry_host"), _key(F.col("h"), F.substring(F.col("path"), F.lit(1), F.col("long"))).alias("key"))
+    possible = _possible(keys, "key", entries.select("key"), count)
+    exact = possible.join(F.broadcast(entries) if count <= BROADCAST_ENTRIES else entries, ["key", "entry_host"], "left")
+    rank = F.when(F.col("v").isNotNull(), F.struct(F.length("key").alias("a"), F.length("entry_host").alias("b"), F.when(F.col("v") == "allow", 1).otherwise(0).alias("c"), F.col("key").alias("rule"), F.col("v").alias("verdict")))
     best = exact.groupBy("host", "path").agg(F.max(rank).alias("best"))
     judged = urls.join(best.withColumn("bloom_hit", F.lit(True)), ["host", "path"], "left")
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.coalesce("bloom_hit", F.lit(False)).alias("bloom_hit"))
+
+
+def _possible(rows: DataFrame, column: str, listed: DataFrame, count: int) -> DataFrame:
+    """``rows`` whose ``column`` the Bloom filter of the ``listed`` keys (key) passes; ``count`` is about their number."""
+    blocks = max(1, count // KEYS_PER_BLOCK)
+    probed = rows.withColumns({f"m{i}": w for i, w in enumerate(_words(F.col(column)))}).withColumn("block", _block(F.col(column), blocks))
+    passes = F.lit(True)
+    for i in range(4):
+        passes = passes & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
+    filter_ = bloom_blocks(listed, blocks)
+    return probed.join(F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_, "block").where(passes).select(*rows.columns)

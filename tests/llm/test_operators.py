@@ -350,9 +350,69 @@ def test_classifier_odd_rows(odd, spark, empty):
     assert len(quality_classifier.classify(df, labels.limit(0)).collect()) == len(rows)
 
 
+def test_discriminant_against_its_definition():
+    rng = np.random.default_rng(4)
+    size = quality_classifier.SIZE
+    x = rng.normal(size=(400, size)) * rng.uniform(0.5, 2, size) + quality_classifier.CENTER + 1
+    y = (rng.random(400) < 0.3).astype(int)
+    x[y == 1] += 0.4
+    counts = np.array([(y == c).sum() for c in (0, 1)], float)
+    shifted = x - quality_classifier.CENTER
+    model = quality_classifier.fit(counts, np.array([shifted[y == c].sum(0) for c in (0, 1)]), np.array([shifted[y == c].T @ shifted[y == c] for c in (0, 1)]))
+    covs = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    within = sum(n * np.diag(c) for n, c in zip(counts, covs, strict=True)) / counts.sum()
+    logs = []
+    for c in (0, 1):
+        cov = (1 - quality_classifier.SHRINK) * covs[c] + quality_classifier.SHRINK * np.diag(within) + quality_classifier.FLOOR * np.eye(size)
+        d = x - x[y == c].mean(0)
+        logs.append(np.log((counts[c] + 1) / 402) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1])
+    want = 1 / (1 + np.exp(-(logs[1] - logs[0]) / quality_classifier.TEMPER))
+    assert np.allclose(model.scores(x), want)
+
+
+def test_classifier_threshold_includes_ties():
+    import pyarrow as pa
+
+    class Fixed:
+        def scores(self, x):
+            return np.array([0.7, 0.6999999, 1.0])
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([[0.0] * quality_classifier.SIZE] * 3)], names=["doc_id", "x"])
+    (found,) = quality_classifier._score(Fixed(), 0.7)([batch])
+    assert found.column("predicted").to_pylist() == [1, 0, 1]
+
+
 # 7
 
 
+def brute_windows(lengths, size, spaces):
+    """Best fit with a bounded number of open windows, by the definition."""
+    windows, still, out = [], [], []
+    for n in lengths:
+        fits = [w for w in still if windows[w] + n <= size]
+        if n == size or not fits:
+            if n < size and len(still) == spaces:
+                still.remove(max(still, key=lambda w: (windows[w], -w)))
+            windows.append(0)
+            fits = [len(windows) - 1]
+            if n < size:
+                still.append(fits[0])
+        w = max(fits, key=lambda w: (windows[w], -w))
+        out.append((w, windows[w]))
+        windows[w] += n
+        if windows[w] == size and w in still:
+            still.remove(w)
+    return out
+
+
+def test_packer_places_best_fit():
+    rng = random.Random(13)
+    for spaces in (1, 3, 64):
+        lengths = [rng.choice([rng.randint(1, 32), rng.randint(1, 8), 16, 32]) for _ in range(800)]
+        packer = packing.Packer(32, spaces)
+        assert [packer.place(n) for n in lengths] == brute_windows(lengths, 32, spaces)
+
+
 def test_packing(odd):
     rows, df = odd
     path = vocabulary_path("word_bpe_49k.json")
@@ -369,11 +429,11 @@ def test_packing(odd):
             assert r.offset == at
             at += r.length
         assert at <= 64
-    text = dict((d, t) for d, t, *_ in rows)
-    for r in found:
-        if r.doc_id in (4, 7, 9, 2, 1):
-            ids = np.array([*enc.library.encode(text[r.doc_id] or "", add_special_tokens=False).ids, 1], "<u4")
-            assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes()))
+    want = []
+    for d, t, *_ in rows:
+        ids = np.array([*enc.library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(d, a, min(64, len(ids) - a), zlib.crc32(ids[a : a + 64].tobytes()), len(ids)) for a in range(0, len(ids), 64)]
+    assert same([(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in found], want)
 
 
 def test_packing_wastes_little(spark):
@@ -589,6 +649,19 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).collect() == []
 
 
+def test_url_filter_with_lists_of_many_shapes(spark):
+    rng = random.Random(14)
+    host = lambda: ".".join(rng.choice("ab") for _ in range(rng.randint(1, 4)))
+    path = lambda: "/" + "".join(rng.choice("xy") for _ in range(rng.randint(0, 6)))
+    listed = [(host(), path() if rng.random() < 0.9 else None, rng.choice(["allow", "block"])) for _ in range(150)] + [(None, "/", "block"), ("", "/", "block")]
+    urls = [(i, f"http://{host()}{path()}") for i in range(800)]
+    found = url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(listed, "host string, path string, verdict string"))
+    for r in found.collect():
+        fits = [(len(h + (p or "")), len(h), v == "allow", h + (p or ""), v) for h, p, v in listed if h and (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p or "")]
+        best = max(fits, default=None)
+        assert (r.rule, r.verdict) == ((best[3], best[4]) if best else (None, "allow")), r
+
+
 def test_bloom_filter_passes_all_listed(spark):
     from pyspark.sql import functions as F
 

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim, tune
+from .common import free_names, slim, tune
 from .docstats import Doc
 
 #: Rows of the sample that orders the rules, about. It decides about cost, never about results.
@@ -57,17 +58,27 @@ def base_failed(d: Doc, min_words: int = 50, max_repeat_percent: int = 50) -> bo
     return d.n_words < min_words or 100 * d.n_repeat_words > max_repeat_percent * d.n_words
 
 
+def counts(d: Doc) -> tuple[int, int, int, int, int]:
+    return d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words
+
+
 def _measure(rules: tuple[Rule, ...]):
-    """Per rule: seconds taken and documents rejected, of this partition's sample."""
+    """Per rule: seconds taken and documents rejected, of this partition's sample.
+
+    A rule pays for what it needs beyond the base and the counts that are
+    returned anyway: these are there before the cascade begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seconds, rejected = [0.0] * len(rules), [0] * len(rules)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                if base_failed(Doc(text)):
+                known = Doc(text)
+                if base_failed(known):
                     continue
+                counts(known)
                 for i, rule in enumerate(rules):
-                    d = Doc(text)  # a rule pays for all that it needs
+                    d = copy(known)  # with what is computed already, and nothing of the other rules
                     began = time.perf_counter()
                     rejected[i] += bool(rule.rejects(d))
                     seconds[i] += time.perf_counter() - began
@@ -92,7 +103,7 @@ def _judge(rules: tuple[Rule, ...]):
             for text in batch.column("text").to_pylist():
                 d = Doc(text)
                 failed = base_failed(d)
-                rows.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, failed, not failed and not any(rule.rejects(d) for rule in rules)))
+                rows.append((*counts(d), failed, not failed and not any(rule.rejects(d) for rule in rules)))
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             arrays = [pa.array(c, pa.bool_() if i > 4 else pa.int64()) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
@@ -128,7 +139,14 @@ def _filter(rules: tuple[Rule, ...], text_at: str):
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the base and every rule let pass, with all their columns."""
+    """The rows of ``docs`` that the base and every rule let pass, with all their columns.
+
+    A null or empty text fails, repeated rows are judged each, null ids are
+    kept, an empty table gives an empty result; the text is judged as a string
+    whatever its type, and other columns may have any names.
+    """
     tune(docs.sparkSession)
     ordered = order_rules(slim(docs, id_col, text_col), rules)
-    return docs.mapInArrow(_filter(ordered, text_col), docs.schema)
+    (text,) = free_names(docs, "rule_text")
+    marked = docs.withColumn(text, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return marked.mapInArrow(_filter(ordered, text), marked.schema).drop(text)

@@ -36,29 +36,32 @@ def features(text: str) -> list[float]:
     ]
 
 
-SIZE = len(features(""))
+#: What features are taken from before they are squared and summed: those of a plain text, so that sums lose no digits.
+CENTER = np.array(features("They walked along the river until the light had gone, and nobody spoke of it again.\n" * 3))
+SIZE = len(CENTER)
 
 
 @dataclass(frozen=True)
 class Discriminant:
-    """A fitted model: log prior, mean, Cholesky factor and its log determinant per class."""
+    """A fitted model: prior, mean, Cholesky factor, its inverse (also triangular) and its log determinant per class."""
 
     priors: tuple[float, float]
     means: np.ndarray
     factors: np.ndarray
+    inverses: np.ndarray
     log_dets: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """The probability of class 1 for the rows of ``x``."""
         logs = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
+            z = self.inverses[c] @ (x - self.means[c]).T
             logs.append(np.log(self.priors[c]) - 0.5 * (z * z).sum(0) - self.log_dets[c])
         return 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / TEMPER, -50, 50)))
 
 
 def fit(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrink: float = SHRINK) -> Discriminant:
-    """From each class's count, sum of features and sum of their outer products.
+    """From each class's count, sum of features and sum of their outer products (of features less ``CENTER``).
 
     A class without rows takes the pooled mean and covariance, so a model can
     be fitted to any labels, none included.
@@ -69,12 +72,13 @@ def fit(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrink: float
     means, covs = [], []
     for c in (0, 1):
         mean = sums[c] / counts[c] if counts[c] else pooled_mean
-        means.append(mean)
+        means.append(mean + CENTER)
         covs.append(squares[c] / counts[c] - np.outer(mean, mean) if counts[c] else pooled)
     within = sum(max(1.0, counts[c]) * np.diag(covs[c]) for c in (0, 1)) / max(2.0, total)
     factors = [np.linalg.cholesky((1 - shrink) * covs[c] + shrink * np.diag(within) + FLOOR * np.eye(SIZE)) for c in (0, 1)]
     priors = tuple((counts + 1) / (counts.sum() + 2))
-    return Discriminant(priors, np.array(means), np.array(factors), np.array([np.log(np.diag(f)).sum() for f in factors]))
+    inverses = [np.tril(np.linalg.inv(f)) for f in factors]
+    return Discriminant(priors, np.array(means), np.array(factors), np.array(inverses), np.array([np.log(np.diag(f)).sum() for f in factors]))
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +93,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.array(batch.column("x").to_pylist(), float).reshape(-1, SIZE)
         y = np.array(batch.column("label").to_pylist(), int)
         for c in (0, 1):
-            own = x[y == c]
+            own = x[y == c] - CENTER
             n[c] += len(own)
             s[c] += own.sum(0)
             q[c] += own.T @ own

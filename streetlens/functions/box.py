@@ -105,6 +105,22 @@ class Box:
         turns = F.rint((ref.cx - self.cx) / w) * w
         return Box(self.x1 + turns, self.y1, self.x2 + turns, self.y2)
 
+    def wrapped_iou(self, o: Box, w) -> Column:
+        """IoU with ``o`` brought next to this box across the seam."""
+        return self.iou(o.unwrap_towards(self, w))
+
+    def split(self, w) -> Column:
+        """The one or two visible parts inside [0, w), as an array of (left, right)."""
+        b = self.normalize(w)
+        whole = F.array(F.struct(b.x1.alias("left"), b.x2.alias("right")))
+        two = F.array(F.struct(b.x1.alias("left"), F.lit(w).alias("right")), F.struct(F.lit(0.0).alias("left"), F.least(b.x2 - w, b.x1).alias("right")))
+        return F.when(b.x2 <= w, whole).otherwise(two)
+
+    def copies(self, w) -> Column:
+        """The box and its copies one turn to either side, as an array of (turn, x1, x2)."""
+        b = self.normalize(w)
+        return F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda t: F.struct(t.alias("turn"), (b.x1 + t * w).alias("x1"), (b.x2 + t * w).alias("x2")))
+
     def circular_dx(self, o: Box, w) -> Column:
         half = F.lit(w) / 2
         return F.pmod(o.cx - self.cx + half, F.lit(w) * F.lit(1.0)) - half
@@ -119,8 +135,20 @@ class Box:
             return F.when(turns == 0, a).when(turns == 1, b).when(turns == 2, c).otherwise(d)
 
         return Box(
-            pick(self.x1, self.y1, F.lit(w) - self.x2, self.y1), pick(self.y1, F.lit(w) - self.x2, F.lit(h) - self.y2, self.x1),
-            pick(self.x2, self.y2, F.lit(w) - self.x1, self.y2), pick(self.y2, F.lit(w) - self.x1, F.lit(h) - self.y1, self.x2),
+            pick(self.x1, self.y1, F.lit(w) - self.x2, F.lit(h) - self.y2), pick(self.y1, F.lit(w) - self.x2, F.lit(h) - self.y2, self.x1),
+            pick(self.x2, self.y2, F.lit(w) - self.x1, F.lit(h) - self.y1), pick(self.y2, F.lit(w) - self.x1, F.lit(h) - self.y1, self.x2),
+        )
+
+    def unrotate(self, degrees: Column, w, h) -> Box:
+        """From display back to coded coordinates: the inverse of ``rotate``; ``w`` and ``h`` are the coded frame's."""
+        turns = F.pmod(F.rint(degrees / 90).cast("int"), F.lit(4))
+
+        def pick(a, b, c, d):
+            return F.when(turns == 0, a).when(turns == 1, b).when(turns == 2, c).otherwise(d)
+
+        return Box(
+            pick(self.x1, F.lit(w) - self.y2, F.lit(w) - self.x2, self.y1), pick(self.y1, self.x1, F.lit(h) - self.y2, F.lit(h) - self.x2),
+            pick(self.x2, F.lit(w) - self.y1, F.lit(w) - self.x1, self.y2), pick(self.y2, self.x2, F.lit(h) - self.y1, F.lit(h) - self.x1),
         )
 
 

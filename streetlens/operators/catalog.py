@@ -24,6 +24,11 @@ def overlay(plan: DataFrame, detections: DataFrame) -> DataFrame:
     return p.join(d, on).groupBy(*key).agg(F.max_by("d.score", rank).alias("score"))
 
 
+def annotated(clips: DataFrame, truth: DataFrame) -> DataFrame:
+    """The clips of a manifest (clip_id, ...) that have ground truth, with their number of ``boxes``; clips without are not evaluated."""
+    return clips.join(truth.groupBy("clip_id").agg(F.count(F.lit(1)).alias("boxes")), "clip_id")
+
+
 def sweep(spark, axes: dict[str, list[float]]) -> DataFrame:
     """Every combination of parameter values: the axes are literals, so their product is as small as it is written."""
     out = spark.range(1).select()
@@ -40,9 +45,12 @@ def select_models(models: DataFrame, available: float | None) -> DataFrame:
     return best.select("family", F.coalesce("heavy.name", "light.name").alias("name"))
 
 
+def seam_copies(boxes: DataFrame, width: float) -> DataFrame:
+    """Boxes of a frame that closes at ``width`` with ``turn``: each once in the frame, and once a turn to either side."""
+    turned = boxes.withColumn("_copy", F.explode(Box.of().copies(width)))
+    return turned.withColumns({"turn": F.col("_copy.turn"), "x1": F.col("_copy.x1"), "x2": F.col("_copy.x2")}).drop("_copy")
+
+
 def seam_parts(boxes: DataFrame, width: float) -> DataFrame:
     """The one or two visible parts of boxes in a frame that closes at ``width``, as ``part``, ``left`` and ``right``."""
-    b = Box.of().normalize(width)
-    whole = F.array(F.struct(b.x1.alias("left"), b.x2.alias("right")))
-    two = F.array(F.struct(b.x1.alias("left"), F.lit(width).alias("right")), F.struct(F.lit(0.0).alias("left"), F.least(b.x2 - width, b.x1).alias("right")))
-    return boxes.select("*", F.posexplode(F.when(b.x2 <= width, whole).otherwise(two)).alias("part", "span")).select("*", "span.left", "span.right").drop("span")
+    return boxes.select("*", F.posexplode(Box.of().split(width)).alias("part", "span")).select("*", "span.left", "span.right").drop("span")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.box import Box
+from ..options import Options
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -48,8 +49,55 @@ def majority_class(chained: DataFrame) -> DataFrame:
 
 
 def tracks_as_chains(detections: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """Tracked detections of the given groups, each track a chain of its own."""
-    return detections.where(F.col("grp").isin(*groups) & F.col("track_id").isNotNull()).withColumn("chain_id", F.col("track_id"))
+    """Detections of the given groups, each track and each orphan a chain of its own."""
+    orphan = F.concat(F.col("grp"), F.lit(":~"), F.col("seq").cast("string"))
+    return detections.where(F.col("grp").isin(*groups)).withColumn("chain_id", F.coalesce("track_id", orphan))
+
+
+def sure(detections: DataFrame, o: Options) -> DataFrame:
+    """What a detector keeps: scores of at least ``conf_detect``."""
+    return detections.where(F.col("score") >= o.conf_detect)
+
+
+def first_frames(rows: DataFrame, max_frames: int | None) -> DataFrame:
+    """Rows (frame, ...) of the first ``max_frames`` frames of each clip, or all."""
+    return rows if max_frames is None else rows.where(F.col("frame") < max_frames)
+
+
+def worth_annotating(chained: DataFrame, least_score: float, least_frames: int) -> DataFrame:
+    """Observations of chains whose best score and number of distinct frames are high enough for an annotator to see."""
+    frames = chained.select("clip_id", "chain_id", "frame").distinct().groupBy("clip_id", "chain_id").agg(F.count(F.lit(1)).alias("_frames"))
+    best = chained.groupBy("clip_id", "chain_id").agg(F.max("score").alias("_best")).where(F.col("_best") >= least_score)
+    good = best.join(frames.where(F.col("_frames") >= least_frames), ["clip_id", "chain_id"]).select("clip_id", "chain_id")
+    return chained.join(good, ["clip_id", "chain_id"], "left_semi")
+
+
+def from_passes(found: DataFrame, passes: DataFrame) -> DataFrame:
+    """Boxes that each pass (clip_id, id, kind, x1, y1, pad) found in its own input, all in the frame's coordinates.
+
+    ``found`` is (clip_id, pass_id, x1..y2, ...). Whole-frame passes of a padded
+    frame shift left by the padding, tiles by their corner; a video has few passes.
+    """
+    tile = F.col("kind") == "tile"
+    shift = passes.select("clip_id", F.col("id").alias("pass_id"), F.when(tile, F.col("x1")).otherwise(-F.col("pad")).cast("double").alias("_dx"), F.when(tile, F.col("y1")).otherwise(F.lit(0)).cast("double").alias("_dy"))
+    moved = found.join(shift, ["clip_id", "pass_id"])
+    box = Box.of().translate(F.col("_dx"), F.col("_dy"))
+    return moved.withColumns({"x1": box.x1, "y1": box.y1, "x2": box.x2, "y2": box.y2}).select(*found.columns)
+
+
+def fragmentation(detections: DataFrame) -> DataFrame:
+    """Per group the detections, the share with a track and how many tracks there are, over all clips."""
+    track = F.concat("track_id", F.lit("@"), F.col("clip_id").cast("string"))
+    return detections.groupBy("grp").agg(F.count(F.lit(1)).alias("detections"), (F.count("track_id") / F.count(F.lit(1))).alias("tracked_share"), F.count_distinct(track).alias("tracks"))
+
+
+def chain_ratios(chained: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row: detections, chains, chains that are blurred, and detections a blurred chain."""
+    key = ["clip_id", "chain_id"]
+    both = chained.select(*key, F.lit(1).alias("seen"), F.lit(0).alias("blurred")).unionByName(plan.select(*key, F.lit(0).alias("seen"), F.lit(1).alias("blurred")))
+    chains = both.groupBy(*key).agg(F.sum("seen").alias("seen"), F.max("blurred").alias("blurred"))
+    found = chains.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("detections"), F.count_if(F.col("seen") > 0).alias("chains"), F.count_if(F.col("blurred") > 0).alias("chains_blurred"))
+    return found.withColumn("detections_per_blurred_chain", F.when(F.col("chains_blurred") > 0, F.col("detections") / F.col("chains_blurred")).otherwise(0.0))
 
 
 def overlaps(detections: DataFrame) -> DataFrame:

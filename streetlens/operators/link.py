@@ -139,8 +139,8 @@ def link(detections: DataFrame, o: Options, wrap_width: float | None = None) ->
     Fragments come by (start, end), orphans before tracks. Each joins the
     nearest chain of its group that ended at most the link gap before, is near
     enough for the gap and of similar area; the older chain wins ties. A chain
-    has the name of its first fragment, a number of its own if that was an
-    orphan. With ``wrap_width`` boxes of a chain are unwrapped across the seam.
+    has the name of its first fragment; if that was an orphan, that of its group
+    and its number among all chains of the group. With ``wrap_width`` boxes of a chain are unwrapped across the seam.
 
     A fragment that starts more than the gap after all earlier ones ended
     begins an epoch of its own: epochs are folded apart, so a long clip is many
@@ -199,6 +199,6 @@ def link(detections: DataFrame, o: Options, wrap_width: float | None = None) ->
 
     schema = "clip_id bigint, epoch bigint, frame bigint, seq bigint, cls string, score double, track_id string, grp string, number bigint, key string, x1 double, y1 double, x2 double, y2 double"
     found = fold_groups(ready, ["clip_id", "_grp", "epoch"], order, fold, schema)
-    # chains that an orphan began are numbered per clip and group in the order they were made
-    made = F.dense_rank().over(Window.partitionBy("clip_id", "grp", F.col("key").isNull()).orderBy("epoch", "number"))
+    # a chain that an orphan began is named by its place among all chains of its clip and group, in the order they were made
+    made = F.dense_rank().over(Window.partitionBy("clip_id", "grp").orderBy("epoch", "number"))
     return found.withColumn("chain_id", F.coalesce("key", F.concat("grp", F.lit(":~"), made.cast("string")))).drop("epoch", "number", "key")

@@ -2,42 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.box import Box, size_bucket
+from ..functions.box import SIDES, Box, size_bucket
+from ..functions.rounding import round_half_even
 from ..options import Options
+from .catalog import seam_copies
 
+#: Points a side of the grid that stands for a box, at most; a box has one a pixel.
 GRID = 16
 
 
-def _inside(shape, x, y):
-    cx, cy = (shape["x1"] + shape["x2"]) / 2, (shape["y1"] + shape["y2"]) / 2
-    rx2, ry2 = (shape["x2"] - shape["x1"]) * (shape["x2"] - shape["x1"]) / 2, (shape["y2"] - shape["y1"]) * (shape["y2"] - shape["y1"]) / 2
-    round_ = (x - cx) * (x - cx) * ry2 + (y - cy) * (y - cy) * rx2 <= rx2 * ry2
-    flat = (x >= shape["x1"]) & (x <= shape["x2"]) & (y >= shape["y1"]) & (y <= shape["y2"])
-    return F.when(shape["kind"] == "ellipse", round_).otherwise(flat)
+def _inside(kind: Column, s: Box, x: Column, y: Column) -> Column:
+    """Whether a shape holds a point: a rectangle with its edges, or the ellipse through the corners of its box."""
+    rx2, ry2 = s.width * s.width / 2, s.height * s.height / 2
+    dx, dy = x - s.cx, y - s.cy
+    round_ = (rx2 > 0) & (ry2 > 0) & (dx * dx * ry2 + dy * dy * rx2 <= rx2 * ry2)
+    flat = (x >= s.x1) & (x <= s.x2) & (y >= s.y1) & (y <= s.y2)
+    return F.when(kind == "ellipse", round_).otherwise(flat)
 
 
-def object_frames(truth: DataFrame, plan: DataFrame, o: Options) -> DataFrame:
-    """Truth boxes with the share of their 16 x 16 grid of points that some shape of the frame covers.
+def _turned(plan: DataFrame, o: Options) -> DataFrame:
+    """The shapes of a plan as (clip_id, frame, chain_id, kind, s_x1..s_y2); where the frame closes sideways also one turn to either side."""
+    shapes = seam_copies(plan, o.wrap_width) if o.wrap_width else plan
+    return shapes.select("clip_id", "frame", "chain_id", "kind", *Box.of().named("s_"))
 
-    The shapes of a frame meet its boxes once, as an array: the grid is never exploded.
-    """
-    shapes = plan.groupBy("clip_id", "frame").agg(F.collect_list(F.struct("kind", "x1", "y1", "x2", "y2")).alias("shapes"))
-    joined = truth.join(shapes, ["clip_id", "frame"], "left")
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    grid = F.sequence(F.lit(0), F.lit(GRID * GRID - 1))
 
-    def covered(p):
-        x = F.col("x1") + w * ((p % GRID) + F.lit(0.5)) / GRID
-        y = F.col("y1") + h * (F.floor(p / GRID) + F.lit(0.5)) / GRID
-        return F.exists("near", lambda s: _inside(s, x, y))
+def object_frames(truth: DataFrame, plan: DataFrame, o: Options) -> DataFrame:
+    """Truth boxes (clip_id, track, frame, seq, cls, readable, x1..y2) with the share of their grid that some shape of the frame covers.
 
-    reach = F.lit(0.5)
-    near = F.filter(F.coalesce("shapes", F.array()), lambda s: (s["x1"] - (s["x2"] - s["x1"]) * reach <= F.col("x2")) & (s["x2"] + (s["x2"] - s["x1"]) * reach >= F.col("x1")) & (s["y1"] - (s["y2"] - s["y1"]) * reach <= F.col("y2")) & (s["y2"] + (s["y2"] - s["y1"]) * reach >= F.col("y1")))
-    out = joined.withColumn("near", near).withColumn("coverage", F.when(F.size("near") == 0, F.lit(0.0)).otherwise(F.size(F.filter(grid, covered)) / F.lit(GRID * GRID)))
-    return out.select("clip_id", "track", "cls", "frame", "seq", size_bucket(Box.of().height).alias("size"), "readable", F.col("coverage").cast("double").alias("coverage"), (F.col("coverage") >= o.protected).alias("protected"))
+    A box has a grid of min(16, pixels) points a side. Boxes meet the shapes
+    that reach them; each pair gives a bit mask a grid row, and masks are united
+    as they are aggregated: points are never rows.
+    """
+    key = ["clip_id", "track", "frame", "seq", "cls", "readable", *SIDES]
+    box, shape = Box.of(), Box.of("s_")
+    nx, ny = (F.greatest(F.lit(1), F.least(F.lit(GRID), F.ceil(side).cast("int"))) for side in (box.width, box.height))
+    more = F.when(F.col("kind") == "ellipse", F.lit(0.5)).otherwise(F.lit(0.0))  # an ellipse reaches less than half a side beyond its box
+    reach = shape.expand(more)
+    met = (reach.x2 >= box.x1) & (reach.x1 <= box.x2) & (reach.y2 >= box.y1) & (reach.y1 <= box.y2)
+    t, p = truth.select(*key).alias("t"), _turned(plan, o).alias("p")
+    pairs = t.join(p, (F.col("t.clip_id") == F.col("p.clip_id")) & (F.col("t.frame") == F.col("p.frame")) & met, "left")
+    rows = pairs.select(*(F.col(f"t.{c}") for c in key), "kind", *shape.named("s_"), nx.alias("nx"), ny.alias("ny")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
+    # a point x of the row is inside if low <= x <= high and (x - cx)^2 * a + b <= c: one test for both kinds, false where there is no shape
+    y = F.col("y1") + (F.col("j") + F.lit(0.5)) * box.height / F.col("ny")
+    round_, flat = F.col("kind") == "ellipse", F.coalesce((y >= shape.y1) & (y <= shape.y2), F.lit(False))
+    rx2, ry2 = shape.width * shape.width / 2, shape.height * shape.height / 2
+    held = {
+        "w": box.width, "low": F.when(round_, F.col("x1")).otherwise(F.coalesce("s_x1", F.lit(0.0))), "high": F.when(round_, F.col("x2")).otherwise(F.coalesce("s_x2", F.lit(0.0))), "cx": F.coalesce(shape.cx, F.lit(0.0)),
+        "a": F.when(round_, ry2).otherwise(0.0), "b": F.when(round_, (y - shape.cy) * (y - shape.cy) * rx2).otherwise(0.0), "c": F.when(round_, F.when((rx2 > 0) & (ry2 > 0), rx2 * ry2).otherwise(-1.0)).when(flat, 0.0).otherwise(-1.0),
+    }
+    tested = rows.select(*key, "nx", "ny", "j", *(v.alias(k) for k, v in held.items()))
+    mask = F.lit(0)
+    for i in range(GRID):
+        x = F.col("x1") + F.lit(i + 0.5) * F.col("w") / F.col("nx")
+        inside = (x >= F.col("low")) & (x <= F.col("high")) & ((x - F.col("cx")) * (x - F.col("cx")) * F.col("a") + F.col("b") <= F.col("c"))
+        mask = mask.bitwiseOR(inside.cast("int") * (1 << i))
+    masked = tested.select(*key, "nx", "ny", "j", mask.alias("mask"))
+    lines = masked.groupBy(*key, "nx", "ny", "j").agg(F.bit_count(F.bit_or("mask").bitwiseAND(F.pow(F.lit(2), F.col("nx")).cast("int") - 1)).alias("hit"))
+    found = lines.groupBy(*key).agg((F.sum("hit") / F.max(F.col("nx") * F.col("ny"))).alias("coverage"))
+    return found.select("clip_id", "track", "cls", "frame", "seq", size_bucket(box.height).alias("size"), "readable", "coverage", (F.col("coverage") >= o.protected).alias("protected"))
 
 
 def leakage(objects: DataFrame) -> DataFrame:
@@ -55,8 +82,9 @@ def exposures(objects: DataFrame) -> DataFrame:
     return island.groupBy("clip_id", "track", "island").agg(F.count(F.lit(1)).alias("run")).groupBy("clip_id", "track").agg(F.sum("run").alias("exposed"), F.max("run").alias("longest"))
 
 
-def transients(objects: DataFrame, window: int) -> DataFrame:
-    """Exposed frames with a protected one of the same track at most ``window`` frames before and after."""
+def transients(objects: DataFrame, o: Options) -> DataFrame:
+    """Exposed frames with a protected one of the same track at most a third of a second before and after."""
+    window = o.transient_window
     each = objects.groupBy("clip_id", "track", "frame").agg(F.bool_or("protected").alias("held"), F.count_if(~F.col("protected")).alias("exposed"))
     w = Window.partitionBy("clip_id", "track").orderBy("frame")
     held = F.when(F.col("held"), F.col("frame"))
@@ -64,18 +92,46 @@ def transients(objects: DataFrame, window: int) -> DataFrame:
     return near.where((F.col("exposed") > 0) & (F.col("frame") - F.col("before") <= window) & (F.col("after") - F.col("frame") <= window)).groupBy("clip_id").agg(F.sum("exposed").alias("transient"))
 
 
-def chains_per_track(truth: DataFrame, plan: DataFrame) -> DataFrame:
-    """How many chains contain the centre of each track's boxes; tracks that none contains have 0."""
-    t, p = truth.alias("t"), plan.alias("p")
-    x, y = (F.col("t.x1") + F.col("t.x2")) / 2, (F.col("t.y1") + F.col("t.y2")) / 2
-    on = (F.col("t.clip_id") == F.col("p.clip_id")) & (F.col("t.frame") == F.col("p.frame")) & (x >= F.col("p.x1")) & (x <= F.col("p.x2")) & (y >= F.col("p.y1")) & (y <= F.col("p.y2"))
+def chains_per_track(truth: DataFrame, plan: DataFrame, o: Options) -> DataFrame:
+    """How many chains have a shape that holds the centre of one of the track's boxes; tracks that none holds have 0."""
+    t = truth.select("clip_id", "frame", "track", *SIDES).alias("t")
+    p = _turned(plan, o).alias("p")
+    box = Box.of("t.")
+    on = (F.col("t.clip_id") == F.col("p.clip_id")) & (F.col("t.frame") == F.col("p.frame")) & _inside(F.col("p.kind"), Box.of("p.s_"), box.cx, box.cy)
     return t.join(p, on, "left").groupBy(F.col("t.clip_id").alias("clip_id"), F.col("t.track").alias("track")).agg(F.count_distinct("p.chain_id").alias("chains"))
 
 
-def gate(objects: DataFrame, o: Options) -> DataFrame:
-    """Whether leakage and exposure of readable objects pass, per clip."""
-    readable = objects.where("readable")
-    rate = readable.groupBy("clip_id").agg((F.count_if(~F.col("protected")) / F.count(F.lit(1))).alias("rate"))
-    runs = exposures(readable).groupBy("clip_id").agg(F.max("longest").alias("longest"))
-    longest = F.coalesce("longest", F.lit(0))
-    return rate.join(runs, "clip_id", "left").select("clip_id", F.round("rate", 5).alias("rate"), longest.alias("longest"), ((F.col("rate") <= o.max_leakage) & (longest <= o.max_exposure)).alias("passed"))
+def summary(objects: DataFrame, chains: DataFrame, o: Options, over_blur: DataFrame | None = None) -> DataFrame:
+    """One row on all clips: leakage of all and of readable objects, tracks ever leaked, longest exposures, transient
+    exposures, mean chains a track (three decimals) and mean ``over_blur`` (clip_id, over_blur) of the clips (five).
+
+    ``chains`` is what ``chains_per_track`` gives. Parts are rows of one long table, so that no part is joined with another.
+    """
+    bare = ~F.col("protected")
+    rates = objects.agg(
+        F.count_distinct("clip_id").alias("clips"), F.count(F.lit(1)).alias("object_frames"), F.count_if(bare).alias("unprotected"), F.count_if("readable").alias("readable_object_frames"), F.count_if(F.col("readable") & bare).alias("readable_unprotected")
+    )
+    tracks = objects.groupBy("clip_id", "track").agg(F.bool_or("readable").alias("readable"), F.bool_or(bare).alias("leaked"), F.bool_or(F.col("readable") & bare).alias("readable_leaked"))
+    tracks = tracks.agg(F.count(F.lit(1)).alias("tracks"), F.count_if("leaked").alias("tracks_ever_leaked"), F.count_if("readable").alias("readable_tracks"), F.count_if("readable_leaked").alias("readable_tracks_ever_leaked"))
+    longest = exposures(objects).agg(F.max("longest").alias("longest_exposure_frames"))
+    readable = exposures(objects.where("readable")).agg(F.max("longest").alias("longest_exposure_frames_readable"))
+    brief = transients(objects, o).agg(F.sum("transient").alias("transient_exposures"))
+    mean = chains.agg(F.avg("chains").alias("mean_chains_per_track"))
+    parts = [rates, tracks, longest, readable, brief, mean] + ([over_blur.agg(F.avg("over_blur").alias("over_blur_ratio"))] if over_blur is not None else [])
+    long = [part.unpivot([], [F.col(c).cast("double").alias(c) for c in part.columns], "k", "v") for part in parts]
+    names = [c for part in parts for c in part.columns]
+    every = reduce(DataFrame.unionByName, long)
+    row = every.agg(*(F.coalesce(F.max(F.when(F.col("k") == n, F.col("v"))), F.lit(0.0)).alias(n) for n in names))
+    shares = [F.when(F.col(n) > 0, round_half_even(F.col(u) / F.col(n), 5)).otherwise(0.0).alias(f"{p}leakage_rate") for p, u, n in (("", "unprotected", "object_frames"), ("readable_", "readable_unprotected", "readable_object_frames"))]
+    digits = {"mean_chains_per_track": 3, "over_blur_ratio": 5}
+    return row.select(*(round_half_even(F.col(n), digits[n]).alias(n) if n in digits else F.col(n).cast("long").alias(n) for n in names), *shares)
+
+
+def gate(found: DataFrame, o: Options) -> DataFrame:
+    """(passed, failures) of a ``summary``: why leakage or exposure of readable objects is too much."""
+    rate, run = F.col("readable_leakage_rate"), F.col("longest_exposure_frames_readable")
+    percent = F.format_string("%.2f%%", round_half_even(rate * 100, 2))
+    leak = F.when(rate > o.max_leakage, F.concat(F.lit("leakage rate of readable objects "), percent, F.lit(f" > {o.max_leakage:.2%}")))
+    long = F.when(run > o.max_exposure, F.concat(F.lit("a readable object stayed exposed "), run.cast("string"), F.lit(f" consecutive frames > {o.max_exposure}")))
+    failures = F.array_compact(F.array(leak, long))
+    return found.select((F.size(failures) == 0).alias("passed"), failures.alias("failures"))

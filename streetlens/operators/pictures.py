@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.box import SIDES, Box
+from ..functions.rounding import round_half_even
 from .catalog import overlay
 
 # Colours (blue, green, red) of classes, of other classes to blur, and sources drawn dashed.
@@ -132,7 +133,7 @@ def _colour(other: tuple[int, int, int]) -> Column:
 
 def _label(score: str, track: str) -> Column:
     """``face 0.41 #7``: class, score if known, what the track id ends with if there is one."""
-    return F.concat_ws(" ", "cls", F.when(F.col(score).isNotNull(), F.format_string("%.2f", score)), F.concat(F.lit("#"), F.substring_index(track, ":", -1)))
+    return F.concat_ws(" ", "cls", F.when(F.col(score).isNotNull(), F.format_string("%.2f", round_half_even(F.col(score), 2))), F.concat(F.lit("#"), F.substring_index(track, ":", -1)))
 
 
 def overlay_marks(plan: DataFrame, detections: DataFrame, factor: float, wrap_width: float | None = None) -> DataFrame:

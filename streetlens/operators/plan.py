@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.box import SIDES, Box
 from ..options import Options
-from .detections import majority_class
+from .detections import majority_class, unwrap
 
 CHAIN = ("clip_id", "chain_id")
 ORDER = ("frame", "seq")
@@ -98,14 +98,26 @@ def regions(smoothed: DataFrame, padded: DataFrame, frame_count: int) -> DataFra
 
 
 def shapes(found: DataFrame, classes: DataFrame, o: Options) -> DataFrame:
-    """Regions enlarged by the margin; those outside the frame drop, faces become ellipses."""
+    """Regions enlarged by the margin; those outside the frame drop, faces become ellipses.
+
+    In a frame that closes sideways a region comes back at the other side: its
+    left edge is brought into the frame, and only its height can leave it.
+    """
     wide = Box.of().expand(o.margin)
     out = found.join(classes, [*CHAIN]).select(*CHAIN, "segment", "frame", F.when(F.col("cls") == "face", "ellipse").otherwise("rect").alias("kind"), "cls", "source", *wide.named())
-    return out.where(Box.of().clip(o.width, o.height).area > 0)
+    if not o.wrap_width:
+        return out.where(Box.of().clip(o.width, o.height).area > 0)
+    held = Box.of().normalize(o.wrap_width)
+    return out.withColumns({"x1": held.x1, "x2": held.x2}).where((F.col("y2") > 0) & (F.col("y1") < o.height))
 
 
 def blur_plan(chained: DataFrame, o: Options, frame_count: int) -> DataFrame:
-    """(clip_id, chain_id, segment, frame, kind, cls, source, x1..y2): the whole plan in one lazy pass over chains."""
+    """(clip_id, chain_id, segment, frame, kind, cls, source, x1..y2): the whole plan in one lazy pass over chains.
+
+    With ``wrap_width`` the boxes of a chain are first unwrapped across the seam.
+    """
+    if o.wrap_width:
+        chained = unwrap(chained, o.wrap_width).drop("turns")
     cut = segments(split_jumps(chained, o), o)
     even = smooth(densify(cut), o)
     return shapes(regions(even, padding(cut, even, o), frame_count), majority_class(chained), o)

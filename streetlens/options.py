@@ -32,11 +32,17 @@ class Options:
     fps: float = 24.0
     width: int = 1920
     height: int = 1080
+    #: Width at which the frame closes sideways; none for a flat frame.
+    wrap_width: float | None = None
 
     def __post_init__(self):
         if self.conf_detect > self.conf_blur:
             raise ValueError("conf_detect must not exceed conf_blur")
 
+    @property
+    def transient_window(self) -> int:
+        return max(1, round(self.fps / 3))
+
     @property
     def interpolation_gap(self) -> int:
         return max(0, round(self.interpolation_gap_s * self.fps))

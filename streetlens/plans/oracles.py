@@ -16,8 +16,8 @@ CTE = {
         SELECT *, x1 + CAST(seq % 41 + 20 AS DOUBLE) AS x2, y1 + CAST(seq % 23 + 20 AS DOUBLE) AS y2,
                CASE WHEN seq % 3 <> 0 THEN grp || ':' || CAST(frame // 48 AS VARCHAR) END AS track_id, CASE WHEN seq % 2 = 0 THEN 'g1024' ELSE 'g2048' END AS pass_id
         FROM det1""",
-    "chained": "SELECT *, track_id AS chain_id FROM det WHERE grp IN ('face', 'plate') AND track_id IS NOT NULL",
-    "signs": "SELECT *, track_id AS chain_id FROM det WHERE grp = 'signage' AND track_id IS NOT NULL",
+    "chained": "SELECT *, coalesce(track_id, grp || ':~' || CAST(seq AS VARCHAR)) AS chain_id FROM det WHERE grp IN ('face', 'plate')",
+    "signs": "SELECT *, coalesce(track_id, grp || ':~' || CAST(seq AS VARCHAR)) AS chain_id FROM det WHERE grp = 'signage'",
     "cls_n": "SELECT clip_id, chain_id, cls, count(*) AS n, min(frame * 100000000 + seq) AS first FROM chained GROUP BY ALL",
     "classes": "SELECT clip_id, chain_id, cls FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, chain_id ORDER BY n DESC, first) AS r FROM cls_n) WHERE r = 1",
     "lagged": """
@@ -73,17 +73,21 @@ CTE = {
                x1 - (x2 - x1) * 0.1::DOUBLE AS x1, y1 - (y2 - y1) * 0.1::DOUBLE AS y1, x2 + (x2 - x1) * 0.1::DOUBLE AS x2, y2 + (y2 - y1) * 0.1::DOUBLE AS y2
         FROM regions r JOIN classes c ON r.clip_id = c.clip_id AND r.chain_id = c.chain_id""",
     "plan": "SELECT * FROM wide WHERE least(x2, 1920) > greatest(x1, 0) AND least(y2, 1080) > greatest(y1, 0)",
+    "shown": "SELECT * FROM plan",
+    "sized": "SELECT *, CASE WHEN seq % 5 = 0 THEN -0.35::DOUBLE ELSE 0.1::DOUBLE END AS more FROM det WHERE grp IN ('face', 'plate')",
     "truth": """
         SELECT clip_id, coalesce(track_id, grp || ':~' || CAST(seq AS VARCHAR)) AS track, cls, frame, seq, seq % 2 = 0 AS readable,
-               x1 - (x2 - x1) * 0.1::DOUBLE AS x1, y1 - (y2 - y1) * 0.1::DOUBLE AS y1, x2 + (x2 - x1) * 0.1::DOUBLE AS x2, y2 + (y2 - y1) * 0.1::DOUBLE AS y2
-        FROM det WHERE seq % 5 = 0 AND grp IN ('face', 'plate')""",
-    "points": "SELECT t.*, t.x1 + (t.x2 - t.x1) * ((k % 16) + 0.5::DOUBLE) / 16 AS px, t.y1 + (t.y2 - t.y1) * ((k // 16) + 0.5::DOUBLE) / 16 AS py, k FROM truth t, range(256) g(k)",
+               x1 - (x2 - x1) * more AS x1, y1 - (y2 - y1) * more AS y1, x2 + (x2 - x1) * more AS x2, y2 + (y2 - y1) * more AS y2 FROM sized""",
+    "grid": "SELECT *, CAST(least(16, ceil(x2 - x1)) AS BIGINT) AS nx, CAST(least(16, ceil(y2 - y1)) AS BIGINT) AS ny FROM truth",
+    "points": "SELECT t.*, t.x1 + ((k % nx) + 0.5::DOUBLE) * (t.x2 - t.x1) / nx AS px, t.y1 + ((k // nx) + 0.5::DOUBLE) * (t.y2 - t.y1) / ny AS py, k FROM grid t, range(256) g(k) WHERE k < nx * ny",
+    "round": "SELECT clip_id, frame, chain_id, kind, x1, y1, x2, y2, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (x2 - x1) * (x2 - x1) / 2 AS rx2, (y2 - y1) * (y2 - y1) / 2 AS ry2 FROM shown",
     "hit": """
-        SELECT p.clip_id, p.track, p.seq, p.k, coalesce(bool_or(CASE WHEN s.kind = 'ellipse'
-                 THEN (px - (s.x1 + s.x2) / 2) ** 2 * ((s.y2 - s.y1) ** 2 / 2) + (py - (s.y1 + s.y2) / 2) ** 2 * ((s.x2 - s.x1) ** 2 / 2) <= ((s.x2 - s.x1) ** 2 / 2) * ((s.y2 - s.y1) ** 2 / 2)
-                 ELSE px BETWEEN s.x1 AND s.x2 AND py BETWEEN s.y1 AND s.y2 END), false) AS inside
-        FROM points p LEFT JOIN plan s ON p.clip_id = s.clip_id AND p.frame = s.frame GROUP BY ALL""",
-    "cover": "SELECT clip_id, track, seq, count(*) FILTER (inside) / CAST(256 AS DOUBLE) AS coverage FROM hit GROUP BY ALL",
+        SELECT p.clip_id, p.track, p.seq, p.k, coalesce(bool_or(CASE WHEN s.kind = 'ellipse' THEN (px - cx) * (px - cx) * ry2 + (py - cy) * (py - cy) * rx2 <= rx2 * ry2 ELSE px BETWEEN s.x1 AND s.x2 AND py BETWEEN s.y1 AND s.y2 END), false) AS inside
+        FROM points p LEFT JOIN round s ON p.clip_id = s.clip_id AND p.frame = s.frame GROUP BY ALL""",
+    "cover": "SELECT clip_id, track, seq, count(*) FILTER (inside) / CAST(count(*) AS DOUBLE) AS coverage FROM hit GROUP BY ALL",
+    "per_track": """
+        SELECT t.clip_id, t.track, count(DISTINCT s.chain_id) AS chains FROM (SELECT *, (x1 + x2) / 2 AS px, (y1 + y2) / 2 AS py FROM truth) t
+        LEFT JOIN round s ON t.clip_id = s.clip_id AND t.frame = s.frame AND CASE WHEN s.kind = 'ellipse' THEN (px - cx) * (px - cx) * ry2 + (py - cy) * (py - cy) * rx2 <= rx2 * ry2 ELSE px BETWEEN s.x1 AND s.x2 AND py BETWEEN s.y1 AND s.y2 END GROUP BY ALL""",
     "objects": """
         SELECT t.clip_id, t.track, cls, frame, t.seq, readable, coverage, coverage >= 0.9 AS protected,
                CASE WHEN y2 - y1 < 16 THEN '<16px' WHEN y2 - y1 < 32 THEN '16-32px' WHEN y2 - y1 < 96 THEN '32-96px' ELSE '>96px' END AS size
@@ -103,14 +107,42 @@ CTE = {
 }
 
 
-def sql(select: str) -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in CTE.items()) + "\n" + select
+# In a frame that closes at 1900 pixels chains are unwrapped first, and shapes come back to the frame and are seen a turn to either side.
+AROUND = {
+    "chained": """
+        SELECT clip_id, chain_id, frame, seq, cls, grp, score, track_id, y1, y2, x1 + 1900 * sum(step) OVER w AS x1, x2 + 1900 * sum(step) OVER w AS x2
+        FROM (SELECT *, coalesce(round_even((lag((x1 + x2) / 2) OVER v - (x1 + x2) / 2) / 1900, 0), 0) AS step FROM flat WINDOW v AS (PARTITION BY clip_id, chain_id ORDER BY frame, seq)) WINDOW w AS (PARTITION BY clip_id, chain_id ORDER BY frame, seq)""",
+    "plan": "SELECT * REPLACE (x1 - floor(x1 / 1900) * 1900 AS x1, x2 - floor(x1 / 1900) * 1900 AS x2) FROM wide WHERE y2 > 0 AND y1 < 1080",
+    "shown": "SELECT * REPLACE (x1 + k * 1900 AS x1, x2 + k * 1900 AS x2) FROM plan, (VALUES (-1), (0), (1)) t(k)",
+}
+
+
+def sql(select: str, around: bool = False) -> str:
+    known = dict(CTE)
+    if around:
+        known = {}
+        for name, body in CTE.items():
+            if name == "chained":
+                known["flat"] = body
+            known[name] = AROUND.get(name, body)
+    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in known.items()) + "\n" + select
 
 
 BOX = ", ".join(f"round({c} + 0.000001::DOUBLE, 3) + 0.0::DOUBLE AS {c}" for c in ("x1", "y1", "x2", "y2"))
 EXPOSED = """(SELECT clip_id, track, island, count(*) AS run FROM (SELECT clip_id, track, frame, frame - row_number() OVER (PARTITION BY clip_id, track ORDER BY frame) AS island
            FROM (SELECT DISTINCT clip_id, track, frame FROM objects WHERE NOT protected {and_})) GROUP BY ALL)"""
 
+BRIEF = """NOT protected AND EXISTS (FROM objects p WHERE p.protected AND p.clip_id = o.clip_id AND p.track = o.track AND p.frame BETWEEN o.frame - 48 AND o.frame - 1)
+          AND EXISTS (FROM objects p WHERE p.protected AND p.clip_id = o.clip_id AND p.track = o.track AND p.frame BETWEEN o.frame + 1 AND o.frame + 48)"""
+_TRACKS = "(SELECT count(DISTINCT (clip_id, track)) FROM objects{})"
+SUMMARY = f"""
+        (SELECT count(DISTINCT clip_id) FROM objects) AS clips, (SELECT count(*) FROM objects) AS object_frames, (SELECT count(*) FROM objects WHERE NOT protected) AS unprotected,
+        (SELECT count(*) FROM objects WHERE readable) AS readable_object_frames, (SELECT count(*) FROM objects WHERE readable AND NOT protected) AS readable_unprotected,
+        {_TRACKS.format("")} AS tracks, {_TRACKS.format(" WHERE NOT protected")} AS tracks_ever_leaked, {_TRACKS.format(" WHERE readable")} AS readable_tracks, {_TRACKS.format(" WHERE readable AND NOT protected")} AS readable_tracks_ever_leaked,
+        coalesce((SELECT max(run) FROM {EXPOSED.format(and_='')}), 0) AS longest_exposure_frames, coalesce((SELECT max(run) FROM {EXPOSED.format(and_='AND readable')}), 0) AS longest_exposure_frames_readable,
+        (SELECT count(*) FROM objects o WHERE {BRIEF.replace("48", "8")}) AS transient_exposures, round_even((SELECT avg(chains) FROM per_track), 3) AS mean_chains_per_track,
+        round_even((SELECT avg(CASE WHEN protected THEN 0 ELSE 1 END) FROM objects), 5) AS leakage_rate, round_even((SELECT avg(CASE WHEN protected THEN 0 ELSE 1 END) FROM objects WHERE readable), 5) AS readable_leakage_rate"""
+
 ORACLE = {
     "cvat_expand": sql(f"""
         SELECT clip_id, track, frame + k AS frame, readable, {BOX} FROM (
@@ -121,7 +153,7 @@ ORACLE = {
           WHERE NOT outside))"""),
     "keep_regions": sql("""
         SELECT p.clip_id, p.chain_id, CAST(segment AS INT) AS segment, frame, score FROM plan p
-        JOIN (SELECT clip_id, chain_id, max(score) AS score FROM parts WHERE part_score >= 0.15 AND clip_id % 3 <> 0 GROUP BY ALL) s ON p.clip_id = s.clip_id AND p.chain_id = s.chain_id WHERE score < 0.5"""),
+        JOIN (SELECT clip_id, chain_id, max(score) AS score FROM parts WHERE part_score >= 0.15 AND track_id IS NOT NULL GROUP BY ALL) s ON p.clip_id = s.clip_id AND p.chain_id = s.chain_id WHERE score < 0.5"""),
     "orphan_antijoin": sql("SELECT DISTINCT clip_id FROM det ANTI JOIN sign_tracks USING (clip_id)"),
     "sweep_grid": "SELECT margin, padding, conf_blur FROM (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) a(margin), (VALUES (0.0::DOUBLE), (12.0::DOUBLE)) b(padding), (VALUES (0.15::DOUBLE), (0.3::DOUBLE)) c(conf_blur)",
     "model_select": "SELECT p_brand AS family, coalesce(max_by(p_partkey, p_size::BIGINT * 1000000000 + p_partkey) FILTER (p_size <= 20), min_by(p_partkey, p_size::BIGINT * 1000000000 + p_partkey)) AS name FROM part GROUP BY p_brand",
@@ -155,14 +187,35 @@ ORACLE = {
         SELECT CASE WHEN g = 7 THEN 'overall' WHEN g = 3 THEN 'class=' || cls WHEN g = 5 THEN 'size=' || size ELSE 'readable=' || CAST(readable AS VARCHAR) END AS slice, n, unprotected, round(unprotected / n, 5) AS rate
         FROM (SELECT cls, size, readable, grouping(cls, size, readable) AS g, count(*) AS n, count(*) FILTER (NOT protected) AS unprotected FROM objects GROUP BY GROUPING SETS ((), (cls), (size), (readable)))"""),
     "exposure_islands": sql(f"SELECT clip_id, track, CAST(sum(run) AS BIGINT) AS exposed, max(run) AS longest FROM {EXPOSED.format(and_='')} GROUP BY ALL"),
-    "transient_exposures": sql("""
-        SELECT clip_id, count(*) AS transient FROM objects o WHERE NOT protected
-          AND EXISTS (FROM objects p WHERE p.protected AND p.clip_id = o.clip_id AND p.track = o.track AND p.frame BETWEEN o.frame - 48 AND o.frame - 1)
-          AND EXISTS (FROM objects p WHERE p.protected AND p.clip_id = o.clip_id AND p.track = o.track AND p.frame BETWEEN o.frame + 1 AND o.frame + 48) GROUP BY ALL"""),
-    "chains_per_track": sql("SELECT t.clip_id, t.track, count(DISTINCT p.chain_id) AS chains FROM truth t LEFT JOIN plan p ON t.clip_id = p.clip_id AND t.frame = p.frame AND (t.x1 + t.x2) / 2 BETWEEN p.x1 AND p.x2 AND (t.y1 + t.y2) / 2 BETWEEN p.y1 AND p.y2 GROUP BY ALL"),
+    "transient_exposures": sql(f"SELECT clip_id, count(*) AS transient FROM objects o WHERE {BRIEF} GROUP BY ALL"),
+    "chains_per_track": sql("SELECT clip_id, track, chains FROM per_track"),
+    "seam_plan": sql(f"SELECT clip_id, chain_id, CAST(segment AS INT) AS segment, frame, kind, cls, source, {BOX} FROM plan", True),
+    "seam_coverage": sql("SELECT clip_id, track, cls, frame, seq, size, readable, coverage, protected FROM objects", True),
+    "seam_chains_per_track": sql("SELECT clip_id, track, chains FROM per_track", True),
+    "benchmark_summary": sql(f"SELECT {SUMMARY}"),
     "privacy_gate": sql(f"""
-        SELECT clip_id, round(rate, 5) AS rate, coalesce(longest, 0) AS longest, rate <= 0.01 AND coalesce(longest, 0) <= 3 AS passed
-        FROM (SELECT clip_id, count(*) FILTER (NOT protected) / count(*) AS rate FROM objects WHERE readable GROUP BY ALL) LEFT JOIN (SELECT clip_id, max(run) AS longest FROM {EXPOSED.format(and_='AND readable')} GROUP BY ALL) USING (clip_id)"""),
+        SELECT failures = '' AS passed, failures FROM (SELECT concat_ws('; ', CASE WHEN readable_leakage_rate > 0.01 THEN 'leakage rate of readable objects ' || printf('%.2f', round_even(readable_leakage_rate * 100, 2)) || '% > 1.00%' END,
+          CASE WHEN longest_exposure_frames_readable > 3 THEN 'a readable object stayed exposed ' || longest_exposure_frames_readable || ' consecutive frames > 3' END) AS failures FROM (SELECT {SUMMARY}))"""),
+    "seam_annotations": sql("""
+        SELECT clip_id, chain_id, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(greatest(x2, x1 + 1) AS BIGINT) AS x2, CAST(greatest(y2, y1 + 1) AS BIGINT) AS y2 FROM (
+          SELECT clip_id, chain_id, CASE seq % 4 WHEN 0 THEN l WHEN 1 THEN y1 WHEN 2 THEN 1900 - r ELSE 1080 - least(y2, 1080) END AS x1, CASE seq % 4 WHEN 0 THEN y1 WHEN 1 THEN 1900 - r WHEN 2 THEN 1080 - least(y2, 1080) ELSE l END AS y1,
+                 CASE seq % 4 WHEN 0 THEN r WHEN 1 THEN least(y2, 1080) WHEN 2 THEN 1900 - l ELSE 1080 - y1 END AS x2, CASE seq % 4 WHEN 0 THEN least(y2, 1080) WHEN 1 THEN 1900 - l WHEN 2 THEN 1080 - y1 ELSE r END AS y2
+          FROM (SELECT *, CASE WHEN x2 <= 1900 OR 1900 - x1 >= x2 - 1900 THEN x1 ELSE 0 END AS l, CASE WHEN x2 <= 1900 THEN x2 WHEN 1900 - x1 >= x2 - 1900 THEN 1900 ELSE x2 - 1900 END AS r FROM best))"""),
+    "sign_facts": sql("""
+        SELECT n.clip_id, n.chain_id, c.cls, n.x1, n.y1, n.x2, n.y2, n.frame AS best_frame, round_even(n.frame / 24::DOUBLE, 3) AS best_timestamp, first_frame, round_even(first_frame / 24::DOUBLE, 3) AS first_timestamp, last_frame, round_even(last_frame / 24::DOUBLE, 3) AS last_timestamp,
+               n AS observations, confidence_max, round_even(confidence_mean, 3) AS confidence_mean,
+               '[{"key":"osm|traffic_sign","value":"yes"},{"key":"detection_model[osm|traffic_sign=yes]","value":"lens-m/unknown"},{"key":"detection_confidence[osm|traffic_sign=yes]","value":"' || printf('%.3f', b.score) || '"}]' AS semantics
+        FROM notes n JOIN sign_tracks t ON n.clip_id = t.clip_id AND n.chain_id = t.chain_id JOIN best b ON n.clip_id = b.clip_id AND n.chain_id = b.chain_id
+        JOIN (SELECT clip_id, chain_id, arg_max(cls, o) AS cls FROM (SELECT clip_id, chain_id, cls, count(*) * 1000000000000000 - min(frame * 100000000 + seq) AS o FROM signs GROUP BY clip_id, chain_id, cls) GROUP BY clip_id, chain_id) c ON n.clip_id = c.clip_id AND n.chain_id = c.chain_id"""),
+    "sure_detections": sql("SELECT clip_id, seq FROM det WHERE score >= 0.1 AND frame < 500"),
+    "worth_annotating": sql("SELECT clip_id, chain_id, seq FROM chained SEMI JOIN (SELECT clip_id, chain_id FROM chained GROUP BY ALL HAVING max(score) >= 0.6 AND count(DISTINCT frame) >= 2) USING (clip_id, chain_id)"),
+    "chain_ratios": sql("SELECT *, detections / chains_blurred AS detections_per_blurred_chain FROM (SELECT count(*) AS detections, count(DISTINCT (clip_id, chain_id)) AS chains FROM chained), (SELECT count(DISTINCT (clip_id, chain_id)) AS chains_blurred FROM plan)"),
+    "annotated_clips": sql("SELECT clip_id, count(*) AS boxes FROM truth SEMI JOIN part ON p_partkey = clip_id GROUP BY ALL"),
+    "wrapped_iou": sql("SELECT seq, round((x2 - x1 - 5) * (y2 - y1 - 2) / (2 * (x2 - x1) * (y2 - y1) - (x2 - x1 - 5) * (y2 - y1 - 2)), 6) AS iou FROM det"),
+    "overlay_match": sql("""
+        SELECT p.clip_id, p.chain_id, CAST(segment AS INT) AS segment, p.frame, arg_max(d.score, {'i': i / (a + b - i), 's': -d.seq}) AS score FROM (
+          SELECT p.*, d.seq AS dseq, greatest(0, least(p.x2, d.x2) - greatest(p.x1, d.x1)) * greatest(0, least(p.y2, d.y2) - greatest(p.y1, d.y1)) AS i, (p.x2 - p.x1) * (p.y2 - p.y1) AS a, (d.x2 - d.x1) * (d.y2 - d.y1) AS b
+          FROM plan p JOIN det d ON p.clip_id = d.clip_id AND p.frame = d.frame AND p.cls = d.cls) p JOIN det d ON d.seq = p.dseq WHERE i / least(a, b) >= 0.5 GROUP BY ALL"""),
     "sign_tracks": sql("SELECT clip_id, chain_id, n, first_frame, last_frame, confidence_max, round(confidence_mean, 6) AS confidence_mean FROM sign_tracks"),
     "best_observation": sql("SELECT clip_id, chain_id, frame, seq, score FROM best"),
     "annotations": sql("SELECT clip_id, chain_id, frame, x1, y1, x2, y2, round(time, 6) AS time FROM notes"),

@@ -30,12 +30,12 @@ def requests(s, d) -> DataFrame:
 
 def wanted(s, d) -> DataFrame:
     k = F.col("p_partkey")
-    return s.read.parquet(f"{d}/part.parquet").select((k % 50).alias("clip_id"), _text("d", k % 7).alias("det_key"), _text("t", k % 5).alias("track_key"))
+    return s.read.parquet(f"{d}/part.parquet").select(k.alias("clip_id"), _text("d", k % 7).alias("det_key"), _text("t", k % 5).alias("track_key"))
 
 
 def kept(s, d) -> DataFrame:
     n = F.col("event_id")
-    return s.read.parquet(f"{d}/events.parquet").where("event_id % 101 = 0").select((F.col("user_id") % 50).alias("clip_id"), _text("d", n % 11).alias("det_key"), _text("t", n % 3).alias("track_key"), (n % 2 == 0).alias("complete"))
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("clip_id"), _text("d", n % 11).alias("det_key"), _text("t", n % 3).alias("track_key"), (n % 2 == 0).alias("complete"))
 
 
 def folders(s, d) -> DataFrame:
@@ -131,8 +131,8 @@ def oracles(sql) -> dict[str, str]:
                 || ',"model":"m' || p_partkey % 3 || '","policy":"face=blur","profile":"p' || p_partkey % 2 || '","projection":"auto","tile_trigger_width":5760}'), 1, 12) AS det_key,
                 substr(sha256('{"tracker":"flow","width":' || p_partkey % 4 * 480 || '}'), 1, 12) AS track_key FROM part""",
         "cache_reuse": """
-            WITH w AS (SELECT DISTINCT p_partkey % 50 AS clip_id, 'd' || p_partkey % 7 AS det_key, 't' || p_partkey % 5 AS track_key FROM part),
-            k AS (SELECT user_id % 50 AS clip_id, 'd' || event_id % 11 AS det_key, 't' || event_id % 3 AS track_key FROM events WHERE event_id % 101 = 0 AND event_id % 2 = 0)
+            WITH w AS (SELECT DISTINCT p_partkey AS clip_id, 'd' || p_partkey % 7 AS det_key, 't' || p_partkey % 5 AS track_key FROM part),
+            k AS (SELECT user_id AS clip_id, 'd' || event_id % 11 AS det_key, 't' || event_id % 3 AS track_key FROM events WHERE event_id % 2 = 0)
             SELECT w.*, CASE WHEN EXISTS (FROM k WHERE k = w) THEN 'cached' WHEN b IS NULL THEN 'detect' ELSE 'retrack' END AS action, CASE WHEN NOT EXISTS (FROM k WHERE k = w) THEN b END AS base
             FROM w LEFT JOIN (SELECT clip_id, det_key, min(track_key) AS b FROM k GROUP BY ALL) USING (clip_id, det_key)""".replace("k = w", "k.clip_id = w.clip_id AND k.det_key = w.det_key AND k.track_key = w.track_key"),
         "folder_leftovers": "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1996-12-31 23:59:00'",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ..options import Options
 from ..sources import logs
 
 OPTIONS = Options()
+AROUND = Options(width=1900, wrap_width=1900.0)
 FRAMES = 720
 KEY = ("clip_id", "chain_id", "segment", "frame")
 
@@ -35,9 +38,11 @@ def sign_chains(spark, sf_dir) -> DataFrame:
 
 
 def truth(spark, sf_dir) -> DataFrame:
-    found = detections(spark, sf_dir).where((F.col("seq") % 5 == 0) & F.col("grp").isin("face", "plate"))
+    found = detections(spark, sf_dir).where(F.col("grp").isin("face", "plate"))
     track = F.coalesce("track_id", F.concat("grp", F.lit(":~"), F.col("seq").cast("string")))
-    return found.select("clip_id", track.alias("track"), "cls", "frame", "seq", (F.col("seq") % 2 == 0).alias("readable"), *Box.of().expand(0.1).named())
+    # every fifth box is smaller than what was detected, some of them under 16 pixels
+    size = F.when(F.col("seq") % 5 == 0, F.lit(-0.35)).otherwise(F.lit(0.1))
+    return found.select("clip_id", track.alias("track"), "cls", "frame", "seq", (F.col("seq") % 2 == 0).alias("readable"), *Box.of().expand(size).named())
 
 
 def jobs(spark, sf_dir) -> DataFrame:
@@ -69,6 +74,16 @@ def objects(spark, sf_dir) -> DataFrame:
     return M.object_frames(truth(spark, sf_dir), plan(spark, sf_dir), OPTIONS)
 
 
+def seam_plan(spark, sf_dir) -> DataFrame:
+    return P.blur_plan(chained(spark, sf_dir), AROUND, FRAMES)
+
+
+def summary(spark, sf_dir) -> DataFrame:
+    # what the summary and the gate read several times is computed once
+    found = objects(spark, sf_dir).persist()
+    return M.summary(found, M.chains_per_track(truth(spark, sf_dir), plan(spark, sf_dir), OPTIONS), OPTIONS)
+
+
 def annotations(spark, sf_dir) -> DataFrame:
     return S.display_shapes(S.sign_tracks(sign_chains(spark, sf_dir), OPTIONS), OPTIONS)
 
@@ -85,6 +100,10 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols, *Box(*(v + 1e-6 for v in (box.x1, box.y1, box.x2, box.y2))).named(digits=3))
 
 
+def videos_of(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("clip_id"))
+
+
 def _best(spark, sf_dir):
     return S.sign_tracks(sign_chains(spark, sf_dir), OPTIONS)
 
@@ -104,7 +123,7 @@ def _keys(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    return P.split_jumps(chained(spark, sf_dir), OPTIONS).where(F.col("part_score") >= OPTIONS.conf_blur).where("clip_id % 3 <> 0").groupBy("clip_id", "chain_id").agg(F.max("score").alias("score"))
+    return P.split_jumps(chained(spark, sf_dir), OPTIONS).where(F.col("part_score") >= OPTIONS.conf_blur).where("track_id is not null").groupBy("clip_id", "chain_id").agg(F.max("score").alias("score"))
 
 
 def _log(spark, sf_dir):
@@ -141,9 +160,19 @@ QUERIES = {
     "coverage": lambda s, d: objects(s, d),
     "leakage_rollup": lambda s, d: M.leakage(objects(s, d)),
     "exposure_islands": lambda s, d: M.exposures(objects(s, d)),
-    "transient_exposures": lambda s, d: M.transients(objects(s, d), 48),
-    "chains_per_track": lambda s, d: M.chains_per_track(truth(s, d), plan(s, d)),
-    "privacy_gate": lambda s, d: M.gate(objects(s, d), OPTIONS),
+    "transient_exposures": lambda s, d: M.transients(objects(s, d), replace(OPTIONS, fps=144.0)),
+    "benchmark_summary": summary,
+    "seam_plan": lambda s, d: _rounded(seam_plan(s, d), *KEY, "kind", "cls", "source"),
+    "seam_coverage": lambda s, d: M.object_frames(truth(s, d), seam_plan(s, d), AROUND),
+    "seam_chains_per_track": lambda s, d: M.chains_per_track(truth(s, d), seam_plan(s, d), AROUND),
+    "seam_annotations": lambda s, d: S.display_shapes(_best(s, d), AROUND, (F.col("best.seq") % 4) * 90).select("clip_id", "chain_id", *SIDES),
+    "sign_facts": lambda s, d: S.published(annotations(s, d), D.majority_class(sign_chains(s, d)), OPTIONS, "lens", "m", None).withColumn("semantics", F.to_json("semantics")),
+    "sure_detections": lambda s, d: D.sure(D.first_frames(detections(s, d), 500), OPTIONS).select("clip_id", "seq"),
+    "worth_annotating": lambda s, d: D.worth_annotating(chained(s, d), 0.6, 2).select("clip_id", "chain_id", "seq"),
+    "chain_ratios": lambda s, d: D.chain_ratios(chained(s, d), plan(s, d)),
+    "annotated_clips": lambda s, d: C.annotated(videos_of(s, d), truth(s, d)).select("clip_id", "boxes"),
+    "chains_per_track": lambda s, d: M.chains_per_track(truth(s, d), plan(s, d), OPTIONS),
+    "privacy_gate": lambda s, d: M.gate(summary(s, d), OPTIONS).withColumn("failures", F.array_join("failures", "; ")),
     "sign_tracks": lambda s, d: _best(s, d).select("clip_id", "chain_id", "n", "first_frame", "last_frame", "confidence_max", F.round("confidence_mean", 6).alias("confidence_mean")),
     "best_observation": lambda s, d: _best(s, d).select("clip_id", "chain_id", "best.frame", "best.seq", "best.score"),
     "annotations": lambda s, d: annotations(s, d).select("clip_id", "chain_id", "frame", *SIDES, F.round("time", 6).alias("time")),
@@ -151,8 +180,9 @@ QUERIES = {
     "gps_asof": lambda s, d: S.position_at(annotations(s, d).select("clip_id", "chain_id", "time"), gps(s, d)).select("clip_id", "chain_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")),
     "unwrap_track": lambda s, d: D.unwrap(chained(s, d), 1900.0).select("clip_id", "chain_id", "seq", "turns"),
     "size_bucket": lambda s, d: detections(s, d).groupBy("cls", size_bucket(Box.of().height).alias("size")).agg(F.count(F.lit(1)).alias("n")),
-    "seam_copies": lambda s, d: detections(s, d).select("seq", "x1", "x2", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("turn")).select("seq", "turn", (F.col("x1") + F.col("turn") * 1900.0).alias("x1"), (F.col("x2") + F.col("turn") * 1900.0).alias("x2")),
-    "fragmentation": lambda s, d: detections(s, d).groupBy("grp").agg(F.count(F.lit(1)).alias("detections"), F.round(F.count("track_id") / F.count(F.lit(1)), 6).alias("tracked_share"), F.count_distinct(F.concat("track_id", F.lit("@"), F.col("clip_id").cast("string"))).alias("tracks")),
+    "seam_copies": lambda s, d: C.seam_copies(detections(s, d), 1900.0).select("seq", "turn", "x1", "x2"),
+    "wrapped_iou": lambda s, d: detections(s, d).select("seq", F.round(Box.of().wrapped_iou(Box.of().translate(F.lit(1905.0) - 3800.0 * (F.col("seq") % 2), F.lit(2.0)), 1900.0), 6).alias("iou")),
+    "fragmentation": lambda s, d: D.fragmentation(detections(s, d)).withColumn("tracked_share", F.round("tracked_share", 6)),
     "job_claim": lambda s, d: J.claim(jobs(s, d)).select("id", "created_at"),
     "job_counts": lambda s, d: J.counts(jobs(s, d)),
     "job_histogram": lambda s, d: J.histogram(jobs(s, d)),

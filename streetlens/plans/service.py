@@ -134,8 +134,8 @@ def oracles(sql) -> dict[str, str]:
         "box_geometry": sql("""
             SELECT seq, x2 - x1 AS width, y2 - y1 AS height, (x2 - x1) * (y2 - y1) AS area, (x1 + x2) / 2 AS cx, round(x1 - (x2 - x1) * 0.1::DOUBLE, 6) AS big_x1, least(greatest(x2, 0), 1920::DOUBLE) AS held_x2, least(greatest(y2, 0), 1080::DOUBLE) AS held_y2,
                    x1 AS normal_x1, x1 AS back_x1, 7::DOUBLE AS turn_dx,
-                   CASE seq % 4 WHEN 0 THEN x1 WHEN 1 THEN y1 WHEN 2 THEN 1920 - x2 ELSE y1 END AS turned_x1, CASE seq % 4 WHEN 0 THEN y1 WHEN 1 THEN 1920 - x2 WHEN 2 THEN 1080 - y2 ELSE x1 END AS turned_y1,
-                   CASE seq % 4 WHEN 0 THEN x2 WHEN 1 THEN y2 WHEN 2 THEN 1920 - x1 ELSE y2 END AS turned_x2, CASE seq % 4 WHEN 0 THEN y2 WHEN 1 THEN 1920 - x1 WHEN 2 THEN 1080 - y1 ELSE x2 END AS turned_y2,
+                   CASE seq % 4 WHEN 0 THEN x1 WHEN 1 THEN y1 WHEN 2 THEN 1920 - x2 ELSE 1080 - y2 END AS turned_x1, CASE seq % 4 WHEN 0 THEN y1 WHEN 1 THEN 1920 - x2 WHEN 2 THEN 1080 - y2 ELSE x1 END AS turned_y1,
+                   CASE seq % 4 WHEN 0 THEN x2 WHEN 1 THEN y2 WHEN 2 THEN 1920 - x1 ELSE 1080 - y1 END AS turned_x2, CASE seq % 4 WHEN 0 THEN y2 WHEN 1 THEN 1920 - x1 WHEN 2 THEN 1080 - y1 ELSE x2 END AS turned_y2,
                    round((x1 + x2) / 2 - (x2 - x1) / 2 * sqrt(2), 6) AS reach_x1, CAST(least(1920, ceil((x1 + x2) / 2 + (x2 - x1) / 2 * sqrt(2))) AS BIGINT) AS roi_x2,
                    round((x2 - x1 - 5) * (y2 - y1 - 5) / (2 * (x2 - x1) * (y2 - y1) - (x2 - x1 - 5) * (y2 - y1 - 5)), 6) AS iou
             FROM det"""),

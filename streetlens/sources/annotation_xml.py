@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_half_even
+
 ATTRIBUTE = "array<struct<_VALUE:string,_name:string>>"
 BOX = f"struct<_frame:bigint,_outside:int,_xtl:double,_ytl:double,_xbr:double,_ybr:double,attribute:{ATTRIBUTE}>"
 SHAPES = ("polygon", "polyline", "points", "ellipse", "mask")
@@ -34,7 +36,7 @@ def skipped(tracks: DataFrame, labels: tuple[str, ...]) -> DataFrame:
 
 def write(found: DataFrame, path: str) -> None:
     """Key frames (track, cls, frame, outside, x1..y2) as track elements, numbered in order of their names."""
-    box = F.struct(F.col("frame").alias("_frame"), F.lit(1).alias("_keyframe"), F.col("outside").cast("int").alias("_outside"), F.lit(0).alias("_occluded"), *(F.round(c, 2).alias(f"_{n}") for n, c in (("xtl", "x1"), ("ytl", "y1"), ("xbr", "x2"), ("ybr", "y2"))))
+    box = F.struct(F.col("frame").alias("_frame"), F.lit(1).alias("_keyframe"), F.col("outside").cast("int").alias("_outside"), F.lit(0).alias("_occluded"), *(round_half_even(F.col(c), 2).alias(f"_{n}") for n, c in (("xtl", "x1"), ("ytl", "y1"), ("xbr", "x2"), ("ybr", "y2"))))
     each = found.groupBy("track").agg(F.first("cls").alias("_label"), F.array_sort(F.collect_list(box)).alias("box"))
-    ids = F.abs(F.xxhash64("track"))  # stable and without a global sort
-    each.select(ids.alias("_id"), "_label", F.lit("auto").alias("_source"), "box").write.format("xml").option("rootTag", "annotations").option("rowTag", "track").save(path)
+    ids = F.row_number().over(Window.orderBy("track")) - 1  # one file has the tracks of one clip
+    each.select(ids.cast("long").alias("_id"), "_label", F.lit("auto").alias("_source"), "box").write.format("xml").option("rootTag", "annotations").option("rowTag", "track").save(path)

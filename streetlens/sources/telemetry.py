@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Record keys and the types of numbers.
 GPS5, GPS9, FIX, SCALE = b"GPS5", b"GPS9", b"GPSF", b"SCAL"
@@ -59,6 +60,12 @@ def _position(row, scale) -> tuple[float, float, float] | None:
     return None if lat == 0 and lon == 0 else (lat, lon, alt)
 
 
+def from_first_frame(samples: DataFrame, videos: DataFrame) -> DataFrame:
+    """Samples (clip_id, time, ...) with times counted from the first frame of the video (clip_id, start: seconds, null is 0)."""
+    origin = videos.select("clip_id", F.coalesce("start", F.lit(0.0)).alias("_start"))
+    return samples.join(origin, "clip_id").withColumn("time", F.col("time") - F.col("_start")).drop("_start")
+
+
 def gps_samples(packets: DataFrame) -> DataFrame:
     """(clip_id, time, lat, lon, alt) of packets (clip_id, start, duration, payload): a packet's rows are spread evenly over it."""
 

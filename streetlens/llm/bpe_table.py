@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -82,12 +83,36 @@ def _counted(path: str):
     return run
 
 
-def common_words(docs: DataFrame, path: str) -> dict[str, tuple[bytes, bytes]]:
-    """The most frequent words of a sample of rows, each with its ids (little-endian uint32) and the bytes they decode to."""
+class Table:
+    """Words with their ids (little-endian uint32), and of the few that decode to other bytes than their own also these."""
+
+    def __init__(self, found: pa.Table):
+        self.ids = dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True))
+        other = found.filter(pc.is_valid(found.column("raw")))
+        self.raw = dict(zip(other.column("word").to_pylist(), other.column("raw").to_pylist(), strict=True))
+
+
+def look_up(word: str, own: Table, common: Table, path: str) -> tuple[bytes, bytes]:
+    """(ids, bytes they decode to) of a word of a chunk, from its own words or the common ones.
+
+    A word is in neither only where the input was dealt to chunks in another way
+    when it was read again (an input that Spark recomputes in another order); it
+    is then encoded on the spot.
+    """
+    for table in (own, common):
+        ids = table.ids.get(word)
+        if ids is not None:
+            raw = table.raw.get(word)
+            return ids, word.encode() if raw is None else raw
+    ids, piece = encoder(path).encode([word])[0], _pieces(path)
+    return ids.astype("<u4").tobytes(), b"".join([piece[i] for i in ids.tolist()])
+
+
+def common_words(docs: DataFrame, path: str) -> Table:
+    """The most frequent words of a sample of rows."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_counted(path), "word string, n long")
     top = sample.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
-    table = _known(top.select(F.lit(-1).cast("long").alias("chunk"), "word").repartition("word").sortWithinPartitions("word"), path).toArrow()
-    return {w: (ids, w.encode() if raw is None else raw) for w, ids, raw in zip(*(table.column(c).to_pylist() for c in ("word", "ids", "raw")), strict=True)}
+    return Table(_known(top.select(F.lit(-1).cast("long").alias("chunk"), "word").repartition("word").sortWithinPartitions("word"), path).toArrow())
 
 
 def _words(path: str, common):
@@ -99,7 +124,7 @@ def _words(path: str, common):
             words: set[str] = set()
             for t in texts:
                 words.update(split_words(t, enc))
-            rest = list(words.difference(common.value))
+            rest = list(words.difference(common.value.ids))
             for i in range(0, len(rest), 20_000):
                 part = rest[i : i + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "word"])
@@ -192,49 +217,29 @@ def pieces(path: str) -> dict[int, bytes]:
     return {i: token.encode() if token in enc.special else bytes(to_byte[c] for c in token) for token, i in enc.library.get_vocab(with_added_tokens=True).items()}
 
 
-class Table(dict):
-    """word -> (ids, bytes): the chunk's own words, then the common ones.
-
-    Words are missing only where the input was dealt to chunks in another way
-    when it was read again (an input that Spark recomputes in another order);
-    these are encoded on the spot.
-    """
-
-    def __init__(self, common: dict, own: dict, path: str):
-        super().__init__(own)
-        self.common, self.path = common, path
-
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        hit = self.common.get(word)
-        if hit is None:
-            ids, piece = encoder(self.path).encode([word])[0], _pieces(self.path)
-            hit = self[word] = ids.astype("<u4").tobytes(), b"".join([piece[i] for i in ids.tolist()])
-        return hit
-
-
 def _restore(path: str, digest: bool, common):
     """A chunk's documents and word ids brought together: one row a document."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         enc = encoder(path)
-        own = zip(*(right.column(c).to_pylist() for c in ("word", "ids", "raw")), strict=True)
-        table = Table(common.value, {w: (ids, w.encode() if raw is None else raw) for w, ids, raw in own}, path)
+        own = Table(right)
         text_of: dict[str, tuple[int, str, bytes]] = {}
         docs, rows = [], []
         for blob in left.column("blob").to_pylist():
-            ids, texts = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
-            docs += ids
+            numbers, texts = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+            docs += numbers
             for text in texts:
                 words = split_words(text, enc)
                 if not digest:
-                    rows.append(np.frombuffer(b"".join([table[w][0] for w in words]), "<u4").tolist())
+                    rows.append(np.frombuffer(b"".join([look_up(w, own, common.value, path)[0] for w in words]), "<u4").tolist())
                     continue
                 found = []
                 for w in words:
                     hit = text_of.get(w)
                     if hit is None:
-                        values = np.frombuffer(table[w][0], "<u4").tolist()
-                        hit = text_of[w] = (len(values), ",".join(map(str, values)), table[w][1])
+                        ids, raw = look_up(w, own, common.value, path)
+                        values = np.frombuffer(ids, "<u4").tolist()
+                        hit = text_of[w] = (len(values), ",".join(map(str, values)), raw)
                     found.append(hit)
                 n = sum([f[0] for f in found])
                 listed = ",".join([f[1] for f in found])

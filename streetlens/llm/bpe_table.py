@@ -239,7 +239,9 @@ def _restore(path: str, digest: bool, common):
                     if hit is None:
                         ids, raw = look_up(w, own, common.value, path)
                         values = np.frombuffer(ids, "<u4").tolist()
-                        hit = text_of[w] = (len(values), ",".join(map(str, values)), raw)
+                        hit = (len(values), ",".join(map(str, values)), raw)
+                        if w in common.value.ids:  # others hardly ever come again: only common words are remembered
+                            text_of[w] = hit
                     found.append(hit)
                 n = sum([f[0] for f in found])
                 listed = ",".join([f[1] for f in found])

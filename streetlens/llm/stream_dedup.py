@@ -109,11 +109,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = stored.select("digest", "doc_id", "file", "row").join(state, "digest").select("digest", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", stays.alias("kept"), F.lit(None).cast("string").alias("text_key"))
     confused = _confused(stored, state)
     if not confused.limit(1).count():
-        return out
+        found = materialize(out, "dedup-found")
+        discard_path(spark, store)
+        return found
     parted = stored.join(confused, "digest").select("digest", "doc_id", "file", "row", F.sha2("text", 512).alias("text_key"), "text")
     best = parted.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     again = parted.join(best, ["digest", "text"]).select("digest", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", stays.alias("kept"), "text_key")
-    return out.join(confused, "digest", "left_anti").unionByName(again)
+    found = materialize(out.join(confused, "digest", "left_anti").unionByName(again), "dedup-found")
+    discard_path(spark, store)
+    return found
 
 
 def _confused(stored: DataFrame, state: DataFrame) -> DataFrame:
@@ -137,7 +141,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty table gives an empty result; other columns may have any names.
     """
     own_id, own_digest, digest = free_names(docs, "kept_id", "kept_digest", "dedup_digest")
-    found = materialize(exact_dedup(docs, id_col, text_col).select("doc_id", "digest", "text_key", "kept"), "dedup-kept")
+    found = exact_dedup(docs, id_col, text_col)
     kept = found.where("kept").select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest))
     text = lower_ascii(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     marked = docs.withColumn(digest, sha256(text))

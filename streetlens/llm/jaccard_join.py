@@ -437,10 +437,8 @@ def _block_links(base: DataFrame, rows: DataFrame, nodes: DataFrame, blocks: Dat
     links = _searched(sets.select("block", F.col("chunk").alias("i"), none.alias("j"), "node", F.col("node").alias("label"), "shingles"), percent, "jaccard-near")
     large = sets.where("chunks > 1")
     if large.limit(1).count():
-        more = _between_chunks(large, links, percent, chunk_sets, chunk_shingles)
-        links = links.unionByName(more)
-    else:
-        discard(sets)
+        links = links.unionByName(_between_chunks(large, links, percent, chunk_sets, chunk_shingles))
+    discard(sets)
     return links
 
 

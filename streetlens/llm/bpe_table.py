@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim, tune
+from .common import materialize, slim, tune
 from .tokens import BYTE_SPLIT, byte_alphabet, encoder
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
@@ -193,10 +193,12 @@ def _gather(batches):
 def _known(words: DataFrame, path: str) -> DataFrame:
     """(chunk, word, ids, raw) for rows (chunk, word) that are sorted by word in their partitions.
 
-    The join keeps a partition's rows in their order, as the small side is
-    broadcast: nothing is shuffled to bring a word's pieces together again.
+    The table of distinct words is written once: a task then has one Python
+    worker, and the shuffled words go. The join keeps a partition's rows in
+    their order, as the small side is broadcast: nothing is shuffled to bring a
+    word's pieces together again.
     """
-    runs = words.mapInArrow(_encode_runs(path), "word string, chunks array<long>, ids array<int>")
+    runs = materialize(words.mapInArrow(_encode_runs(path), "word string, chunks array<long>, ids array<int>"), "bpe-words")
     each = runs.select("word", "chunks", F.posexplode("ids").alias("at", "id"))
     first = F.col("at") == 0
     each = each.select("at", "id", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("chunks")).alias("chunks"))

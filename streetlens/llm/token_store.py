@@ -224,16 +224,15 @@ def write_tokens(docs: DataFrame, table: str, path: str, end_id: int, id_col: st
     """Encode each text by the vocabulary file ``path``, append ``end_id`` and write token blocks below ``table``.
 
     Documents lie in ascending order of their id, null ids first, rows with the
-    same id in the order of the first 200 characters of their texts, then of the
-    input. A null text is empty; an empty table gives no blocks. As many parts are
+    same id in the order of a hash of their texts, then of the input. A null text is empty; an empty table gives no blocks. As many parts are
     written as the session has shuffle partitions.
     """
     spark = docs.sparkSession
     tune(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the number of the row parts even equal rows, should a third of all have one id
+    # rows of one id are parted by their texts, and equal ones by their number, should a third of all have it
     rows = slim(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    order = ["doc_id", F.substring("text", 1, 200), "row"]
+    order = ["doc_id", F.xxhash64("text"), "row"]
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("row")
     ordered.mapInArrow(_encode(path, end_id), "part long, block long, start long, tokens long, data binary").write.parquet(table)
 

@@ -70,3 +70,32 @@ def test_key_frames_expand(spark):
 def test_key_frames_thin(spark):
     frames = spark.createDataFrame([(1, "a", f) for f in (0, 2, 5, 6, 11, 40, 41)], "clip_id long, chain_id string, frame long")
     assert sorted((r.segment, r.frame) for r in K.thin(frames, 5, 10).collect()) == [(0, 0), (0, 5), (0, 11), (1, 40), (1, 41)]
+
+
+def test_logs_are_complete_and_of_the_right_video(spark, tmp_path):
+    from streetlens.plans import queries as Q
+    from streetlens.sources import logs
+
+    found = Q.detections(spark, "/root/testdata/sf0.001").where("clip_id < 4")
+    lines = logs.to_lines(found, Q.FRAMES, 24.0, (1280, 720))
+    clips = [r.clip_id for r in found.select("clip_id").distinct().orderBy("clip_id").collect()]
+    videos = spark.createDataFrame([(c, 1280 if c != clips[0] else 640, 720) for c in [*clips, 999]], "clip_id long, width int, height int")
+    problem = lambda parsed, **kw: {r.clip_id: r.problem for r in logs.owned(parsed, videos, **kw).collect()}
+    assert problem(logs.parse(lines)) == {c: "size" if c == clips[0] else None for c in clips} | {999: "incomplete"}
+    cut = logs.parse(lines.where("line NOT LIKE '%footer%'"))
+    assert set(problem(cut).values()) == {"incomplete"}
+    assert problem(cut, allow_partial=True) == {c: "size" if c == clips[0] else None for c in clips} | {999: "size"}
+    logs.write(lines, str(tmp_path / "logs"))
+    back = logs.detections(logs.parse(logs.read(spark, str(tmp_path / "logs" / "*"))))
+    assert sorted((r.seq, r.frame, r.x1, r.score) for r in back.collect()) == sorted((r.seq, r.frame, r.x1, r.score) for r in found.collect())
+
+
+def test_positions_count_from_the_first_frame_and_have_heights(spark):
+    from streetlens.operators import signs
+    from streetlens.sources import telemetry
+
+    samples = spark.createDataFrame([(1, 5.0 + t, 10.0 + t, 20.0 - t, 100.0 + 4 * t) for t in range(4)], "clip_id long, time double, lat double, lon double, alt double")
+    moved = telemetry.from_first_frame(samples, spark.createDataFrame([(1, 5.0)], "clip_id long, start double"))
+    times = spark.createDataFrame([(1, 0.5), (1, 3.9), (1, 9.0), (1, -0.5)], "clip_id long, time double")
+    at = {r.time: (r.lat, r.lon, r.alt) for r in signs.position_at(times, moved).collect()}
+    assert at == {0.5: (10.5, 19.5, 102.0), 3.9: (13.0, 17.0, 112.0), 9.0: (None, None, None), -0.5: (10.0, 20.0, 100.0)}

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sql as functions
 from ..functions.box import SIDES, Box
 from ..operators import jobs as J
 from ..operators import layout as Y
@@ -97,8 +98,16 @@ def with_jobs(s, d) -> DataFrame:
     return Q.jobs(s, d)
 
 
+def sql_functions(s, d) -> DataFrame:
+    functions.register(s)
+    return Q.detections(s, d).selectExpr("seq", "box_of(x1, y1, x2, y2) AS b").selectExpr(
+        "seq", "box_area(b) AS area", "round(box_iou(b, box_translate(b, 5, 5)), 6) AS iou", "round(box_expand(b, 0.1D).x1, 6) AS big_x1", "box_normalize(box_translate(b, 3800, 0), 1900).x1 AS normal_x1", "box_size(b) AS size"
+    )
+
+
 QUERIES = {
     "box_geometry": geometry,
+    "sql_functions": sql_functions,
     "detection_passes": lambda s, d: Y.passes(videos(s, d), 5760, 0.05).withColumn("place", F.col("place").cast("int")),
     "class_policy": lambda s, d: Y.class_groups(s.createDataFrame([("face", "blur"), ("plate", "blur"), ("sign", "annotate")], "cls string, action string")).join(Q.detections(s, d).groupBy("cls").agg(F.count(F.lit(1)).alias("n")), "cls").select("cls", "grp", "n"),
     "video_refusals": lambda s, d: Y.refusal(videos(s, d), 3600.0).select("clip_id", "code"),
@@ -131,6 +140,9 @@ def oracles(sql) -> dict[str, str]:
     lines += [f"'job_duration_seconds_bucket{{le=\"{b}\"}} ' || count(*) FILTER (duration_s <= {b})" for b in bounds] + ["'job_duration_seconds_bucket{le=\"+Inf\"} ' || count(duration_s)"]
     lines += ["'job_duration_seconds_sum ' || printf('%.1f', CAST(sum(duration_s) AS DOUBLE))", "'job_duration_seconds_count ' || count(duration_s)", "'frames_processed_total ' || sum(frames) FILTER (duration_s IS NOT NULL)"]
     return {
+        "sql_functions": sql("""
+            SELECT seq, (x2 - x1) * (y2 - y1) AS area, round((x2 - x1 - 5) * (y2 - y1 - 5) / (2 * (x2 - x1) * (y2 - y1) - (x2 - x1 - 5) * (y2 - y1 - 5)), 6) AS iou, round(x1 - (x2 - x1) * 0.1::DOUBLE, 6) AS big_x1, x1 AS normal_x1,
+                   CASE WHEN y2 - y1 < 16 THEN '<16px' WHEN y2 - y1 < 32 THEN '16-32px' WHEN y2 - y1 < 96 THEN '32-96px' ELSE '>96px' END AS size FROM det"""),
         "box_geometry": sql("""
             SELECT seq, x2 - x1 AS width, y2 - y1 AS height, (x2 - x1) * (y2 - y1) AS area, (x1 + x2) / 2 AS cx, round(x1 - (x2 - x1) * 0.1::DOUBLE, 6) AS big_x1, least(greatest(x2, 0), 1920::DOUBLE) AS held_x2, least(greatest(y2, 0), 1080::DOUBLE) AS held_y2,
                    x1 AS normal_x1, x1 AS back_x1, 7::DOUBLE AS turn_dx,

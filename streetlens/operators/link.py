@@ -133,6 +133,46 @@ class _Chain:
         return tuple(v + (v - u) / (f1 - f0) * (frame - f1) for u, v in zip(b0, b1, strict=True))
 
 
+def _nearness(chain: _Chain, frame: int, box: Box, o: Options, wrap_width: float | None) -> float | None:
+    """Distance in box sizes from where the chain would be, null if it can't be the same object."""
+    gap = frame - chain.end
+    if gap <= 0:
+        return None
+    there = chain.at(frame)
+    box = _turned(box, (there[0] + there[2]) / 2, wrap_width)
+    sides = [max(0.0, b[k + 2] - b[k]) for b in (there, box) for k in (0, 1)]
+    apart = math.hypot((there[0] + there[2] - box[0] - box[2]) / 2, (there[1] + there[3] - box[1] - box[3]) / 2) / max(*sides, 1.0)
+    ratio = max(sides[0] * sides[1], 1.0) / max(sides[2] * sides[3], 1.0)
+    return apart if apart <= o.link_distance * (1 + 0.1 * gap) and 1 / o.area_ratio <= ratio <= o.area_ratio else None
+
+
+def fold_fragments(rows: list[dict], o: Options, wrap_width: float | None = None) -> list[dict]:
+    """Rows of one epoch, fragment by fragment in linking order, with the ``number`` and ``key`` of their chain; numbers begin at 0."""
+    out: list[dict] = []
+    active: list[_Chain] = []
+    made, i = 0, 0
+    while i < len(rows):
+        j = i
+        while j < len(rows) and rows[j]["_key"] == rows[i]["_key"]:
+            j += 1
+        fragment, i = rows[i:j], j
+        start = fragment[0]["frame"]
+        active = [c for c in active if start - c.end <= o.link_gap]
+        chain = min(((d, c.number, c) for c in active if (d := _nearness(c, start, _box(fragment[0]), o, wrap_width)) is not None), default=(0, 0, None), key=lambda x: x[:2])[2]
+        if chain is None:
+            chain = _Chain(made, fragment[0]["track_id"], o.velocity_samples)
+            made += 1
+            active.append(chain)
+            before = _box(fragment[0])
+        else:
+            before = chain.tail[-1][1]
+        for row in fragment:
+            before = _turned(_box(row), (before[0] + before[2]) / 2, wrap_width)
+            chain.tail.append((row["frame"], before))
+            out.append({k: row[k] for k in ("clip_id", "epoch", "frame", "seq", "cls", "score", "track_id")} | {"grp": row["_grp"], "number": chain.number, "key": chain.key, "x1": before[0], "y1": before[1], "x2": before[2], "y2": before[3]})
+    return out
+
+
 def link(detections: DataFrame, o: Options, wrap_width: float | None = None) -> DataFrame:
     """``detections`` with ``chain_id``: tracks and orphans of one group linked where one goes on where another ended.
 
@@ -161,41 +201,7 @@ def link(detections: DataFrame, o: Options, wrap_width: float | None = None) ->
     ready = ready.select("clip_id", "_grp", "epoch", "_start", "_end", "track_id", "_key", "_first", "frame", "seq", "cls", "score", "x1", "y1", "x2", "y2")
 
     def fold(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        active: list[_Chain] = []
-        made, i = 0, 0
-        while i < len(rows):
-            j = i
-            while j < len(rows) and rows[j]["_key"] == rows[i]["_key"]:
-                j += 1
-            fragment, i = rows[i:j], j
-            start = fragment[0]["frame"]
-            active = [c for c in active if start - c.end <= o.link_gap]
-            chain = min(((d, c.number, c) for c in active if (d := nearness(c, start, _box(fragment[0]))) is not None), default=(0, 0, None), key=lambda x: x[:2])[2]
-            if chain is None:
-                chain = _Chain(made, fragment[0]["track_id"], o.velocity_samples)
-                made += 1
-                active.append(chain)
-                before = _box(fragment[0])
-            else:
-                before = chain.tail[-1][1]
-            for row in fragment:
-                before = _turned(_box(row), (before[0] + before[2]) / 2, wrap_width)
-                chain.tail.append((row["frame"], before))
-                out.append({k: row[k] for k in ("clip_id", "epoch", "frame", "seq", "cls", "score", "track_id")} | {"grp": row["_grp"], "number": chain.number, "key": chain.key, "x1": before[0], "y1": before[1], "x2": before[2], "y2": before[3]})
-        return out
-
-    def nearness(chain: _Chain, frame: int, box: Box) -> float | None:
-        """Distance in box sizes from where the chain would be, null if it can't be the same object."""
-        gap = frame - chain.end
-        if gap <= 0:
-            return None
-        there = chain.at(frame)
-        box = _turned(box, (there[0] + there[2]) / 2, wrap_width)
-        sides = [max(0.0, b[k + 2] - b[k]) for b in (there, box) for k in (0, 1)]
-        apart = math.hypot((there[0] + there[2] - box[0] - box[2]) / 2, (there[1] + there[3] - box[1] - box[3]) / 2) / max(*sides, 1.0)
-        ratio = max(sides[0] * sides[1], 1.0) / max(sides[2] * sides[3], 1.0)
-        return apart if apart <= o.link_distance * (1 + 0.1 * gap) and 1 / o.area_ratio <= ratio <= o.area_ratio else None
+        return fold_fragments(rows, o, wrap_width)
 
     schema = "clip_id bigint, epoch bigint, frame bigint, seq bigint, cls string, score double, track_id string, grp string, number bigint, key string, x1 double, y1 double, x2 double, y2 double"
     found = fold_groups(ready, ["clip_id", "_grp", "epoch"], order, fold, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_half_even
@@ -34,9 +36,34 @@ def skipped(tracks: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     return other.unionByName(shapes).groupBy("reason").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def write(found: DataFrame, path: str) -> None:
-    """Key frames (track, cls, frame, outside, x1..y2) as track elements, numbered in order of their names."""
-    box = F.struct(F.col("frame").alias("_frame"), F.lit(1).alias("_keyframe"), F.col("outside").cast("int").alias("_outside"), F.lit(0).alias("_occluded"), *(round_half_even(F.col(c), 2).alias(f"_{n}") for n, c in (("xtl", "x1"), ("ytl", "y1"), ("xbr", "x2"), ("ybr", "y2"))))
-    each = found.groupBy("track").agg(F.first("cls").alias("_label"), F.array_sort(F.collect_list(box)).alias("box"))
-    ids = F.row_number().over(Window.orderBy("track")) - 1  # one file has the tracks of one clip
-    each.select(ids.cast("long").alias("_id"), "_label", F.lit("auto").alias("_source"), "box").write.format("xml").option("rootTag", "annotations").option("rowTag", "track").save(path)
+def _label(name: str) -> str:
+    flag = "<attribute><name>readable</name><mutable>True</mutable><input_type>checkbox</input_type><default_value>false</default_value><values>false</values></attribute>"
+    return f"<label><name>{name}</name><type>rectangle</type><attributes>{flag}</attributes></label>"
+
+
+def head(labels: tuple[str, ...], frames: int, width: int, height: int) -> str:
+    """The version and ``meta`` element that tell an annotation tool the labels, frames and size of the task."""
+    task = f"<size>{frames}</size><mode>interpolation</mode><start_frame>0</start_frame><stop_frame>{frames - 1}</stop_frame><labels>{''.join(map(_label, labels))}</labels>"
+    return f"<version>1.1</version><meta><task>{task}<original_size><width>{width}</width><height>{height}</height></original_size></task></meta>"
+
+
+def document(found: DataFrame, labels: tuple[str, ...], frames: int, width: int, height: int) -> DataFrame:
+    """(clip_id, body): the XML of each clip's key frames (clip_id, track, cls, frame, outside, x1..y2), tracks numbered in order of their names.
+
+    ``labels`` and the size hold for all clips; a track outside ``labels`` is an error,
+    since the tool would leave it out. Labels are words, so nothing needs to be escaped.
+    """
+    if bad := [name for name in labels if not re.fullmatch(r"[\w -]+", name)]:
+        raise ValueError(f"labels {bad} are not made of letters, digits, blanks, '-' and '_'")
+    sides = [F.concat(F.lit(f'{n}="'), F.format_string("%.2f", round_half_even(F.col(c), 2)), F.lit('" ')) for n, c in (("xtl", "x1"), ("ytl", "y1"), ("xbr", "x2"), ("ybr", "y2"))]
+    box = F.concat(F.format_string('<box frame="%d" keyframe="1" outside="%d" occluded="0" ', "frame", F.col("outside").cast("int")), *sides, F.lit('z_order="0"><attribute name="readable">false</attribute></box>'))
+    each = found.groupBy("clip_id", "track").agg(F.first("cls").alias("cls"), F.array_sort(F.collect_list(F.struct("frame", "outside", box.alias("b")))).alias("b"))
+    known = F.when(F.col("cls").isin(*labels), F.col("cls")).otherwise(F.raise_error(F.concat(F.lit("no label for "), F.col("cls"))))
+    listed = each.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("track", known.alias("cls"), F.array_join(F.transform("b", lambda x: x["b"]), "").alias("b")))).alias("t"))
+    tracks = F.transform("t", lambda t, i: F.concat(F.format_string('<track id="%d" label="%s" source="auto">', i, t["cls"]), t["b"], F.lit("</track>")))
+    return listed.select("clip_id", F.concat(F.lit(f'<?xml version="1.0" encoding="utf-8"?><annotations>{head(labels, frames, width, height)}'), F.array_join(tracks, ""), F.lit("</annotations>")).alias("body"))
+
+
+def write(documents: DataFrame, path: str) -> None:
+    """Documents (clip_id, body) as one file a clip, in a folder ``clip_id=<id>`` each."""
+    documents.repartition("clip_id").select("clip_id", F.col("body").alias("value")).write.partitionBy("clip_id").text(path)

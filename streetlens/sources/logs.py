@@ -67,6 +67,11 @@ def detections(parsed: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the log files below ``path``: the file names the clip, the line's place in it ``at``."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("clip_id"), F.split("value", "\n").alias("lines"))
-    return raw.select("clip_id", F.posexplode("lines").alias("at", "line"))
+    """Lines of the log files below ``path``: the file names the clip, the line's place in it ``at``.
+
+    Large files are read in blocks, side by side; a block's offset and the order of
+    its lines give their places, so only the numbering brings a file together.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("clip_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    at = F.row_number().over(Window.partitionBy("clip_id").orderBy("_block", "_row")) - 1
+    return raw.select("clip_id", at.alias("at"), "line")

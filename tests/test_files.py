@@ -1,6 +1,7 @@
 """Box trees, annotation XML, sealed rows and set-up rules on small inputs."""
 
 import struct
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,9 +85,18 @@ def test_annotation_xml(spark, tmp_path):
     assert got == {("face:0", 0): (False, True, 2.0, 36.0), ("face:0", 4): (True, False, 10.0, 36.0), ("plate:2", 2): (False, False, 0.0, 12.0)}
     assert {(r["reason"], r["n"]) for r in A.skipped(tracks, ("face", "plate")).collect()} == {("label:tree", 1), ("shape:polygon", 1)}
     assert K.expand(keys, 6).count() == 4 + 4
-    A.write(keys, str(tmp_path / "out"))
-    back = A.keys(A.read(spark, str(tmp_path / "out")), 7, ("face", "plate"))
+    A.write(A.document(keys, ("face", "plate"), 6, 640, 360), str(tmp_path / "out"))
+    (written,) = (tmp_path / "out" / "clip_id=7").glob("*.txt")
+    root = ElementTree.parse(written).getroot()
+    assert [e.text for e in root.iter("name")] == ["face", "readable", "plate", "readable"]
+    assert [root.findtext(f"meta/task/{p}") for p in ("size", "stop_frame", "original_size/width", "original_size/height")] == ["6", "5", "640", "360"]
+    assert [(t.get("id"), t.get("label"), t[0].get("xtl")) for t in root.iter("track")] == [("0", "face", "2.00"), ("1", "plate", "0.00")]
+    back = A.keys(A.read(spark, str(written)), 7, ("face", "plate"))
     assert {(r["cls"], r["frame"], r["outside"], r["x1"]) for r in back.collect()} == {("face", 0, False, 2.0), ("face", 4, True, 10.0), ("plate", 2, False, 0.0)}
+    with pytest.raises(Exception, match="no label for plate"):
+        A.document(keys, ("face",), 6, 640, 360).collect()
+    with pytest.raises(ValueError, match="not made of letters"):
+        A.document(keys, ("a<b",), 6, 640, 360)
 
 
 def test_sealed_rows(spark):

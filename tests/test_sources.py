@@ -61,6 +61,20 @@ def test_log_files(spark, tmp_path):
     assert logs.detections(logs.parse(logs.read(spark, f"file://{tmp_path}"))).count() == 1
 
 
+def test_log_files_in_blocks(spark, tmp_path):
+    for name, n in (("a", 500), ("b", 3)):
+        (tmp_path / f"{name}.ndjson").write_text("".join(f"{name}{i} {'x' * (i % 7)}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 256)
+    try:
+        found = logs.read(spark, str(tmp_path))
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, n in (("a", 500), ("b", 3)):
+        own = sorted((r.at, r.line) for r in rows if r.clip_id.endswith(f"{name}.ndjson"))
+        assert own == [(i, f"{name}{i} {'x' * (i % 7)}") for i in range(n)]
+
+
 def test_key_frames_expand(spark):
     keys = [(1, "a", 0, 0, False, True, 0.0, 0.0, 10.0, 10.0), (1, "a", 4, 1, False, False, 40.0, 0.0, 50.0, 10.0), (1, "a", 6, 2, True, True, 60.0, 0.0, 70.0, 10.0), (1, "b", 8, 3, False, True, 1.0, 1.0, 2.0, 2.0)]
     found = K.expand(spark.createDataFrame(keys, "clip_id long, track string, frame long, seq long, outside boolean, readable boolean, x1 double, y1 double, x2 double, y2 double"), 10).collect()

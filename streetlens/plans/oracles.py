@@ -151,6 +151,15 @@ ORACLE = {
             SELECT clip_id, track_id AS track, frame, seq % 4 = 0 AS outside, seq % 2 = 0 AS readable, x1, y1, x2, y2, lead(frame) OVER w AS nf, lead(seq % 4 = 0) OVER w AS nout, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1, lead(x2) OVER w AS nx2, lead(y2) OVER w AS ny2
             FROM (FROM det WHERE track_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY clip_id, track_id, frame ORDER BY seq DESC) = 1) WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY frame))
           WHERE NOT outside))"""),
+    "keyframe_thin": sql("""
+        , seen AS (SELECT DISTINCT clip_id, chain_id, frame FROM chained),
+        cut AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY clip_id, chain_id ORDER BY frame) > 48 THEN 1 ELSE 0 END AS new FROM seen),
+        piece AS (SELECT clip_id, chain_id, frame, CAST(sum(new) OVER (PARTITION BY clip_id, chain_id ORDER BY frame) AS BIGINT) AS segment FROM cut),
+        hop AS (SELECT *, min(frame) OVER (PARTITION BY clip_id, chain_id, segment ORDER BY frame RANGE BETWEEN 20 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM piece),
+        kept AS (
+          SELECT clip_id, chain_id, segment, min(frame) AS frame FROM piece GROUP BY ALL
+          UNION ALL SELECT h.clip_id, h.chain_id, h.segment, h.next FROM kept k JOIN hop h ON k.clip_id = h.clip_id AND k.chain_id = h.chain_id AND k.frame = h.frame WHERE h.next IS NOT NULL)
+        SELECT clip_id, chain_id, segment, frame FROM kept UNION SELECT clip_id, chain_id, segment, max(frame) FROM piece GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1),
     "keep_regions": sql("""
         SELECT p.clip_id, p.chain_id, CAST(segment AS INT) AS segment, frame, score FROM plan p
         JOIN (SELECT clip_id, chain_id, max(score) AS score FROM parts WHERE part_score >= 0.15 AND track_id IS NOT NULL GROUP BY ALL) s ON p.clip_id = s.clip_id AND p.chain_id = s.chain_id WHERE score < 0.5"""),

@@ -13,7 +13,7 @@ from ..operators import signs as S
 from ..sources import files, setup_files
 from ..streaming import progress as R
 from . import queries as Q
-from .service import videos
+from .service import _VIDEO, videos
 
 
 def _text(prefix: str, number: Column) -> Column:
@@ -123,9 +123,26 @@ QUERIES = {
 }
 
 
+_AT = """
+    (SELECT clip_id, chain_id, time, CASE WHEN b_time IS NOT NULL THEN a_lat + (b_lat - a_lat) * CASE WHEN b_time > a_time THEN (time - a_time) / (b_time - a_time) ELSE 0 END WHEN time - a_time <= 1 THEN a_lat END AS lat,
+            CASE WHEN b_time IS NOT NULL THEN a_lon + (b_lon - a_lon) * CASE WHEN b_time > a_time THEN (time - a_time) / (b_time - a_time) ELSE 0 END WHEN time - a_time <= 1 THEN a_lon END AS lon
+     FROM (SELECT n.clip_id, n.chain_id, n.time, a.time AS a_time, a.lat AS a_lat, a.lon AS a_lon FROM notes n ASOF JOIN gps a ON n.clip_id = a.clip_id AND n.time >= a.time) x
+     LEFT JOIN (SELECT n.clip_id, n.chain_id, min(g.time) AS b_time, arg_min(g.lat, g.time) AS b_lat, arg_min(g.lon, g.time) AS b_lon FROM notes n JOIN gps g ON n.clip_id = g.clip_id AND g.time >= n.time GROUP BY ALL) y USING (clip_id, chain_id))"""
+
+
 def oracles(sql) -> dict[str, str]:
     """SQL of these queries; ``sql`` puts the common tables before a statement."""
     return {
+        "picture_tags": sql(f"""
+            SELECT clip_id, chain_id, strftime(taken, '%Y:%m:%d %H:%M:%S') AS taken, strftime(taken, '%g') AS subsec, '-03:30' AS zone, CASE WHEN lat >= 0 THEN 'N' WHEN lat < 0 THEN 'S' END AS lat_ref, CAST(floor(lat) AS BIGINT) AS lat_d, CAST(floor((lat - floor(lat)) * 60) AS BIGINT) AS lat_m,
+                   CASE WHEN -lon >= 0 THEN 'E' WHEN -lon < 0 THEN 'W' END AS lon_ref, CAST(floor(lon) AS BIGINT) AS lon_d, CAST(floor((lon - floor(lon)) * 60) AS BIGINT) AS lon_m, CAST(CASE WHEN lat - 45.5 >= 0 THEN 0 WHEN lat - 45.5 < 0 THEN 1 END AS INTEGER) AS alt_ref
+            FROM (SELECT *, TIMESTAMP '2024-05-06 07:08:09.5' + to_microseconds(CAST(round(time * 1000000) AS BIGINT)) AS taken FROM {_AT})"""),
+        "published_metadata": sql(f"""
+            SELECT v.clip_id, '{{"video":{{"width":' || width || ',"height":' || height || ',"duration_s":' || round(v.clip_id % 5000, 3)::DOUBLE || ',"frame_count":720,"projection":"' || projection || '"}},"annotations":[' || coalesce(items, '') || ']}}' AS body
+            FROM {_VIDEO} v LEFT JOIN (
+              SELECT n.clip_id, string_agg('{{"shape":[' || concat_ws(',', x1, y1, x2, y2) || '],"video":{{"track":"' || n.chain_id || '","best_frame":' || frame || ',"best_timestamp":' || round(n.time, 3) || '}}' ||
+                     CASE WHEN lat IS NOT NULL THEN ',"position":{{"lat":' || round(lat, 7) || ',"lon":' || round(lon, 7) || '}}' ELSE '' END || '}}', ',' ORDER BY first_frame, n.chain_id) AS items
+              FROM notes n JOIN sign_tracks t ON n.clip_id = t.clip_id AND n.chain_id = t.chain_id JOIN {_AT} a ON n.clip_id = a.clip_id AND n.chain_id = a.chain_id GROUP BY ALL) i ON v.clip_id = i.clip_id"""),
         "cache_keys": """
             SELECT p_partkey AS clip_id, substr(sha256('{"conf":' || CASE WHEN p_partkey % 2 = 0 THEN '0.25' ELSE '0.5' END || ',"equirect_pad_ratio":0.0,"max_frames":' || CASE WHEN p_partkey % 5 = 0 THEN p_partkey::VARCHAR ELSE 'null' END
                 || ',"model":"m' || p_partkey % 3 || '","policy":"face=blur","profile":"p' || p_partkey % 2 || '","projection":"auto","tile_trigger_width":5760}'), 1, 12) AS det_key,

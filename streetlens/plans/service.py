@@ -140,6 +140,10 @@ def oracles(sql) -> dict[str, str]:
     lines += [f"'job_duration_seconds_bucket{{le=\"{b}\"}} ' || count(*) FILTER (duration_s <= {b})" for b in bounds] + ["'job_duration_seconds_bucket{le=\"+Inf\"} ' || count(duration_s)"]
     lines += ["'job_duration_seconds_sum ' || printf('%.1f', CAST(sum(duration_s) AS DOUBLE))", "'job_duration_seconds_count ' || count(duration_s)", "'frames_processed_total ' || sum(frames) FILTER (duration_s IS NOT NULL)"]
     return {
+        "leakage_report": sql("""
+            SELECT '| slice | n | unprotected |' || chr(10) || '|-|-|-|' || chr(10) || string_agg('| ' || slice || ' | ' || n || ' | ' || unprotected || ' |', chr(10) ORDER BY slice) AS text
+            FROM (SELECT CASE WHEN g = 7 THEN 'overall' WHEN g = 3 THEN 'class=' || cls WHEN g = 5 THEN 'size=' || size ELSE 'readable=' || CAST(readable AS VARCHAR) END AS slice, n, unprotected
+                  FROM (SELECT cls, size, readable, grouping(cls, size, readable) AS g, count(*) AS n, count(*) FILTER (NOT protected) AS unprotected FROM objects GROUP BY GROUPING SETS ((), (cls), (size), (readable))))"""),
         "sql_functions": sql("""
             SELECT seq, (x2 - x1) * (y2 - y1) AS area, round((x2 - x1 - 5) * (y2 - y1 - 5) / (2 * (x2 - x1) * (y2 - y1) - (x2 - x1 - 5) * (y2 - y1 - 5)), 6) AS iou, round(x1 - (x2 - x1) * 0.1::DOUBLE, 6) AS big_x1, x1 AS normal_x1,
                    CASE WHEN y2 - y1 < 16 THEN '<16px' WHEN y2 - y1 < 32 THEN '16-32px' WHEN y2 - y1 < 96 THEN '32-96px' ELSE '>96px' END AS size FROM det"""),

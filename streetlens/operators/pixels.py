@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.box import Box
+from .catalog import seam_copies
 
 Region = tuple[int, int, int, int]
 RASTER = 480
@@ -203,14 +204,16 @@ def plane_stats(planes: DataFrame) -> DataFrame:
     return planes.mapInArrow(run, "clip_id long, frame long, plane int, mean double, texture double, crc long")
 
 
-def over_blur(truth: DataFrame, plan: DataFrame, clips: DataFrame) -> DataFrame:
+def over_blur(truth: DataFrame, plan: DataFrame, clips: DataFrame, wrap_width: float | None = None) -> DataFrame:
     """(clip_id, over_blur): mean share of a clip's frames that is blurred outside its annotated boxes.
 
     ``clips`` are (clip_id, frames, width, height). Frames are rasters of at
     most 480 columns; each row of the plan's (clip, frame) groups is one mask.
+    In a frame that closes at ``wrap_width`` shapes are drawn a turn to either side, too.
     """
     box = F.struct("x1", "y1", "x2", "y2")
-    shapes = plan.groupBy("clip_id", "frame").agg(F.collect_list(F.struct("kind", "x1", "y1", "x2", "y2")).alias("shapes"))
+    turned = seam_copies(plan, wrap_width) if wrap_width else plan
+    shapes = turned.groupBy("clip_id", "frame").agg(F.collect_list(F.struct("kind", "x1", "y1", "x2", "y2")).alias("shapes"))
     known = truth.groupBy("clip_id", "frame").agg(F.collect_list(box).alias("known"))
     joined = shapes.join(known, ["clip_id", "frame"], "left").join(clips, "clip_id").where("frame >= 0 AND frame < frames")
 

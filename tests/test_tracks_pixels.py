@@ -149,6 +149,15 @@ def test_planes_meet_the_plan(spark):
     assert P.plane_stats(planes).count() == 4
 
 
+def test_over_blur_across_the_seam(spark):
+    plan = spark.createDataFrame([(1, 0, "a", "rect", 470.0, 0.0, 489.0, 269.0)], "clip_id long, frame long, chain_id string, kind string, x1 double, y1 double, x2 double, y2 double")
+    truth = spark.createDataFrame([(1, 0, 470.0, 0.0, 480.0, 270.0)], "clip_id long, frame long, x1 double, y1 double, x2 double, y2 double")
+    clips = spark.createDataFrame([(1, 1, 480, 270)], "clip_id long, frames int, width int, height int")
+    # ten columns are past the right edge, and come back on the left
+    assert [r.over_blur for r in P.over_blur(truth, plan, clips, 480.0).collect()] == [10 / 480]
+    assert [r.over_blur for r in P.over_blur(truth, plan, clips).collect()] == [0.0]
+
+
 def test_over_blur(spark):
     assert P.blurred_outside([{"kind": "rect", "x1": 0, "y1": 0, "x2": 959, "y2": 539}], [], 1920, 1080) == pytest.approx(0.25, abs=0.005)
     assert P.blurred_outside([{"kind": "ellipse", "x1": 800, "y1": 400, "x2": 1000, "y2": 600}], [{"x1": 700, "y1": 300, "x2": 1100, "y2": 700}], 1920, 1080) == 0

@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
+#: Edges that one task unites in memory: a few hundred MB.
+AT_ONCE = 1_000_000
+
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the least node reachable.
 
-    Alternates large-star and small-star steps until the edges are stars; each
-    round is written to the shared folder. A round is linear in the edges, the
-    number of rounds is logarithmic in the longest path. Self-loops and
-    repeated edges are allowed; an empty table gives an empty result.
+    Each partition's edges become stars first. Of more than ``AT_ONCE`` edges,
+    large-star and small-star steps alternate until they are stars; each round
+    is written to the shared folder. A round is linear in the edges, the number
+    of rounds is logarithmic in the longest path. So few edges as one task may
+    hold are united by one. Self-loops and repeated edges are allowed; an empty
+    table gives an empty result.
     """
-    current = materialize(_clean(edges.select("a", "b")), name)
+    current = materialize(_stars(edges.select("a", "b")), name)
     shape = _shape(current)
     while shape[0]:
+        if shape[0] <= AT_ONCE:
+            step = materialize(_stars(current.coalesce(1)), name)
+            discard(current)
+            current = step
+            break
         step = materialize(_small_star(_large_star(current)), name)
         after = _shape(step)
         discard(current)
@@ -30,8 +44,39 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b"), F.col("b")).distinct())
 
 
-def _clean(edges: DataFrame) -> DataFrame:
-    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges with the same components as ``edges``: stars for each ``AT_ONCE`` edges of a partition."""
+    at_once = AT_ONCE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("a", "b")])
+            count += batch.num_rows
+            if count >= at_once:
+                yield _united(held)
+                held, count = [], 0
+        if held:
+            yield _united(held)
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def _united(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """(node, least node reachable) for the nodes that aren't that node."""
+    a, b = (np.concatenate(column) for column in zip(*parts, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        a, b = low[apart], high[apart]
+        np.minimum.at(root, b, a)
+        while not np.array_equal(above := root[root], root):
+            root = above
+    moved = root < np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
 
 
 def _shape(edges: DataFrame) -> tuple:

@@ -20,12 +20,18 @@ How it is spread over a cluster:
    T-occurrence search runs on full sets: the short inverted lists of a query
    are heap-merged with skips, the long ones binary-probed, and sets that reach
    the required overlap are united.
-4. A block above a bound of sets or shingles is cut into chunks that are
+4. A block above a bound of sets or shingles is parted anew by the rarest
+   shingles of its sets (``_narrowed``). Then sets are compared by how they
+   differ from the shingles that most of them hold (``_by_difference``): those
+   that differ little link without a search, those that can link with nothing
+   that is still apart leave it.
+   What stays, if above the bound, is cut into chunks that are
    searched apart; then some members of each component found so are searched
    together. What is still apart is searched exhaustively: the sets outside the
    block's largest component are dealt to the chunks of those inside, and to
-   one another. A group of near copies thus costs its size, not its square, and
-   no task ever holds more than the bound.
+   one another. No task ever holds more than the bound. Edited copies of one
+   text cost their number, not its square; what stays apart after all this does
+   cost its square.
 5. Components of the links are joined back to the rows.
 
 Sets hold 64-bit hashes of shingles: "equal" and "overlap" are meant up to
@@ -42,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, free_names, materialize, slim, tune
@@ -55,6 +61,8 @@ REMEMBER = 500_000
 #: How DivideSkip weighs a binary probe against a heap step when it sets long lists aside.
 PROBE_COST = 0.02
 #: Sets and shingles of a chunk, at most (a larger set is a chunk of its own); members of a component that stand for it.
+#: Nodes of an inverted list of signatures up to which all its pairs are counted.
+LONG_LIST = 64
 CHUNK_SETS, CHUNK_SHINGLES, DELEGATES = 1000, 1_000_000, 8
 
 
@@ -291,20 +299,42 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(row)], names=["sign", "row"])
 
 
-def _forests(percent: int):
-    """From (sign, n, node) sorted: the edges of each list's forest, each once per batch. Only the last row is held between batches."""
+def _edges(percent: int):
+    """From (sign, n, node, need, gone, long) sorted: the pairs of short lists and the forests of long ones, as (a, b, side, wanted).
+
+    A pair must be found ``wanted`` times on its side; 0 for an edge of a
+    forest. Between batches the last short list or the last row of a long one
+    is held.
+    """
+    columns = ("sign", "n", "node", "need", "gone", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held, first = [np.zeros(0, np.int64)] * len(columns), 0  # pairs of rows before ``first`` are out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sign, n, node = (np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, ("sign", "n", "node"), strict=True))
-            held = [sign[-1:], n[-1:], node[-1:]]
-            ok = (sign[1:] == sign[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            edges = np.unique(np.stack([node[:-1][ok], node[1:][ok]], 1), axis=0)
-            if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
+            rows = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, columns, strict=True)]
+            sign, n, node, need, gone, long = rows
+            low, high = [], []
+            for by in range(1, len(sign)):
+                same = sign[by:] == sign[:-by]
+                if not same.any():
+                    break
+                x = np.flatnonzero(same & (100 * n[:-by] >= percent * n[by:]) & ((by == 1) | (long[by:] == 0)))
+                x = x[x + by >= first]
+                low.append(x)
+                high.append(x + by)
+                if by > LONG_LIST:
+                    break
+            if low:
+                x, y = np.concatenate(low), np.concatenate(high)
+                wanted = np.where(long[x] == 1, 0, np.maximum(need[x], need[y]) - np.maximum(gone[x], gone[y]))
+                side = sign[x] & 1
+                ends = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(side), pa.array(wanted)], names=["a", "b", "side", "wanted"])
+            keep = len(sign) - 1 if long[-1] else int(np.searchsorted(sign, sign[-1]))
+            held = [column[keep:] for column in rows]
+            first = len(held[0])
 
     return run
 
@@ -413,14 +443,18 @@ def _candidates(signed: DataFrame, rows: DataFrame, nodes: DataFrame, percent: i
     postings = signed.select("row", F.explode("signs").alias("sign")).repartition(F.col("sign")).sortWithinPartitions("sign")
     shared = postings.select("sign", "row").mapInArrow(_shared, "sign long, row long")
     names = rows.where("signs").select("row", "key").join(nodes, "key").select("row", "node", "n", "need0", "need1")
-    lists = materialize(shared.join(names, "row").select("sign", "node", "n", F.when(F.expr("sign & 1") == 1, F.col("need1")).otherwise(F.col("need0")).alias("need")).distinct(), "jaccard-lists")
+    need = F.when(F.expr("sign & 1") == 1, F.col("need1")).otherwise(F.col("need0"))
+    lists = materialize(shared.join(names, "row").select("sign", "node", "n", need.alias("need")).distinct(), "jaccard-lists")
     discard(signed)
     # T occurrences: signatures that another node has too, counted for each class the node signed for
-    other = lists.groupBy("sign").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sign")
-    lists = lists.join(other, "sign").withColumn("side", F.expr("sign & 1"))
-    able = lists.groupBy("node", "side").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("node", "side")
-    lists = lists.join(able, ["node", "side"], "left_semi")
-    return lists.select("sign", "n", "node").repartition(F.col("sign")).sortWithinPartitions("sign", "n", "node").mapInArrow(_forests(percent), "a long, b long")
+    length = lists.groupBy("sign").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    long = F.col("c") > LONG_LIST
+    own = Window.partitionBy("node", F.expr("sign & 1"))
+    lists = lists.join(length, "sign").withColumns({"long": long, "found": F.count(F.lit(1)).over(own), "need": F.max("need").over(own), "place": F.row_number().over(own.orderBy(F.desc("c"), "sign"))})
+    lists = lists.withColumn("gone", F.least(F.col("need") - 1, F.count_if("long").over(own))).where("found >= need AND NOT (long AND place < need)")
+    arranged = lists.select("sign", "n", "node", "need", "gone", F.col("long").cast("int").alias("long")).repartition(F.col("sign")).sortWithinPartitions("sign", "n", "node")
+    pairs = arranged.mapInArrow(_edges(percent), "a long, b long, side long, wanted long").groupBy("a", "b", "side").agg(F.count(F.lit(1)).alias("c"), F.min("wanted").alias("wanted"))
+    return pairs.where("c >= wanted").select("a", "b")
 
 
 def _block_links(base: DataFrame, rows: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int, chunk_sets: int, chunk_shingles: int) -> DataFrame:
@@ -433,15 +467,84 @@ def _block_links(base: DataFrame, rows: DataFrame, nodes: DataFrame, blocks: Dat
     match = base["doc_id"].eqNullSafe(members["doc_id"]) & (base["text_key"] == members["text_key"])
     texts = base.join(members, match).select("text", "key", "block", "chunk", "chunks", "node")
     sets = materialize(texts.mapInArrow(_full_sets(k), "block long, chunk int, chunks int, node long, n int, shingles array<long>"), "jaccard-sets")
+    small, large = sets.where("chunks = 1").withColumn("label", F.col("node")), sets.where("chunks > 1")
     none = F.lit(0)
-    links = _searched(sets.select("block", F.col("chunk").alias("i"), none.alias("j"), "node", F.col("node").alias("label"), "shingles"), percent, "jaccard-near")
-    large = sets.where("chunks > 1")
-    if large.limit(1).count():
-        links = links.unionByName(_between_chunks(large, links, percent, chunk_sets, chunk_shingles))
+    if not large.limit(1).count():
+        links = _searched(small.select("block", none.alias("i"), none.alias("j"), "node", "label", "shingles"), percent, "jaccard-near")
+        discard(sets)
+        return links
+    whole = large.select("node", "n", "shingles").join(_narrowed(large, percent), "node")
+    weight = whole.groupBy("block").agg(_chunks(F.count(F.lit(1)), F.sum("n"), chunk_sets, chunk_shingles).alias("chunks"))
+    whole = materialize(whole.join(weight, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "jaccard-large")
+    core, left = _by_difference(whole, percent)
+    parts = left.groupBy("block").agg(_chunks(F.count(F.lit(1)), F.sum("n"), chunk_sets, chunk_shingles).alias("parts"))
+    left = left.join(parts, "block").select("node", "label", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"))
+    large = materialize(whole.select("block", "node", "n", "shingles").join(left, "node"), "jaccard-left")
+    discard(whole)
+    first = small.select("block", none.alias("i"), none.alias("j"), "node", "label", "shingles").unionByName(large.select("block", "i", none.alias("j"), "node", "label", "shingles"))
+    links = _searched(first, percent, "jaccard-near").unionByName(core)
+    cut = large.where("parts > 1")
+    if cut.limit(1).count():
+        links = links.unionByName(_between_chunks(cut, links, percent, chunk_sets, chunk_shingles))
+    discard(large)
     discard(sets)
     return links
 
 
+def _narrowed(large: DataFrame, percent: int) -> DataFrame:
+    """(node, block) for the sets of large blocks that can link at all, in blocks drawn anew that hold every link.
+
+    Sets that link share one of the rarest |x| - least + 1 shingles of each, by
+    the counts of the old block, where least is the overlap that x needs with
+    any partner. Shingles that no other set has count among these.
+    """
+    every = large.select("block", "node", "n", F.explode("shingles").alias("s"))
+    frequent = every.groupBy("block", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = Window.partitionBy("block", "node")
+    known = every.join(frequent, ["block", "s"]).withColumns({"found": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("c", "s"))})
+    least = F.ceil(F.lit(percent) * F.col("n") / F.lit(100))
+    none = F.lit(0)
+    rare = known.where(F.col("place") <= F.col("found") - least + 1).select(F.xxhash64("block", "s").alias("sign"), "n", "node", none.alias("need"), none.alias("gone"), F.lit(1).alias("long"))
+    edges = rare.repartition(F.col("sign")).sortWithinPartitions("sign", "n", "node").mapInArrow(_edges(percent), "a long, b long, side long, wanted long")
+    return materialize(components(edges, "jaccard-narrow").select("node", F.col("root").alias("block")).distinct(), "jaccard-narrow")
+
+
+def _by_difference(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of large blocks that need no search, and the sets (block, node, n, label) that still need one.
+
+    Let p be the shingles that more than half of a block's sets hold, and let x
+    differ from p by d(x) shingles, m(x) of them missing in x. Two sets overlap
+    in |p| - m(x) - m(y) shingles and the c in which they differ alike, so they
+    link just when 2 * (100 + percent) * c >= g(x) + g(y) with
+    g(x) = 2 * percent * |x| + (100 + percent) * (2 * m(x) - |p|).
+    Where g(x) + g(y) <= 0 they link whatever c is: the set with the least g
+    gathers a core so. And c is at most the number of x's differences that
+    another set of the block has too, and likewise for y: a set leaves where
+    this number, or g, is too small or large for any partner outside the core.
+    """
+    weigh = large.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.max("chunks").alias("chunks"))
+    frequent = large.select("block", F.explode("shingles").alias("s")).groupBy("block", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    frequent = materialize(frequent, "jaccard-frequent")
+    most = frequent.join(weigh, "block").where("2 * c > sets").groupBy("block").agg(F.collect_list("s").alias("p"), F.collect_list(F.when(F.expr("sets - c > 1"), F.col("s"))).alias("often"))
+    nothing = F.array().cast("array<long>")
+    pivot = weigh.join(most, "block", "left").select("block", F.coalesce("p", nothing).alias("p"), F.coalesce("often", nothing).alias("often"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    g = 2 * percent * F.col("n").cast("long") + (100 + percent) * (2 * F.size(F.array_except("p", "shingles")) - F.size("p"))
+    coded = large.join(pivot, ["block", "chunk"]).select("block", "node", "n", g.alias("g"), F.size(F.array_except("often", "shingles")).alias("absent"), F.array_except("shingles", "p").alias("added"))
+    added = coded.select("block", "node", "n", "g", "absent", F.explode_outer("added").alias("s")).join(frequent, ["block", "s"], "left")
+    alike = F.max("absent") + F.count("c")
+    state = added.groupBy("block", "node").agg(F.first("n").alias("n"), F.first("g").alias("g"), (2 * (100 + percent) * alike).alias("most"))
+    state = materialize(state.select("block", "node", "n", "g", (F.col("most") - F.col("g")).alias("room")), "jaccard-state")
+    discard(frequent)
+    # a pair can link only if g of each is at most the room of the other
+    least = state.groupBy("block").agg(F.min("g").alias("low"), F.min(F.struct("g", "node")).alias("z"), F.max("room").alias("high"))
+    state = state.join(least, "block").withColumn("in", F.expr("g + low <= 0"))
+    core = state.where("in AND node <> z.node").select(F.col("node").alias("a"), F.col("z.node").alias("b"))
+    able = state.where("in OR (g <= high AND low <= room)")
+    outer = able.where("NOT in").groupBy("block").agg(F.min("g").alias("outer_low"), F.max("room").alias("outer_high"))
+    left = able.join(outer, "block").where("NOT in OR (g <= outer_high AND outer_low <= room)")
+    return materialize(core, "jaccard-core"), materialize(left.select("block", "node", "n", F.when(F.col("in"), F.col("z.node")).otherwise(F.col("node")).alias("label")), "jaccard-able")
+
+
 def _chunks(count, shingles, chunk_sets: int, chunk_shingles: int):
     """Into how many chunks so many sets with so many shingles go."""
     return F.greatest(F.lit(1), F.ceil(count / F.lit(chunk_sets)), F.ceil(shingles / F.lit(chunk_shingles))).cast("int")

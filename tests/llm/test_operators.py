@@ -96,6 +96,40 @@ def test_jaccard_in_chunks(spark):
     assert same(jaccard_join.jaccard_components(df, 2, 70, chunk_shingles=60).collect(), want)
 
 
+def test_families_of_edited_copies_cost_their_number(spark, monkeypatch):
+    rng = random.Random(8)
+    rows, phrase = [], [f"p{i}" for i in range(12)]
+    for f in range(3):
+        base = [f"{f}w{rng.randrange(400)}" for _ in range(90)] + phrase
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 9, 14])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(1000, rows[0][1]), (7, rows[7][1]), (7, rows[7][1])]
+    dealt, searched = [], jaccard_join._searched
+    monkeypatch.setattr(jaccard_join, "_searched", lambda tasks, *a: dealt.append(tasks.count()) or searched(tasks, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert same(jaccard_join.jaccard_components(df, 4, 85, chunk_sets=8).collect(), brute_components(rows, 4, 85))
+    assert sum(dealt) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("length", [1, 3])
+def test_jaccard_with_long_lists(spark, monkeypatch, length):
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", length)
+    rng = random.Random(12)
+    rows = []
+    for i in range(250):
+        w = rng.choice(rows)[1].split() if rows and rng.random() < 0.8 else [f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 12, 60, 150]))]
+        if rng.random() < 0.8:
+            w[rng.randrange(len(w))] = f"w{rng.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, percent in ((2, 80), (4, 85)):
+        assert same(jaccard_join.jaccard_components(df, k, percent).collect(), brute_components(rows, k, percent))
+        assert same(jaccard_join.jaccard_components(df, k, percent, chunk_sets=4).collect(), brute_components(rows, k, percent))
+
+
 def test_jaccard_with_null_and_repeated_ids(spark):
     rng = random.Random(15)
     rows = []
@@ -146,6 +180,25 @@ def test_components(spark):
     assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
 
 
+@pytest.mark.parametrize("at_once", [3, 10_000])
+def test_few_edges_are_united_by_one_task(spark, monkeypatch, at_once):
+    from streetlens.llm import components as module
+
+    rounds, star = [], module._large_star
+    monkeypatch.setattr(module, "_large_star", lambda edges: rounds.append(1) or star(edges))
+    monkeypatch.setattr(module, "AT_ONCE", at_once, raising=False)
+    rng = random.Random(2)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(700)]
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(900):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert {x: found.get(x, x) for x in least} == least
+    assert bool(rounds) == (at_once == 3)
+
+
 # 6
 
 

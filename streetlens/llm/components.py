@@ -18,15 +18,20 @@ AT_ONCE = 1_000_000
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the least node reachable.
 
-    Each partition's edges become stars first. Of more than ``AT_ONCE`` edges,
-    large-star and small-star steps alternate until they are stars; each round
-    is written to the shared folder. A round is linear in the edges, the number
-    of rounds is logarithmic in the longest path. So few edges as one task may
-    hold are united by one. Self-loops and repeated edges are allowed; an empty
-    table gives an empty result.
+    The edges are written and go to as few tasks as may hold them: each makes
+    stars of its own, so the edges of one group don't leave a forest in every
+    partition. Of more than ``AT_ONCE`` edges, large-star and small-star steps
+    alternate until they are stars; each round is written to the shared folder.
+    A round is linear in the edges, the number of rounds is logarithmic in the
+    longest path. So few edges as one task may hold are united by one.
+    Self-loops and repeated edges are allowed; an empty table gives an empty
+    result.
     """
-    current = materialize(_stars(edges.select("a", "b")), name)
-    shape = _shape(current)
+    given = materialize(edges.select("a", "b"), name)
+    count = given.count()
+    current = materialize(_stars(given.coalesce(max(1, -(-count // AT_ONCE)))), name)
+    discard(given)
+    shape = _shape(current) if count > AT_ONCE else (0,)
     while shape[0]:
         if shape[0] <= AT_ONCE:
             step = materialize(_stars(current.coalesce(1)), name)

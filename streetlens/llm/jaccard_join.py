@@ -300,13 +300,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(percent: int):
-    """From (sign, n, node, need, gone, long) sorted: the pairs of short lists and the forests of long ones, as (a, b, side, wanted).
+    """From (sign, n, node, need, gone, long, easy) sorted: edges (a, b, side, wanted) with the components of all pairs of short lists and of the forests of long ones.
 
-    A pair must be found ``wanted`` times on its side; 0 for an edge of a
-    forest. Between batches the last short list or the last row of a long one
-    is held.
+    A pair must be found ``wanted`` times on its side. A pair with an easy row
+    need only be found once, so it needs no counting: easy rows make a chain,
+    the others are tied to the easy rows next to them, with 0 wanted. Only
+    pairs without an easy row are counted. All rows of a long list are easy.
+    Between batches the last short list or the last row of a long one is held.
     """
-    columns = ("sign", "n", "node", "need", "gone", "long")
+    columns = ("sign", "n", "node", "need", "gone", "long", "easy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = [np.zeros(0, np.int64)] * len(columns), 0  # pairs of rows before ``first`` are out
@@ -314,25 +316,28 @@ def _edges(percent: int):
             if not batch.num_rows:
                 continue
             rows = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, columns, strict=True)]
-            sign, n, node, need, gone, long = rows
-            low, high = [], []
-            for by in range(1, len(sign)):
-                same = sign[by:] == sign[:-by]
+            sign, n, node, need, gone, long, easy = rows
+            at, total = np.arange(len(sign)), len(sign)
+            before = np.concatenate([[-1], np.maximum.accumulate(np.where(easy == 1, at, -1))[:-1]])
+            after = np.minimum.accumulate(np.where(easy == 1, at, total)[::-1])[::-1]
+            tied, hard = before >= 0, np.flatnonzero(easy == 0)
+            ahead = hard[after[hard] < total]
+            low, high, free = [before[tied], ahead], [at[tied], after[ahead]], int(tied.sum()) + len(ahead)
+            for by in range(1, len(hard)):
+                x, y = hard[:-by], hard[by:]
+                same = sign[x] == sign[y]
                 if not same.any():
                     break
-                x = np.flatnonzero(same & (100 * n[:-by] >= percent * n[by:]) & ((by == 1) | (long[by:] == 0)))
-                x = x[x + by >= first]
-                low.append(x)
-                high.append(x + by)
-                if by > LONG_LIST:
-                    break
-            if low:
-                x, y = np.concatenate(low), np.concatenate(high)
-                wanted = np.where(long[x] == 1, 0, np.maximum(need[x], need[y]) - np.maximum(gone[x], gone[y]))
-                side = sign[x] & 1
-                ends = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(side), pa.array(wanted)], names=["a", "b", "side", "wanted"])
-            keep = len(sign) - 1 if long[-1] else int(np.searchsorted(sign, sign[-1]))
+                low.append(x[same])
+                high.append(y[same])
+            x, y = np.concatenate(low), np.concatenate(high)
+            wanted = np.maximum(need[x], need[y]) - np.maximum(gone[x], gone[y])
+            wanted[:free] = 0
+            fits = (sign[x] == sign[y]) & (100 * n[x] >= percent * n[y]) & (y >= first)
+            x, y, wanted = x[fits], y[fits], wanted[fits]
+            ends = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(sign[x] & 1), pa.array(wanted)], names=["a", "b", "side", "wanted"])
+            keep = total - 1 if long[-1] else int(np.searchsorted(sign, sign[-1]))
             held = [column[keep:] for column in rows]
             first = len(held[0])
 
@@ -447,12 +452,14 @@ def _candidates(signed: DataFrame, rows: DataFrame, nodes: DataFrame, percent: i
     lists = materialize(shared.join(names, "row").select("sign", "node", "n", need.alias("need")).distinct(), "jaccard-lists")
     discard(signed)
     # T occurrences: signatures that another node has too, counted for each class the node signed for
-    length = lists.groupBy("sign").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    length = lists.groupBy("sign").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("most")).where("c > 1")
     long = F.col("c") > LONG_LIST
     own = Window.partitionBy("node", F.expr("sign & 1"))
     lists = lists.join(length, "sign").withColumns({"long": long, "found": F.count(F.lit(1)).over(own), "need": F.max("need").over(own), "place": F.row_number().over(own.orderBy(F.desc("c"), "sign"))})
     lists = lists.withColumn("gone", F.least(F.col("need") - 1, F.count_if("long").over(own))).where("found >= need AND NOT (long AND place < need)")
-    arranged = lists.select("sign", "n", "node", "need", "gone", F.col("long").cast("int").alias("long")).repartition(F.col("sign")).sortWithinPartitions("sign", "n", "node")
+    # with a row that is so often in long lists, one more list is enough for any other row of this one
+    easy = F.col("long") | (F.col("gone") >= F.col("most") - 1)
+    arranged = lists.select("sign", "n", "node", "need", "gone", F.col("long").cast("int").alias("long"), easy.cast("int").alias("easy")).repartition(F.col("sign")).sortWithinPartitions("sign", "n", "node")
     pairs = arranged.mapInArrow(_edges(percent), "a long, b long, side long, wanted long").groupBy("a", "b", "side").agg(F.count(F.lit(1)).alias("c"), F.min("wanted").alias("wanted"))
     return pairs.where("c >= wanted").select("a", "b")
 
@@ -504,7 +511,7 @@ def _narrowed(large: DataFrame, percent: int) -> DataFrame:
     known = every.join(frequent, ["block", "s"]).withColumns({"found": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("c", "s"))})
     least = F.ceil(F.lit(percent) * F.col("n") / F.lit(100))
     none = F.lit(0)
-    rare = known.where(F.col("place") <= F.col("found") - least + 1).select(F.xxhash64("block", "s").alias("sign"), "n", "node", none.alias("need"), none.alias("gone"), F.lit(1).alias("long"))
+    rare = known.where(F.col("place") <= F.col("found") - least + 1).select(F.xxhash64("block", "s").alias("sign"), "n", "node", none.alias("need"), none.alias("gone"), F.lit(1).alias("long"), F.lit(1).alias("easy"))
     edges = rare.repartition(F.col("sign")).sortWithinPartitions("sign", "n", "node").mapInArrow(_edges(percent), "a long, b long, side long, wanted long")
     return materialize(components(edges, "jaccard-narrow").select("node", F.col("root").alias("block")).distinct(), "jaccard-narrow")
 

@@ -4,12 +4,15 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from streetlens.llm import bpe_table, jaccard_join, packing, quality_classifier, quality_rules, queries, sharding, span_dedup, stream_dedup, token_store, url_filter
+from streetlens.llm import components as uniting
 from streetlens.llm.components import components
 from streetlens.llm.docstats import Doc
 from streetlens.llm.words import LONG, blocks, word_hash, words_of_texts
@@ -130,6 +133,49 @@ def test_jaccard_with_long_lists(spark, monkeypatch, length):
         assert same(jaccard_join.jaccard_components(df, k, percent, chunk_sets=4).collect(), brute_components(rows, k, percent))
 
 
+@pytest.mark.parametrize("cuts", [1, 7])
+def test_rows_that_need_no_counting_make_chains(cuts):
+    """Edges of short lists have the components of all counted pairs; where no count is needed they are as many as the rows."""
+    rng = random.Random(cuts)
+    n, need = [rng.randrange(80, 125) for _ in range(60)], 3
+    gone = [rng.choice([0, 1, 2]) for _ in n]
+
+    def edges(lists, gone):
+        rows = sorted((2 * sign, n[x], x, need, gone[x], 0, int(gone[x] >= need - 1)) for sign, nodes in enumerate(lists) for x in nodes)
+        size = -(-len(rows) // cuts)
+        names = ["sign", "n", "node", "need", "gone", "long", "easy"]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=names) for i in range(0, len(rows), size)]
+        return [(r["a"], r["b"], r["wanted"]) for out in jaccard_join._edges(90)(iter(batches)) for r in out.to_pylist()]
+
+    def parts(pairs):
+        group = list(range(len(n)))
+        for a, b in pairs:
+            group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+        return group
+
+    for _ in range(20):
+        lists = [rng.sample(range(len(n)), rng.choice([2, 3, 9])) for _ in range(12)]
+        seen = Counter(tuple(sorted(p)) for nodes in lists for p in combinations(nodes, 2) if 100 * min(n[p[0]], n[p[1]]) >= 90 * max(n[p[0]], n[p[1]]))
+        found = edges(lists, gone)
+        wanted = {(a, b): w for a, b, w in found}
+        assert parts([p for p, c in Counter((a, b) for a, b, _ in found).items() if c >= wanted[p]]) == parts([p for p, c in seen.items() if c >= need - max(gone[p[0]], gone[p[1]])])
+    assert len(edges([range(60)], [2] * 60)) < 60
+
+
+def test_components_leave_one_forest(spark, monkeypatch):
+    """Edges of one group that lie in many partitions are united by one task, not by each of its own."""
+    made, write = [], uniting.materialize
+    monkeypatch.setattr(uniting, "materialize", lambda df, name: made.append(write(df, name)) or made[-1])
+    monkeypatch.setattr(uniting, "discard", lambda df: None)
+    edges = [(a, b) for a in range(40) for b in range(a)]
+    found = components(spark.createDataFrame(edges, "a long, b long").repartition(16))
+    assert sorted(tuple(r) for r in found.collect()) == [(x, 0) for x in range(40)]
+    assert [df.count() for df in made] == [len(edges), 39]
+    monkeypatch.setattr(uniting, "AT_ONCE", 100)
+    found = components(spark.createDataFrame(edges, "a long, b long").repartition(16))
+    assert sorted(tuple(r) for r in found.collect()) == [(x, 0) for x in range(40)]
+
+
 def test_jaccard_with_null_and_repeated_ids(spark):
     rng = random.Random(15)
     rows = []

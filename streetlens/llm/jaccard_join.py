@@ -437,17 +437,18 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     blocks = materialize(blocks, "jaccard-blocks")
     links = _block_links(base, rows, nodes, blocks, k, percent, chunk_sets, chunk_shingles)
     found = components(links, "jaccard-links")
-    named = nodes.join(found, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
+    # merged, never broadcast: these tables grow with the rows, and the sizes of their packed files say little about the memory a driver would need
+    named = nodes.join(found.hint("merge"), "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_key = named.join(lowest, "root").select("key", "component_id")
-    return rows.select("doc_id", "text_key", "key", "n").join(of_key, "key", "left").select("doc_id", "text_key", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_key = named.join(lowest.hint("merge"), "root").select("key", "component_id")
+    return rows.select("doc_id", "text_key", "key", "n").join(of_key.hint("merge"), "key", "left").select("doc_id", "text_key", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _candidates(signed: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every link between nodes. The table of signatures is deleted once it is used."""
     postings = signed.select("row", F.explode("signs").alias("sign")).repartition(F.col("sign")).sortWithinPartitions("sign")
     shared = postings.select("sign", "row").mapInArrow(_shared, "sign long, row long")
-    names = rows.where("signs").select("row", "key").join(nodes, "key").select("row", "node", "n", "need0", "need1")
+    names = rows.where("signs").select("row", "key").join(nodes.hint("merge"), "key").select("row", "node", "n", "need0", "need1")
     need = F.when(F.expr("sign & 1") == 1, F.col("need1")).otherwise(F.col("need0"))
     lists = materialize(shared.join(names, "row").select("sign", "node", "n", need.alias("need")).distinct(), "jaccard-lists")
     discard(signed)
@@ -466,11 +467,13 @@ def _candidates(signed: DataFrame, rows: DataFrame, nodes: DataFrame, percent: i
 
 def _block_links(base: DataFrame, rows: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int, chunk_sets: int, chunk_shingles: int) -> DataFrame:
     """Links (a, b) whose components are those of all links."""
-    inside = nodes.join(blocks.select("node", F.col("root").alias("block")), "node")
-    weight = inside.groupBy("block").agg(_chunks(F.count(F.lit(1)), F.sum("n"), chunk_sets, chunk_shingles).alias("chunks"))
+    inside = nodes.join(blocks.select("node", F.col("root").alias("block")).hint("merge"), "node")
+    # only large blocks, which are few, need a look-up
+    weight = inside.groupBy("block").agg(_chunks(F.count(F.lit(1)), F.sum("n"), chunk_sets, chunk_shingles).alias("chunks")).where("chunks > 1")
+    inside = inside.join(weight, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     # a node is found again by its id and its text: ids may be null or repeat
     where = rows.select(F.col("row").alias("node"), "doc_id", "text_key")
-    members = inside.join(weight, "block").join(where, "node").select("doc_id", "text_key", "key", "node", "block", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    members = inside.join(where.hint("merge"), "node").select("doc_id", "text_key", "key", "node", "block", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     match = base["doc_id"].eqNullSafe(members["doc_id"]) & (base["text_key"] == members["text_key"])
     texts = base.join(members, match).select("text", "key", "block", "chunk", "chunks", "node")
     sets = materialize(texts.mapInArrow(_full_sets(k), "block long, chunk int, chunks int, node long, n int, shingles array<long>"), "jaccard-sets")
@@ -480,13 +483,13 @@ def _block_links(base: DataFrame, rows: DataFrame, nodes: DataFrame, blocks: Dat
         links = _searched(small.select("block", none.alias("i"), none.alias("j"), "node", "label", "shingles"), percent, "jaccard-near")
         discard(sets)
         return links
-    whole = large.select("node", "n", "shingles").join(_narrowed(large, percent), "node")
+    whole = large.select("node", "n", "shingles").join(_narrowed(large, percent).hint("merge"), "node")
     weight = whole.groupBy("block").agg(_chunks(F.count(F.lit(1)), F.sum("n"), chunk_sets, chunk_shingles).alias("chunks"))
     whole = materialize(whole.join(weight, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "jaccard-large")
     core, left = _by_difference(whole, percent)
     parts = left.groupBy("block").agg(_chunks(F.count(F.lit(1)), F.sum("n"), chunk_sets, chunk_shingles).alias("parts"))
     left = left.join(parts, "block").select("node", "label", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"))
-    large = materialize(whole.select("block", "node", "n", "shingles").join(left, "node"), "jaccard-left")
+    large = materialize(whole.select("block", "node", "n", "shingles").join(left.hint("merge"), "node"), "jaccard-left")
     discard(whole)
     first = small.select("block", none.alias("i"), none.alias("j"), "node", "label", "shingles").unionByName(large.select("block", "i", none.alias("j"), "node", "label", "shingles"))
     links = _searched(first, percent, "jaccard-near").unionByName(core)

@@ -176,6 +176,22 @@ def test_components_leave_one_forest(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == [(x, 0) for x in range(40)]
 
 
+def test_jaccard_broadcasts_no_table_of_rows(spark, monkeypatch):
+    """Tables with a row per text or set don't go through the driver, however small their files look."""
+    plans, write = {}, jaccard_join.materialize
+
+    def planned(df):
+        return df._jdf.queryExecution().sparkPlan().toString()
+
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: plans.update({name: planned(df)}) or write(df, name))
+    rows = [(i, " ".join(f"{i // 2}w{j}" for j in range(40 + i % 2))) for i in range(40)]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert "SortMergeJoin" in planned(found) and "Broadcast" not in planned(found)
+    assert "SortMergeJoin [key" in plans["jaccard-lists"] and "BroadcastHashJoin [key" not in plans["jaccard-lists"]
+    assert "SortMergeJoin [node" in plans["jaccard-sets"] and "BroadcastHashJoin [node" not in plans["jaccard-sets"]
+    assert same(found.collect(), brute_components(rows, 4, 85))
+
+
 def test_jaccard_with_null_and_repeated_ids(spark):
     rng = random.Random(15)
     rows = []

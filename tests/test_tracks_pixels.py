@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from streetlens.operators import pixels as P
 from streetlens.operators.track import FORBIDDEN, GroupTracker, TrackOptions, assign_tracks, assignment
+from streetlens.plans import service
 from streetlens.streaming.tracker import track_stream
 
 BOX = "clip_id long, grp string, frame long, seq long, x1 double, y1 double, x2 double, y2 double"
@@ -195,3 +196,18 @@ def test_weights_are_computed_once_and_texture_is_exact():
     for kind in (np.uint8, np.uint16):
         plane = np.random.default_rng(1).integers(0, np.iinfo(kind).max, (20, 31), kind, endpoint=True)
         assert P.texture(plane) == float(np.abs(np.diff(plane.astype(np.float64), axis=1)).mean())
+
+
+@pytest.mark.parametrize("method", ["solid", "gaussian_strong", "pixelate_blur"])
+def test_shapes_joined_before_the_pixels_blur_alike(spark, method):
+    """Planes that carry their shapes give the figures of planes joined with the plan; pixels are not shuffled for it."""
+    rng = np.random.default_rng(9)
+    planes = [(c, f, p, 40, 30, 8, 2.0, 2.0, rng.integers(0, 256, (30, 40), np.uint8).tobytes()) for c in (1, 2) for f in range(6) for p in (0, 1)]
+    planes = spark.createDataFrame(planes, "clip_id long, frame long, plane int, w int, h int, depth int, sub_x double, sub_y double, data binary")
+    plan = [(c, f, f"k{k}", 0, ("rect", "ellipse")[k], 10.0 + 20 * k, 8.0, 34.0 + 20 * k, 40.0) for c in (1, 2) for f in (0, 2, 3) for k in range(1 + f % 2)]
+    plan = spark.createDataFrame(plan, "clip_id long, frame long, chain_id string, segment int, kind string, x1 double, y1 double, x2 double, y2 double")
+    want = P.plane_stats(P.blur_planes(planes, plan, method, seed=3)).collect()
+    carried = P.blurred_stats(planes.join(P.shapes_of(plan), ["clip_id", "frame"], "left"), method, seed=3)
+    assert sorted(carried.collect()) == sorted(want) and len(want) == 24
+    text = service.blurred(spark, "/root/testdata/sf0.001", method)._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("MapInArrow") == 2 and "MapInArrow" not in text.partition("Join")[2]

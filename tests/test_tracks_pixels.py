@@ -306,3 +306,11 @@ def check_query(spark, method):
 
 def test_pixelate_query_moves_no_pixels(spark):
     check_query(spark, "pixelate_blur")
+
+
+def test_solid_figures_of_pictures(monkeypatch):
+    check_figures("solid", monkeypatch)
+
+
+def test_solid_query_moves_no_pixels(spark):
+    check_query(spark, "solid")
